@@ -28,6 +28,10 @@ def regex_literal(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
+def text_literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def bind(name: str, value: str, body: str) -> str:
     """Evaluate ``value`` once and use it as ``name`` inside ``body``."""
     return f"transform(array({value}), {name} -> {body})[0]"
