@@ -12,6 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 SPAN = "struct<start:int,end:int,label:string>"
 SPANS = f"array<{SPAN}>"
 NO_SPANS = f"cast(array() AS {SPANS})"
@@ -37,6 +40,18 @@ def bind(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def hold(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    A plain projection may be folded into every later use: a filter on a scan result, or on
+    something derived from it, would be pushed below the projection with a copy of the whole scan
+    inside. The output of a one-row generator cannot be pushed down or copied.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    fields = ", ".join(f"{expr} AS {name}" for name, expr in columns.items())
+    return df.select(*kept, F.expr(f"inline(array(struct({fields})))"))
+
+
 def span(start: str, end: str, label: str) -> str:
     return f"cast(named_struct('start', {start}, 'end', {end}, 'label', {label}) AS {SPAN})"
 

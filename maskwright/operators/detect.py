@@ -123,28 +123,24 @@ def detect(
     impossible span stops the job; otherwise the row is marked ``invalid`` and keeps null results,
     so bad rows can be set aside without losing them.
     """
-    trusted = raw is None and engine == "heuristic"
-    found = engine_spans(text_col, engine) if raw is None else F.expr(raw)
-    merged, flagged = S.merge("_raw"), "false"
-    if not trusted:
+    if raw is None and engine == "heuristic":
+        spans = S.bind("raw", raw_spans(text_col), S.merge("raw"))
+        held = S.hold(df, {"spans": spans, "invalid": "false"})
+    else:
+        staged = df.withColumn("_raw", F.expr(raw) if raw else engine_spans(text_col, engine))
         known = ", ".join(repr(k) for k in [*V.LABELS, V.MANUAL_LABEL])
         fine = f"({S.is_valid('_raw', text_col)} AND forall(_raw, v -> v.label IN ({known})))"
-        flagged = f"NOT {fine}"
         broken = "raise_error('detector returned an invalid span')" if strict else "null"
-        merged = f"CASE WHEN {fine} THEN {merged} ELSE {broken} END"
+        spans = f"CASE WHEN {fine} THEN {S.merge('_raw')} ELSE {broken} END"
+        held = S.hold(staged, {"spans": spans, "invalid": f"NOT {fine}"}).drop("_raw")
     redacted = S.redact(text_col, "spans", lambda s: S.placeholder(f"{s}.label"))
-    return (
-        df.withColumn("_raw", found)
-        .withColumns({"spans": F.expr(merged), "invalid": F.expr(flagged)})
-        .withColumns(
-            {
-                "engine": F.lit(engine),
-                "span_count": F.expr("cast(size(spans) AS bigint)"),
-                "by_label": F.expr(S.count_by_label("spans")),
-                "redacted_text": F.expr(f"CASE WHEN spans IS NOT NULL THEN {redacted} END"),
-            }
-        )
-        .drop("_raw")
+    return held.withColumns(
+        {
+            "engine": F.lit(engine),
+            "span_count": F.expr("cast(size(spans) AS bigint)"),
+            "by_label": F.expr(S.count_by_label("spans")),
+            "redacted_text": F.expr(f"CASE WHEN spans IS NOT NULL THEN {redacted} END"),
+        }
     )
 
 
@@ -185,10 +181,13 @@ def result(
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan of few, large input splits enough tasks; leave a well-split scan alone.
+    """Deal a small input out to all cores; leave a large one as its splits are.
 
-    Pattern matching costs far more than moving the text, so one file with a single row group is
-    dealt out to all cores. Inputs that already have a split per core are not shuffled.
+    Matching costs far more than moving the text, and a file with a single row group is a single
+    task. An input that fills one split per core or more is never shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(2 * cores) if size < cores * split else df

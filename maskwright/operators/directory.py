@@ -28,7 +28,7 @@ def _needles(staff: DataFrame) -> DataFrame:
         "staff_ord",
         "name",
         "role",
-        F.expr("inline(array(struct('name' AS kind, name AS needle), struct('email', email)))"),
+        F.expr("inline(array(struct('name' AS kind, name AS needle), struct('email' AS kind, email AS needle)))"),
     ).where("length(needle) > 0")
 
 

@@ -62,24 +62,24 @@ def score(df: DataFrame, *, strict: bool = True) -> DataFrame:
     With ``strict`` an inconsistent case stops the job; otherwise it is scored as it stands and can
     be listed with :func:`integrity_errors`.
     """
+    found = "spans"
     if strict:
         rebuilt = S.redact("text", "spans", lambda s: S.placeholder(f"{s}.label"))
-        df = df.withColumn(
-            "spans",
-            F.expr(
-                f"CASE WHEN NOT {S.is_valid('spans', 'text')} THEN raise_error('invalid detector span') "
-                f"WHEN redacted_text <> {rebuilt} THEN raise_error('redacted text does not match spans') "
-                "ELSE spans END"
-            ),
+        found = (
+            f"CASE WHEN NOT {S.is_valid('spans', 'text')} THEN raise_error('invalid detector span') "
+            f"WHEN redacted_text <> {rebuilt} THEN raise_error('redacted text does not match spans') "
+            "ELSE spans END"
         )
-    df = df.withColumns(
+    df = S.hold(df.select("case_id", "engine", "groups", "gold", "spans", "text", "redacted_text"), {"spans": found})
+    df = S.hold(
+        df,
         {
-            "_g": F.expr(_keys("gold")),
-            "_p": F.expr(_keys("spans")),
-            "_gold": F.expr(S.covered(S.merge("gold"))),
-            "_pred": F.expr(S.covered(S.merge("spans"))),
-            "_both": F.expr(S.bind("both", "concat(gold, spans)", S.covered(S.merge("both")))),
-        }
+            "_g": _keys("gold"),
+            "_p": _keys("spans"),
+            "_gold": S.covered(S.merge("gold")),
+            "_pred": S.covered(S.merge("spans")),
+            "_both": S.bind("both", "concat(gold, spans)", S.covered(S.merge("both"))),
+        },
     )
     return with_ratios(
         df.select(

@@ -69,8 +69,9 @@ def classify(messages: DataFrame, internal_domains: list[str]) -> DataFrame:
 def scan(messages: DataFrame) -> DataFrame:
     """Scan subject and body apart, and add the per-message totals."""
     parts = ("subject", "body")
-    df = messages.withColumns({f"_raw_{p}": F.expr(raw_spans(p)) for p in parts})
-    df = df.withColumns({f"{p}_spans": F.expr(S.merge(f"_raw_{p}")) for p in parts})
+    df = S.hold(
+        messages, {f"{p}_spans": S.bind("raw", raw_spans(p), S.merge("raw")) for p in parts}
+    )
     every = "concat(body_spans, subject_spans)"
     return df.withColumns(
         {
@@ -84,7 +85,7 @@ def scan(messages: DataFrame) -> DataFrame:
             "by_label": F.expr(S.bind("both", every, S.count_by_label("both"))),
             "is_sensitive": F.expr("size(body_spans) + size(subject_spans) > 0"),
         }
-    ).drop(*[f"_raw_{p}" for p in parts])
+    )
 
 
 def assess(scanned: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from maskwright import fixed_values as V
 from maskwright.functions import spans as S
 from maskwright.functions.regex import SPACE
 from maskwright.operators.credentials import credential_spans
-from maskwright.operators.detect import engine_spans
+from maskwright.operators.detect import engine_spans, raw_spans
 from maskwright.operators.routing import routing, with_domains
 
 MASKS = "array<struct<field:string,start:int,end:int>>"
@@ -145,15 +145,18 @@ def prepare(
     (no matched text), ``routing`` the recipient summary of an email. When ``reject_reason`` is
     set, all of them are null.
     """
-    df = requests.withColumn("manual_masks", F.expr(f"coalesce(manual_masks, cast(array() AS {MASKS}))"))
+    df = requests.withColumn(
+        "manual_masks", F.expr(f"coalesce(manual_masks, cast(array() AS {MASKS}))")
+    )
     df = df.withColumn("_error", F.expr(request_error()))
     is_email = "(_error IS NULL AND use_case = 'email')"
     for header in V.ROUTING_FIELDS:
         df = with_domains(df, F.expr(f"CASE WHEN {is_email} THEN fields['{header}'] END"), f"_{header}")
-    df = df.withColumn("routing", F.expr(routing("_sender", "_recipients", internal_domains or [])))
-    df = df.withColumn(
-        "_error",
-        F.expr(f"CASE WHEN {is_email} AND routing IS NULL THEN 'invalid_email_routing' ELSE _error END"),
+    df = S.hold(df, {"routing": routing("_sender", "_recipients", internal_domains or []), "_error": "_error"})
+    unroutable = f"{is_email} AND routing IS NULL"
+    df = S.hold(
+        df.drop("_sender", "_recipients"),
+        {"_error": f"CASE WHEN {unroutable} THEN 'invalid_email_routing' ELSE _error END"},
     )
 
     # A request has one long text (text or body) and, for an email, a subject.
@@ -170,38 +173,36 @@ def prepare(
         }
     )
     parts = {"subject": "'subject'", "main": "_main_name"}
-    df = df.withColumns({f"_found_{p}": engine_spans(f"_{p}", engine) for p in parts})
-    columns = {}
+    if engine != "heuristic":
+        df = df.withColumns({f"_found_{p}": engine_spans(f"_{p}", engine) for p in parts})
+    held = {}
     for part, name in parts.items():
         found = f"_found_{part}"
-        checked = (
-            S.merge(found)
-            if engine == "heuristic"
-            else f"CASE WHEN {S.is_valid(found, f'_{part}')} THEN {S.merge(found)} "
-            "ELSE raise_error('detector returned an invalid span') END"
-        )
-        columns[f"_auto_{part}"] = F.expr(checked)
-        columns[f"_cred_{part}"] = F.expr(credential_spans(f"_{part}"))
+        if engine == "heuristic":
+            held[f"_auto_{part}"] = S.bind("raw", raw_spans(f"_{part}"), S.merge("raw"))
+        else:
+            known = ", ".join(repr(k) for k in V.LABELS)
+            held[f"_auto_{part}"] = (
+                f"CASE WHEN {S.is_valid(found, f'_{part}')} AND forall({found}, v -> v.label IN ({known})) "
+                f"THEN {S.merge(found)} ELSE raise_error('detector returned an invalid span') END"
+            )
+        held[f"_cred_{part}"] = credential_spans(f"_{part}")
         own = f"filter(manual_masks, m -> m.field = {name})"
         masks = f"transform({own}, m -> {S.span('m.start', 'm.end', repr(V.MANUAL_LABEL))})"
-        columns[f"_hand_{part}"] = F.expr(
-            f"CASE WHEN _error IS NULL THEN {masks} ELSE {S.NO_SPANS} END"
-        )
-    df = df.withColumns(columns)
+        held[f"_hand_{part}"] = f"CASE WHEN _error IS NULL THEN {masks} ELSE {S.NO_SPANS} END"
+    df = S.hold(df, held)
     crowded = " OR ".join(
         f"size(_auto_{p}) + size(_cred_{p}) + size(_hand_{p}) > {V.MAX_FINDINGS_PER_FIELD}"
         for p in parts
     )
     df = df.withColumn("_error", F.expr(f"CASE WHEN {crowded} THEN 'too_many_findings' ELSE _error END"))
-    df = df.withColumns(
-        {
-            f"_spans_{p}": F.expr(
-                f"CASE WHEN _error IS NULL THEN {S.merge(f'concat(_auto_{p}, _cred_{p}, _hand_{p})')} "
-                f"ELSE {S.NO_SPANS} END"
-            )
-            for p in parts
-        }
-    )
+
+    def union(part: str) -> str:
+        every = f"concat(_auto_{part}, _cred_{part}, _hand_{part})"
+        return (
+            f"CASE WHEN _error IS NULL THEN {S.bind('every', every, S.merge('every'))} "
+            f"ELSE {S.NO_SPANS} END"
+        )
 
     def listed(part: str, name: str) -> str:
         return (
@@ -211,25 +212,23 @@ def prepare(
         )
 
     tokens = r"\[[A-Z_]+_[1-9][0-9]*\]"
-    df = df.withColumn("_found", F.expr(f"concat({', '.join(listed(p, n) for p, n in parts.items())})"))
-    df = df.withColumns(
+    df = S.hold(df, {"_error": "_error", **{f"_spans_{p}": union(p) for p in parts}})
+    df = S.hold(df, {"_found": f"concat({', '.join(listed(p, n) for p, n in parts.items())})"})
+    df = S.hold(
+        df.drop(*[f"_{kind}_{p}" for kind in ("spans", "auto", "cred", "hand", "found") for p in parts]),
         {
-            "_known": F.expr(
-                "array_distinct(transform(_found, f -> struct(f.label AS label, f.match AS match)))"
-            ),
-            "_taken": F.expr(
-                "array_distinct(flatten(transform(map_values(fields), v -> "
-                f"regexp_extract_all(v, r'{tokens}', 0))))"
-            ),
-        }
+            "_known": "array_distinct(transform(_found, f -> struct(f.label AS label, f.match AS match)))",
+            "_taken": "array_distinct(flatten(transform(map_values(fields), v -> "
+            f"regexp_extract_all(v, r'{tokens}', 0))))",
+        },
     )
     labels = "array_distinct(_known.label)"
-    df = df.withColumn(
-        "_names",
-        F.expr(
-            f"map_from_arrays(flatten(transform({labels}, l -> filter(_known, w -> w.label = l))), "
+    df = S.hold(
+        df,
+        {
+            "_names": f"map_from_arrays(flatten(transform({labels}, l -> filter(_known, w -> w.label = l))), "
             f"flatten(transform({labels}, l -> {_numbered('l')})))"
-        ),
+        },
     )
     headers = ", ".join(
         f"named_struct('field', '{h}', 'label', 'private_email', 'start', 0, "
@@ -242,29 +241,35 @@ def prepare(
         "'end', f.end, 'placeholder', _names[struct(f.label AS label, f.match AS match)], "
         "'sources', f.sources))"
     )
-    df = df.withColumn(
-        "findings",
-        F.expr(f"CASE WHEN use_case = 'email' THEN concat(array({headers}), {scanned}) ELSE {scanned} END"),
+    df = S.hold(
+        df.drop("_known", "_taken"),
+        {
+            "findings": f"CASE WHEN use_case = 'email' THEN concat(array({headers}), {scanned}) "
+            f"ELSE {scanned} END"
+        },
     )
 
     def masked(part: str, name: str) -> str:
         own = f"filter(findings, f -> f.field = {name})"
         return S.bind("own", own, S.redact(f"_{part}", "own", lambda s: f"{s}.placeholder"))
 
-    df = df.withColumn(
-        "candidate_fields",
-        F.expr(
-            "CASE WHEN use_case = 'email' THEN map('sender', '[SENDER_REMOVED]', "
-            f"'recipients', '[RECIPIENTS_REMOVED]', 'subject', {masked('subject', parts['subject'])}, "
-            f"'body', {masked('main', parts['main'])}) ELSE map('text', {masked('main', parts['main'])}) END"
-        ),
+    email_fields = (
+        "map('sender', '[SENDER_REMOVED]', 'recipients', '[RECIPIENTS_REMOVED]', "
+        f"'subject', {masked('subject', parts['subject'])}, 'body', {masked('main', parts['main'])})"
     )
-    df = df.withColumn(
-        "reject_reason",
-        F.expr(
-            f"CASE WHEN _error IS NOT NULL THEN _error WHEN {candidate_bytes(engine)} > "
+    df = S.hold(
+        df.drop("_names", "_found"),
+        {
+            "candidate_fields": f"CASE WHEN use_case = 'email' THEN {email_fields} "
+            f"ELSE map('text', {masked('main', parts['main'])}) END"
+        },
+    )
+    df = S.hold(
+        df,
+        {
+            "reject_reason": f"CASE WHEN _error IS NOT NULL THEN _error WHEN {candidate_bytes(engine)} > "
             f"{V.MAX_BODY_BYTES} THEN 'candidate_too_large' END"
-        ),
+        },
     )
     fine = F.col("reject_reason").isNull()
     kept = [c for c in requests.columns if c not in ("fields", "manual_masks")]

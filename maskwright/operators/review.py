@@ -1,6 +1,6 @@
 """Review receipts: decide the outcome of every attempt from an append-only log.
 
-An attempt has ``event_id``, ``at``, ``action`` (prepared, exported, discarded), ``token``,
+An attempt has ``event_id``, ``occurred_at``, ``action`` (prepared, exported, discarded), ``token``,
 ``fingerprint`` and ``confirmed``. Attempts are ordered by time, then by event id.
 """
 
@@ -34,12 +34,12 @@ def receipts(attempts: DataFrame, life_seconds: int = V.RECEIPT_LIFE_SECONDS) ->
     A receipt is used up by its first valid discard or its first confirmed export with the right
     fingerprint, whichever comes first; a wrong fingerprint leaves it standing.
     """
-    key = F.struct("at", "event_id")
+    key = F.struct("occurred_at", "event_id")
     issued = (
         attempts.where("action = 'prepared'")
         .groupBy("token")
         .agg(F.min(key).alias("issue"), F.min_by("fingerprint", key).alias("issue_fingerprint"))
-        .withColumn("expires", F.expr(f"issue.at + INTERVAL {int(life_seconds)} SECONDS"))
+        .withColumn("expires", F.expr(f"issue.occurred_at + INTERVAL {int(life_seconds)} SECONDS"))
     )
     # The salt sends the attempts on one busy token to many tasks, each of which keeps one minimum;
     # its own shuffle also lets the adaptive planner split a skewed join in front of it.
@@ -48,7 +48,7 @@ def receipts(attempts: DataFrame, life_seconds: int = V.RECEIPT_LIFE_SECONDS) ->
         .join(issued, "token")
         .where(
             (key > F.col("issue"))
-            & F.expr("at < expires AND (action = 'discarded' OR fingerprint = issue_fingerprint)")
+            & F.expr("occurred_at < expires AND (action = 'discarded' OR fingerprint = issue_fingerprint)")
         )
         .select("token", key.alias("use"), "action", F.expr(f"pmod(hash(event_id), {_SALTS})").alias("salt"))
         .repartition("token", "salt")
@@ -73,7 +73,7 @@ def reconcile(attempts: DataFrame, life_seconds: int = V.RECEIPT_LIFE_SECONDS) -
     ``review_required``: export without a literal confirmation. ``review_unavailable``: unknown,
     expired or used receipt. ``candidate_changed``: valid receipt, other content.
     """
-    key = F.struct("at", "event_id")
+    key = F.struct("occurred_at", "event_id")
     state = receipts(attempts, life_seconds)
     df = attempts.join(state, "token", "left").withColumn("key", key)
     outcome = F.expr(
@@ -83,7 +83,7 @@ def reconcile(attempts: DataFrame, life_seconds: int = V.RECEIPT_LIFE_SECONDS) -
           WHEN action = 'exported' AND NOT coalesce(confirmed, false) THEN 'review_required'
           WHEN action = 'discarded' THEN
             CASE WHEN key = use THEN 'discarded' ELSE 'ignored' END
-          WHEN issue IS NULL OR key < issue OR at >= expires OR key > use THEN 'review_unavailable'
+          WHEN issue IS NULL OR key < issue OR occurred_at >= expires OR key > use THEN 'review_unavailable'
           WHEN key = use THEN 'exported'
           ELSE 'candidate_changed'
         END
@@ -96,7 +96,7 @@ def audit_events(reconciled: DataFrame) -> DataFrame:
     """What happened, without texts, tokens or fingerprints."""
     return reconciled.where("outcome IN ('prepared', 'exported', 'discarded')").select(
         "event_id",
-        "at",
+        "occurred_at",
         F.lit(V.REVIEW_ACTOR).alias("actor"),
         F.col("outcome").alias("action"),
         "use_case",
@@ -108,7 +108,7 @@ def audit_events(reconciled: DataFrame) -> DataFrame:
 
 
 def last_events(events: DataFrame, n: int = V.MAX_EVENTS_LISTED) -> DataFrame:
-    return events.orderBy(F.desc("at"), F.desc("event_id")).limit(n)
+    return events.orderBy(F.desc("occurred_at"), F.desc("event_id")).limit(n)
 
 
 def backlog(attempts: DataFrame, life_seconds: int = V.RECEIPT_LIFE_SECONDS) -> DataFrame:
@@ -116,8 +116,8 @@ def backlog(attempts: DataFrame, life_seconds: int = V.RECEIPT_LIFE_SECONDS) ->
     changes = receipts(attempts, life_seconds).select(
         F.inline(
             F.expr(
-                "array(struct(issue.at AS at, 1 AS change), "
-                "struct(coalesce(use.at, expires) AS at, -1 AS change))"
+                "array(struct(issue.occurred_at AS at, 1 AS change), "
+                "struct(coalesce(use.occurred_at, expires) AS at, -1 AS change))"
             )
         )
     )

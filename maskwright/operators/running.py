@@ -13,14 +13,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+# Microseconds of a timestamp without time zone, whatever the zone of the session.
+_LOCAL_MICROS = (
+    "cast(cast(cast(instant - TIMESTAMP_NTZ'1970-01-01 00:00:00' AS INTERVAL SECOND) "
+    "AS DECIMAL(18, 6)) * 1000000 AS bigint)"
+)
+
+
 def running_totals(df: DataFrame, at: str, measures: dict[str, Column]) -> DataFrame:
     """For every instant of ``at``, each measure summed over all rows up to and including it."""
     names = list(measures)
     sums = [F.sum(n).alias(n) for n in names]
+    local = dict(df.select(at).dtypes)[at] == "timestamp_ntz"
+    micros = F.expr(_LOCAL_MICROS) if local else F.unix_micros("instant")
     instants = (
-        df.groupBy(F.col(at).alias("at"))
+        df.groupBy(F.col(at).alias("instant"))
         .agg(*[F.sum(c).alias(n) for n, c in measures.items()])
-        .withColumns({"_sec": F.date_trunc("second", "at"), "_day": F.date_trunc("day", "at")})
+        .withColumn("_us", micros)
+        .withColumn("_sec", F.expr("(_us - pmod(_us, 1000000)) div 1000000"))
+        .withColumn("_day", F.expr("(_sec - pmod(_sec, 86400)) div 86400"))
     )
     seconds = instants.groupBy("_day", "_sec").agg(*sums)
     days = seconds.groupBy("_day").agg(*sums)
@@ -31,10 +42,10 @@ def running_totals(df: DataFrame, at: str, measures: dict[str, Column]) -> DataF
 
     seconds = seconds.select("_sec", *before(W.partitionBy("_day").orderBy("_sec"), "s_"))
     days = days.select("_day", *before(W.partitionBy(F.lit(0)).orderBy("_day"), "d_"))
-    inside = W.partitionBy("_sec").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("_sec").orderBy("instant").rowsBetween(W.unboundedPreceding, 0)
     return (
-        instants.select("at", "_sec", "_day", *[F.sum(n).over(inside).alias(n) for n in names])
+        instants.select("instant", "_sec", "_day", *[F.sum(n).over(inside).alias(n) for n in names])
         .join(seconds, "_sec")
         .join(days, "_day")
-        .select("at", *[(F.col(n) + F.col("s_" + n) + F.col("d_" + n)).alias(n) for n in names])
+        .select("instant", *[(F.col(n) + F.col("s_" + n) + F.col("d_" + n)).alias(n) for n in names])
     )

@@ -16,16 +16,16 @@ LATENESS = "10 minutes"
 
 def _sides(prepared: DataFrame, exports: DataFrame, lateness: str) -> tuple[DataFrame, DataFrame]:
     p = prepared.select(
-        F.col("token").alias("p_token"), F.col("at").alias("p_at"), F.col("fingerprint").alias("p_fingerprint")
+        F.col("token").alias("p_token"), F.col("occurred_at").alias("p_at"), F.col("fingerprint").alias("p_fingerprint")
     ).withWatermark("p_at", lateness)
-    x = exports.where("confirmed").select("event_id", "token", "at", "fingerprint").withWatermark("at", lateness)
+    x = exports.where("confirmed").select("event_id", "token", "occurred_at", "fingerprint").withWatermark("occurred_at", lateness)
     return p, x
 
 
 def _alive(life_seconds: int):
     return F.expr(
-        "token = p_token AND at >= p_at "
-        f"AND at < p_at + INTERVAL {int(life_seconds)} SECONDS"
+        "token = p_token AND occurred_at >= p_at "
+        f"AND occurred_at < p_at + INTERVAL {int(life_seconds)} SECONDS"
     )
 
 
@@ -39,7 +39,7 @@ def valid_exports(
     p, x = _sides(prepared, exports, lateness)
     return (
         p.join(x, _alive(life_seconds) & F.expr("fingerprint = p_fingerprint"))
-        .select("event_id", "token", "at", F.unix_micros("p_at").alias("prepared_micros"))
+        .select("event_id", "token", "occurred_at", F.unix_micros("p_at").alias("prepared_micros"))
     )
 
 
