@@ -10,14 +10,14 @@ from __future__ import annotations
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
 SPACE = r"\s\x0B\x1C-\x1F\x85\p{Z}"
-_BOUNDARY = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
+BOUNDARY = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 
 _OUTSIDE = {
     r"\w": f"[{WORD}]",
     r"\d": DIGIT,
     r"\s": f"[{SPACE}]",
     r"\S": f"[^{SPACE}]",
-    r"\b": _BOUNDARY,
+    r"\b": BOUNDARY,
 }
 _INSIDE = {r"\w": WORD, r"\d": DIGIT, r"\s": SPACE}
 

@@ -53,13 +53,12 @@ def hold(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def span(start: str, end: str, label: str) -> str:
-    return f"cast(named_struct('start', {start}, 'end', {end}, 'label', {label}) AS {SPAN})"
+    return f"named_struct('start', {start}, 'end', {end}, 'label', {label})"
 
 
 def fold(
     items: str,
     state: str,
-    state_type: str,
     out_type: str,
     next_state: Callable[[str, str], str],
     emit: Callable[[str, str], str],
@@ -71,11 +70,10 @@ def fold(
     ``finish`` may use ``acc.state`` and ``acc.out``. Rows are gathered run by run, which keeps the
     work close to linear on texts with very many matches.
     """
-    acc = f"struct<state:{state_type},out:{out_type}>"
     nothing = f"cast(array() AS {out_type})"
 
     def pair(new_state: str, out: str) -> str:
-        return f"cast(named_struct('state', {new_state}, 'out', {out}) AS {acc})"
+        return f"named_struct('state', {new_state}, 'out', {out})"
 
     one = pair(next_state("acc.state", "item"), f"concat(acc.out, {emit('acc.state', 'item')})")
     run = (
@@ -83,11 +81,14 @@ def fold(
         f"(acc, item) -> {one})"
     )
     add_run = bind("part", run, pair("part.state", "concat(total.out, part.out)"))
-    runs = f"sequence(0, greatest(cast((size(items) - 1) div {RUN} AS int), 0))"
+    start = pair(state, nothing)
+    runs = f"sequence(0, cast((size(items) - 1) div {RUN} AS int))"
     return bind(
         "items",
         items,
-        f"aggregate({runs}, {pair(state, nothing)}, (total, run) -> {add_run}, acc -> {finish})",
+        f"CASE WHEN size(items) <= {RUN} "
+        f"THEN aggregate(items, {start}, (acc, item) -> {one}, acc -> {finish}) "
+        f"ELSE aggregate({runs}, {start}, (total, run) -> {add_run}, acc -> {finish}) END",
     )
 
 
@@ -122,7 +123,6 @@ def find_all(
     offsets = fold(
         "pieces",
         "named_struct('at', 0, 'hit', false)",
-        "struct<at:int,hit:boolean>",
         SPANS,
         lambda s, x: f"named_struct('at', {s}.at + length({x}), 'hit', NOT {s}.hit)",
         lambda s, x: f"CASE WHEN {s}.hit AND {x} IS NOT NULL THEN "
@@ -169,14 +169,12 @@ def merge(spans: str) -> str:
             f"'best', least({s}.best, {key(x)}))"
         )
         return (
-            f"CASE WHEN {fresh(s, x)} THEN cast({opened} AS {state_type}) "
-            f"ELSE cast({grown} AS {state_type}) END"
+            f"CASE WHEN {fresh(s, x)} THEN {opened} ELSE {grown} END"
         )
 
     merged = fold(
-        f"array_sort({spans})",
+        f"sort_array({spans})",
         f"cast(null AS {state_type})",
-        state_type,
         SPANS,
         next_state,
         lambda s, x: f"CASE WHEN {fresh(s, x)} AND {s}.end IS NOT NULL THEN {closed(s)} "
@@ -204,7 +202,6 @@ def redact(text: str, spans: str, replacement: Callable[[str], str]) -> str:
     pieces = fold(
         spans,
         "0",
-        "int",
         "array<string>",
         lambda s, x: f"{x}.end",
         lambda s, x: f"array({cut(text, s, f'{x}.start')}, {replacement(x)})",
@@ -217,7 +214,7 @@ def count_by_label(spans: str) -> str:
     """``map<label, count>`` of a span array."""
     return bind(
         "labels",
-        f"array_sort(array_distinct({spans}.label))",
+        f"sort_array(array_distinct({spans}.label))",
         "map_from_arrays(labels, transform(labels, k -> "
         f"cast(size(filter({spans}, w -> w.label = k)) AS bigint)))",
     )

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from maskwright import fixed_values as V
 from maskwright.functions import spans as S
-from maskwright.functions.regex import DIGIT, WORD, to_java
+from maskwright.functions.regex import BOUNDARY, DIGIT, WORD, to_java
 
-# First characters a match can begin with. Testing one character before the boundary look-behind
-# keeps the regex engine off its slow path at most positions. They never reject a match.
+# First characters a match can begin with. Testing one character before looking behind keeps the
+# regex engine off its slow path at most positions. They never reject a match.
 _FIRST = {
-    "secret": "[sgaxbtp]",
+    "secret": "[sgaxbtpSGAXBTP\u017f]",
     "account": f"[A-Z{DIGIT}]",
     "phone": rf"[+({DIGIT}]",
     "date": f"[JFMASOND{DIGIT}]",
@@ -30,10 +30,12 @@ def _java(name: str, pattern: str) -> str:
     if name == "person_hint":  # split at the group so that the greeting is group 1
         greeting, person = java[: java.index("([A-Z]")], java[java.index("([A-Z]") :]
         java = f"({greeting}){person}"
-    if name not in _FIRST:
-        return java
-    flags = "(?iu)" if java.startswith("(?iu)") else ""
-    return f"{flags}(?={_FIRST[name]}){java[len(flags):]}"
+    if name in _FIRST:
+        # all of these but "+" and "(" are word characters, where a boundary only looks behind
+        if name != "phone":
+            java = java.replace(BOUNDARY, f"(?<![{WORD}])", 1)
+        java = f"(?={_FIRST[name]}){java}"
+    return java
 
 
 JAVA_RULES = {name: (label, _java(name, pattern)) for name, label, pattern in V.RULES}

@@ -213,7 +213,6 @@ def assemble(cases: DataFrame) -> DataFrame:
     gold = S.fold(
         "segments",
         "0",
-        "int",
         S.SPANS,
         lambda s, x: f"{s} + length({x}.text)",
         lambda s, x: f"CASE WHEN {x}.label IS NOT NULL THEN "

@@ -8,6 +8,7 @@ from email.utils import getaddresses
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskwright import fixed_values as V
 from maskwright.functions import spans as S
@@ -18,7 +19,7 @@ _MAILBOX = rf'[ \t]*(?:(?:"[^"\\]*"|[\p{{L}}0-9 ._-]*)[ \t]*<{_ADDRESS}>|{_ADDRE
 _PLAIN_LIST = rf"^{_MAILBOX}(?:,{_MAILBOX})*$"
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _library_domains(values: pd.Series) -> pd.Series:
     """Domains of an address list in any notation the standard library accepts, else null."""
 

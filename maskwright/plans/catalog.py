@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["scans", "mails", "reviews"]
+_MODULES = ["scans", "mails", "prepares", "reviews"]
 
 
 def _collect(what: str) -> dict:

@@ -88,7 +88,7 @@ def merged(name: str, source: str, keys: str) -> str:
     order = f"PARTITION BY {keys} ORDER BY s, e, label"
     return (
         f"{name}_o AS (SELECT *, max(e) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND "
-        f"1 PRECEDING) AS reach FROM {source}), "
+        f"1 PRECEDING) AS reach FROM (SELECT DISTINCT {keys}, label, s, e FROM {source})), "
         f"{name}_c AS (SELECT *, sum(CASE WHEN reach IS NULL OR s >= reach THEN 1 ELSE 0 END) OVER "
         f"({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM {name}_o), "
         f"{name} AS (SELECT {keys}, min(s) AS s, max(e) AS e, first(label ORDER BY "

@@ -132,8 +132,8 @@ ORACLE["b13_merged_foreign"] = (
 
 def b14_label_changes(spark, folder):
     """For merged spans of several matches: the label that won, against those that took part."""
-    df = _texts(spark, folder).withColumn("found", F.expr(D.raw_spans("text")))
-    df = df.withColumn("spans", F.expr(S.merge("found")))
+    df = S.hold(_texts(spark, folder), {"found": D.raw_spans("text")})
+    df = S.hold(df, {"spans": S.merge("found")})
     members = "filter(found, r -> r.start < s.end AND r.end > s.start)"
     return (
         df.select("found", F.explode("spans").alias("s"))
