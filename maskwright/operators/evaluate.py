@@ -163,15 +163,9 @@ def regressions(report: DataFrame, baseline: DataFrame) -> DataFrame:
     error counts. A difference in one of the first three is reported once and ends the comparison.
     """
     head = ["schema_version", "engine", "dataset_sha256"]
-
-    def header(df: DataFrame, side: str) -> DataFrame:
-        return df.agg(*[F.min(c).cast("string").alias(f"{side}_{c}") for c in head])
-
-    heads = header(report, "new").join(header(baseline, "old"))  # one row each
-    reasons = ", ".join(
-        f"CASE WHEN NOT (new_{c} <=> old_{c}) THEN '{c}' END" for c in head
-    )
-    mismatch = heads.select(F.expr(f"get(array_compact(array({reasons})), 0)").alias("mismatch"))
+    both = report.select(*head).unionByName(baseline.select(*head))
+    differs = ", ".join(f"CASE WHEN NOT (min({c}) <=> max({c})) THEN '{c}' END" for c in head)
+    mismatch = both.agg(F.expr(f"get(array_compact(array({differs})), 0)").alias("mismatch"))
     new = report.select("case_id", *[F.col(c).alias(f"new_{c}") for c in V.ERROR_COUNTS], F.lit(1).alias("in_new"))
     old = baseline.select("case_id", *[F.col(c).alias(f"old_{c}") for c in V.ERROR_COUNTS], F.lit(1).alias("in_old"))
     pairs = ", ".join(f"struct('{c}' AS check, old_{c} AS was, new_{c} AS now)" for c in V.ERROR_COUNTS)
@@ -190,13 +184,12 @@ def regressions(report: DataFrame, baseline: DataFrame) -> DataFrame:
         )
     )
     failed = mismatch.where("mismatch IS NOT NULL").select(
-        F.lit("").alias("case_id"),
+        F.lit(None).cast(dict(report.dtypes)["case_id"]).alias("case_id"),
         F.col("mismatch").alias("check"),
         F.lit(None).cast("bigint").alias("was"),
         F.lit(None).cast("bigint").alias("now"),
     )
-    checked = rose.join(F.broadcast(mismatch)).where("mismatch IS NULL").drop("mismatch")
-    return failed.unionByName(checked)
+    return failed.unionByName(rose.where(mismatch.scalar().isNull()))
 
 
 def compare_engines(scored: DataFrame) -> DataFrame:

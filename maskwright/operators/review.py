@@ -21,9 +21,13 @@ def fingerprint(key: bytes, fields: str = "candidate_fields") -> str:
     texts = ", ".join(
         f"'{f}', {fields}['{f}']" for f in ("body", "recipients", "sender", "subject", "text")
     )
+    sides = ("all_recipients_internal", "crosses_boundary", "recipient_count")
+    routing = ", ".join(f"'{f}', routing.{f}" for f in sides)
     canonical = (
         f"to_json(named_struct('engine', engine, 'fields', named_struct({texts}), "
-        "'policy_version', policy_version, 'routing', routing, 'use_case', use_case))"
+        "'policy_version', policy_version, "
+        f"'routing', CASE WHEN routing IS NOT NULL THEN named_struct({routing}) END, "
+        "'use_case', use_case))"
     )
     return hmac_sha256(canonical, key)
 

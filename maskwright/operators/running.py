@@ -13,11 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-# Microseconds of a timestamp without time zone, whatever the zone of the session.
-_LOCAL_MICROS = (
-    "cast(cast(cast(instant - TIMESTAMP_NTZ'1970-01-01 00:00:00' AS INTERVAL SECOND) "
-    "AS DECIMAL(18, 6)) * 1000000 AS bigint)"
-)
+def local_micros(ts: str) -> str:
+    """Microseconds of a timestamp without time zone, whatever the zone of the session."""
+    return (
+        f"cast(cast(cast({ts} - TIMESTAMP_NTZ'1970-01-01 00:00:00' AS INTERVAL SECOND) "
+        "AS DECIMAL(18, 6)) * 1000000 AS bigint)"
+    )
 
 
 def running_totals(df: DataFrame, at: str, measures: dict[str, Column]) -> DataFrame:
@@ -25,7 +26,7 @@ def running_totals(df: DataFrame, at: str, measures: dict[str, Column]) -> DataF
     names = list(measures)
     sums = [F.sum(n).alias(n) for n in names]
     local = dict(df.select(at).dtypes)[at] == "timestamp_ntz"
-    micros = F.expr(_LOCAL_MICROS) if local else F.unix_micros("instant")
+    micros = F.expr(local_micros("instant")) if local else F.unix_micros("instant")
     instants = (
         df.groupBy(F.col(at).alias("instant"))
         .agg(*[F.sum(c).alias(n) for n, c in measures.items()])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["scans", "mails", "prepares", "reviews"]
+_MODULES = ["scans", "mails", "prepares", "reviews", "evals", "live"]
 
 
 def _collect(what: str) -> dict:

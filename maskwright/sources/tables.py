@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.operators.running import local_micros
+
 SPARK = {
     "array": "array",
     "slice": "slice",
@@ -165,6 +167,26 @@ class Tables:
     def logs(self) -> DataFrame:
         return self._view(log_view(SPARK), "events")
 
+    def _stream(self, table: str) -> DataFrame:
+        """The rows of a table as they arrive in the folder."""
+        schema = self.read(table).schema
+        return (
+            self.spark.readStream.schema(schema)
+            .option("pathGlobFilter", f"{table}.parquet")
+            .parquet(self.folder)
+        )
+
+    def message_stream(self) -> DataFrame:
+        view = message_view(SPARK)
+        rows = self._stream("orders").select(*[F.expr(e).alias(n) for n, e in view.items()])
+        return rows.withColumn("sent_at", F.expr(f"timestamp_micros({local_micros('sent_at')})"))
+
+    def attempt_stream(self, *actions: str) -> DataFrame:
+        view = attempt_view(SPARK)
+        rows = self._stream("events").select(*[F.expr(e).alias(n) for n, e in view.items()])
+        rows = rows.withColumn("occurred_at", F.expr(f"timestamp_micros({local_micros('occurred_at')})"))
+        return rows.where(F.col("action").isin(*actions))
+
     def texts(self) -> DataFrame:
         parts = []
         for table, key, kind, text in TEXT_PARTS:
