@@ -108,7 +108,9 @@ def engine_spans(text: str, engine: str) -> Column:
                 ]
             )
 
-    return F.pandas_udf(run, S.SPANS, F.PandasUDFType.SCALAR_ITER)(F.expr(text))
+    # postponed annotations are strings; the function kind is read from real types
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, S.SPANS)(F.expr(text))
 
 
 def detect(

@@ -97,6 +97,15 @@ def _envelope(use_case: str, engine: str) -> int:
 _ROUTING_KEYS = ["recipient_count", "crosses_example_boundary", "all_recipients_internal"]
 
 
+def too_large(engine: str) -> str:
+    """Whether the body that would carry the candidate back for export exceeds its limit.
+
+    A code point takes at most twelve bytes, so short candidates need no counting.
+    """
+    letters = "aggregate(map_values(candidate_fields), 0L, (n, v) -> n + length(v))"
+    return f"(12 * {letters} > {V.MAX_BODY_BYTES - 1024} AND {candidate_bytes(engine)} > {V.MAX_BODY_BYTES})"
+
+
 def candidate_bytes(engine: str) -> str:
     """Size of the body that would carry the candidate back for export."""
     cases = " ".join(
@@ -219,7 +228,8 @@ def prepare(
         {
             "_known": "array_distinct(transform(_found, f -> struct(f.label AS label, f.match AS match)))",
             "_taken": "array_distinct(flatten(transform(map_values(fields), v -> "
-            f"regexp_extract_all(v, r'{tokens}', 0))))",
+            f"CASE WHEN contains(v, '[') THEN regexp_extract_all(v, r'{tokens}', 0) "
+            "ELSE cast(array() AS array<string>) END)))",
         },
     )
     labels = "array_distinct(_known.label)"
@@ -267,8 +277,8 @@ def prepare(
     df = S.hold(
         df,
         {
-            "reject_reason": f"CASE WHEN _error IS NOT NULL THEN _error WHEN {candidate_bytes(engine)} > "
-            f"{V.MAX_BODY_BYTES} THEN 'candidate_too_large' END"
+            "reject_reason": "CASE WHEN _error IS NOT NULL THEN _error "
+            f"WHEN {too_large(engine)} THEN 'candidate_too_large' END"
         },
     )
     fine = F.col("reject_reason").isNull()
@@ -308,7 +318,10 @@ def uncovered_expected(expected: DataFrame, covered: DataFrame, keys: list[str])
     are counted by their overlap, so no row is made per character.
     """
     have = covered.select(*keys, F.col("start").alias("c_start"), F.col("end").alias("c_end"))
-    overlap = F.least("end", "c_end") - F.greatest("start", "c_start")
+    # least and greatest skip nulls, so a range without any partner is told apart first
+    overlap = F.when(
+        F.col("c_start").isNotNull(), F.least("end", "c_end") - F.greatest("start", "c_start")
+    )
     meets = [F.col(f"e.{k}") == F.col(f"c.{k}") for k in keys]
     meets += [F.col("c_start") < F.col("end"), F.col("c_end") > F.col("start")]
     return (

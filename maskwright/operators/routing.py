@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from email.errors import MessageError
 from email.headerregistry import Address
 from email.utils import getaddresses
 
@@ -28,7 +29,7 @@ def _library_domains(values: pd.Series) -> pd.Series:
             return None
         try:
             boxes = [Address(addr_spec=spec) for _, spec in getaddresses([value], strict=True)]
-        except (ValueError, IndexError):
+        except (ValueError, IndexError, MessageError):
             return None
         usable = boxes and all(box.username and box.domain for box in boxes)
         return [box.domain.lower() for box in boxes] if usable else None
