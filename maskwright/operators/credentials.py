@@ -9,7 +9,6 @@ quotation ends. Loops over unbounded text are possessive: they neither backtrack
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from maskwright import fixed_values as V
 from maskwright.functions import spans as S
@@ -91,4 +90,4 @@ def credential_spans(text: str) -> str:
 
 
 def with_credentials(df: DataFrame, text_col: str = "text", out: str = "credentials") -> DataFrame:
-    return df.withColumn(out, F.expr(credential_spans(text_col)))
+    return S.hold(df, {out: credential_spans(text_col)})

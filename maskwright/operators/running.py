@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from maskwright.functions.spans import hold
+
 
 def local_micros(ts: str) -> str:
     """Microseconds of a timestamp without time zone, whatever the zone of the session."""
@@ -26,14 +28,12 @@ def running_totals(df: DataFrame, at: str, measures: dict[str, Column]) -> DataF
     names = list(measures)
     sums = [F.sum(n).alias(n) for n in names]
     local = dict(df.select(at).dtypes)[at] == "timestamp_ntz"
-    micros = F.expr(local_micros("instant")) if local else F.unix_micros("instant")
-    instants = (
-        df.groupBy(F.col(at).alias("instant"))
-        .agg(*[F.sum(c).alias(n) for n, c in measures.items()])
-        .withColumn("_us", micros)
-        .withColumn("_sec", F.expr("(_us - pmod(_us, 1000000)) div 1000000"))
-        .withColumn("_day", F.expr("(_sec - pmod(_sec, 86400)) div 86400"))
-    )
+    micros = local_micros("instant") if local else "unix_micros(instant)"
+    instants = df.groupBy(F.col(at).alias("instant")).agg(*[F.sum(c).alias(n) for n, c in measures.items()])
+    # Held, so that no condition on the keys is pushed below: the branches then share one shuffle
+    # of the aggregated rows, and the input is computed once.
+    instants = hold(instants, {"_sec": f"{micros} - pmod({micros}, 1000000)"})
+    instants = hold(instants, {"_day": "_sec - pmod(_sec, 86400000000)"})
     seconds = instants.groupBy("_day", "_sec").agg(*sums)
     days = seconds.groupBy("_day").agg(*sums)
 

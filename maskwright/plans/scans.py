@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from maskwright import fixed_values as V
 from maskwright.functions import spans as S
 from maskwright.operators import detect as D
+from maskwright.operators.credentials import credential_spans
 from maskwright.plans import oracle as O
 from maskwright.sources.tables import Tables
 
@@ -21,7 +22,7 @@ def _texts(spark, folder) -> DataFrame:
 
 def _rule_query(name: str):
     def query(spark, folder):
-        found = _texts(spark, folder).withColumn("spans", F.expr(D.rule_spans("text", name)))
+        found = S.hold(_texts(spark, folder), {"spans": D.rule_spans("text", name)})
         return D.explode_spans(found, ["text_id"]).select(
             "text_id", "label", F.col("start").cast("bigint").alias("start_at"),
             F.col("end").cast("bigint").alias("end_at"), "match_text",
@@ -243,13 +244,44 @@ ORACLE["redaction_volume"] = (
 )
 
 
+def _email_model():
+    """A stand-in for a model: addresses found in Python, batch by batch."""
+    import re
+
+    import pandas as pd
+
+    pattern = re.compile(next(p for name, _, p in V.RULES if name == "email"))
+
+    def model(batches):
+        for texts in batches:
+            yield pd.Series([[("private_email", *m.span()) for m in pattern.finditer(t)] for t in texts])
+
+    return model
+
+
+def b18_model_adapter(spark, folder):
+    """Documents scanned by a registered model, under the same checks, merge and redaction."""
+    D.register_model("email_model", _email_model())
+    docs = Tables(spark, folder).read("documents").select("doc_id", "text")
+    return D.detect(D.spread(docs), engine="email_model").select("doc_id", "engine", "span_count", "redacted_text")
+
+
+QUERIES["b18_model_adapter"] = b18_model_adapter
+ORACLE["b18_model_adapter"] = (
+    O.with_(
+        O.folded("folded", "documents", "doc_id"), f"found AS ({O.rule('folded', 'doc_id', 'email')})",
+        O.merged("spans", "found", "doc_id"), O.redacted("r", "documents", "spans", ["doc_id"]),
+        "c AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id)",
+    )
+    + "SELECT doc_id, 'email_model' AS engine, coalesce(n, 0) AS span_count, redacted AS redacted_text FROM r LEFT JOIN c USING (doc_id)"
+)
+
+
 # Credential policy.
 def c2_document_credentials(spark, folder):
     """Credential ranges of documents (assignments and credential-shaped values)."""
-    from maskwright.operators.credentials import credential_spans
-
     docs = Tables(spark, folder).read("documents").select("doc_id", "text")
-    found = D.spread(docs).withColumn("spans", F.expr(credential_spans("text")))
+    found = S.hold(D.spread(docs), {"spans": credential_spans("text")})
     return D.explode_spans(found, ["doc_id"]).select(
         "doc_id", F.col("start").cast("bigint").alias("start_at"), F.col("end").cast("bigint").alias("end_at"), "match_text"
     )
@@ -269,9 +301,7 @@ ORACLE["c2_document_credentials"] = (
 
 def c_log_credentials(spark, folder):
     """Headers, blocks and quoted assignments in pasted logs, with CRLF, CR and nested quotation."""
-    from maskwright.operators.credentials import credential_spans
-
-    found = D.spread(Tables(spark, folder).logs()).withColumn("spans", F.expr(credential_spans("text")))
+    found = S.hold(D.spread(Tables(spark, folder).logs()), {"spans": credential_spans("text")})
     return D.explode_spans(found, ["event_id"]).select(
         "event_id", F.col("start").cast("bigint").alias("start_at"), F.col("end").cast("bigint").alias("end_at"), "match_text"
     )
