@@ -13,8 +13,9 @@ from maskwright.functions import spans as S
 
 # Up to this many people are compared with each text in place; more are joined on text fragments.
 IN_ROW_LIMIT = 64
-# Up to this many people the fragments of the directory are broadcast.
+# Up to this many people and bytes the fragments of the directory are broadcast.
 BROADCAST_LIMIT = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 FRAGMENT = 8
 _BLOCK = 256
 
@@ -39,8 +40,13 @@ def mentions(messages: DataFrame, staff: DataFrame) -> DataFrame:
     joined by fragments, so the work follows the texts and the matches, never texts times people.
     """
     texts = messages.select("message_id", F.expr("concat(body, ' ', subject)").alias("_text"))
-    size = staff.limit(BROADCAST_LIMIT + 1).count()
-    found = _in_row(texts, staff) if size <= IN_ROW_LIMIT else _by_fragment(texts, staff, size)
+    width = " + ".join(f"coalesce(octet_length({c}), 0)" for c in ("name", "email", "role"))
+    size = staff.limit(BROADCAST_LIMIT + 1).selectExpr("count(*) AS people", f"sum({width}) AS bytes").first()
+    if size.people <= IN_ROW_LIMIT:
+        found = _in_row(texts, staff)
+    else:
+        small = size.people <= BROADCAST_LIMIT and size.bytes <= BROADCAST_BYTES
+        found = _by_fragment(texts, staff, small)
     return found.select(
         "message_id",
         "staff_ord",
@@ -75,7 +81,7 @@ def _in_row(texts: DataFrame, staff: DataFrame) -> DataFrame:
     return texts.select("message_id", "_text", F.inline(F.expr(hits)))
 
 
-def _by_fragment(texts: DataFrame, staff: DataFrame, size: int) -> DataFrame:
+def _by_fragment(texts: DataFrame, staff: DataFrame, small: bool) -> DataFrame:
     needles = _needles(staff).withColumn("low", F.expr("lower(needle)"))
     width = f"least(length(low), {FRAGMENT})"
     pieces = needles.withColumn(
@@ -112,7 +118,7 @@ def _by_fragment(texts: DataFrame, staff: DataFrame, size: int) -> DataFrame:
             F.expr(S.bind("low", "lower(_text)", f"array_distinct(concat({per_width}))"))
         ).alias("fragment"),
     )
-    keyed_side = F.broadcast(keyed) if size <= BROADCAST_LIMIT else keyed
+    keyed_side = F.broadcast(keyed) if small else keyed
     candidates = fragments.join(keyed_side, "fragment").drop("fragment")
     return (
         texts.join(candidates, "message_id")

@@ -117,21 +117,16 @@ def totals(scored: DataFrame) -> DataFrame:
 
 def by_label(scored: DataFrame) -> DataFrame:
     """Exact-span counts of every label, including labels that never occur."""
-    one = "struct(k.label AS label, k.start AS start, k.end AS end)"
-    flags = scored.select(
-        F.explode(
-            F.expr(
-                f"transform(array_union(transform(gold, k -> {one}), transform(spans, k -> {one})), "
-                "u -> struct(u.label AS label, "
-                f"array_contains(transform(gold, k -> {one}), u) AS g, "
-                f"array_contains(transform(spans, k -> {one}), u) AS p))"
-            )
-        ).alias("u")
-    ).select("u.*")
-    counted = flags.groupBy("label").agg(
-        F.expr("count_if(g AND p)").alias(_COUNTS[0]),
-        F.expr("count_if(p AND NOT g)").alias(_COUNTS[1]),
-        F.expr("count_if(g AND NOT p)").alias(_COUNTS[2]),
+    parts = ("array_intersect(g, p)", "array_except(p, g)", "array_except(g, p)")
+    rows = ", ".join(
+        f"transform({keys}, k -> struct(split_part(k, ':', 1) AS label, {i} AS kind))"
+        for i, keys in enumerate(parts)
+    )
+    counted = (
+        scored.select(F.expr(_keys("gold")).alias("g"), F.expr(_keys("spans")).alias("p"))
+        .select(F.explode(F.expr(f"concat({rows})")).alias("k"))
+        .groupBy(F.col("k.label").alias("label"))
+        .agg(*[F.expr(f"count_if(k.kind = {i})").alias(c) for i, c in enumerate(_COUNTS)])
     )
     full = label_list(scored.sparkSession).join(counted, "label", "left")
     return with_ratios(
