@@ -82,7 +82,7 @@ ORACLE["j4_sliding_windows"] = (
 
 _GAP = 30 * _US
 QUERIES["j4_sender_sessions"] = lambda spark, folder: _closed(
-    L.sender_sessions(_live(spark, folder), "30 days"), "live-sessions"
+    L.sender_sessions(_live(spark, folder), "720 hours"), "live-sessions"
 )
 ORACLE["j4_sender_sessions"] = (
     M.SCANNED
