@@ -69,7 +69,6 @@ ORACLE["h5_discards"] = (
     "WHERE action = 'discarded' GROUP BY token"
 )
 
-_AUDIT = ["event_id", "occurred_at", "actor", "action", "use_case", "engine", "policy_version", "span_count", "manual_mask_count"]
 _AUDIT_SQL = (
     f"SELECT event_id, occurred_at, '{V.REVIEW_ACTOR}' AS actor, outcome AS action, use_case, engine, "
     f"'{V.POLICY_VERSION}' AS policy_version, span_count, manual_mask_count FROM decided "
