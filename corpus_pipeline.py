@@ -7,32 +7,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions.spans import hold, merge, redact
-from maskwright.llm import blob_ledger, decontaminate, packing, queries, simhash
+from maskwright.llm import blob_ledger, decontaminate, packing, queries, simhash, toxicity
 from maskwright.llm.storage import stored
 
 
-def _only(docs: DataFrame, decided: DataFrame, condition: str) -> DataFrame:
-    """The rows of ``docs`` whose id has a decision that meets ``condition``; null ids are matched too."""
-    keep = decided.where(condition).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi")
+# A row goes through a per-row operator as a whole, in the place of its id: decisions need no join,
+# and rows that repeat an id, or have none, are decided one by one.
+_ROW = "_row"
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct(*docs.columns).alias(_ROW), "text")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not predict toxic."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
-    return _only(docs, queries.toxicity_scores(docs, labels), "predicted = 0")
+    scored = toxicity.score(_rows(docs), queries.toxicity_model(docs, labels), id_col=_ROW)
+    return scored.where("predicted = 0").select(f"{_ROW}.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates the document with the smallest id; the first of rows that repeat it."""
-    kept = _only(docs, simhash.near_duplicates(docs), "doc_id <=> component_id")
-    return kept.dropDuplicates(["doc_id"])
+    """Of every group of near-duplicates one document, that with the smallest id; a null id is the largest."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("mark"))
+    found = simhash.near_duplicates(docs.select(key.alias("_key"), "text"), id_col="_key")
+    first = found.where("_key = component_id").select(F.col("_key").alias("_first")).distinct()
+    kept = docs.withColumn("_key", key).join(first, F.col("_key") == F.col("_first"), "left_semi")
+    return kept.dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    return _only(docs, decontaminate.find(docs, benchmark), "NOT contaminated")
+    found = decontaminate.find(_rows(docs), benchmark, id_col=_ROW)
+    return found.where("NOT contaminated").select(f"{_ROW}.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,13 +40,13 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    model = toxicity.fit(docs, labels, F.expr(f"NOT ({HELD_OUT_TOXIC})"))
-    return toxicity.score(docs, model)
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    return toxicity.fit(docs, labels, F.expr(f"NOT ({HELD_OUT_TOXIC})"))
 
 
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    found = toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    docs = _table(spark, folder, "documents")
+    found = toxicity.score(docs, toxicity_model(docs, _table(spark, folder, "labels")))
     return found.select("doc_id", F.expr(f"coalesce({HELD_OUT_TOXIC}, false) AS held_out"), "score", "predicted")
 
 

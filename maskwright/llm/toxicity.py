@@ -20,6 +20,10 @@ from maskwright.llm.batches import grams, letters, map_texts
 N = 5
 BEGINNINGS = (6, 7, 8, 10)
 BITS = 32
+# Least share of the positives that a chosen n-gram has.
+SUPPORT = 0.01
+# Step back on the clean part, as a share of a step, where its estimated risk is below zero.
+BACK = 0.1
 # Expected numbers of sampled texts, and the length up to which a text is taken into the sample.
 POSITIVES = 3000
 UNLABELLED = 6000
@@ -70,7 +74,10 @@ def _sampled(rows: DataFrame, id_col: str, share: float) -> DataFrame:
 
 
 def _select(pos: list[np.ndarray], unl: list[np.ndarray], keep: int) -> np.ndarray:
-    """The n-grams whose share among positives exceeds that among unlabelled texts most surely, sorted."""
+    """The n-grams whose share among positives exceeds that among unlabelled texts most surely, sorted.
+
+    A chosen n-gram stands in at least ``SUPPORT`` of the positives.
+    """
     p_code, p_count = np.unique(np.concatenate(pos), return_counts=True)
     u_code, u_count = np.unique(np.concatenate(unl), return_counts=True)
     if not len(p_code) or not len(u_code):
@@ -79,13 +86,14 @@ def _select(pos: list[np.ndarray], unl: list[np.ndarray], keep: int) -> np.ndarr
     p = p_count / len(pos)
     u = np.where(u_code[at] == p_code, u_count[at], 0) / len(unl)
     surplus = (p - u) / np.sqrt((u * (1 - u) + p * (1 - p)) / len(pos) + 1e-6)
+    surplus[p < SUPPORT] = 0
     order = np.argsort(-surplus, kind="stable")[:keep]
     return np.sort(p_code[order[surplus[order] > 3.0]])
 
 
 def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, *, keep: int = 8192, rounds: int = 400, rate: float = 0.05, decay: float = 3e-5) -> Model:
-    """Minimise the non-negative risk with a logistic loss by Adam; where the clean part's estimated
-    risk is below zero, step back on that part instead."""
+    """Minimise the non-negative risk with the sigmoid loss by Adam; where the clean part's estimated
+    risk is below zero, step back a little on that part instead."""
     none = np.empty(0)
     chosen = _select(pos, unl, keep) if pos and unl else none
     if not len(chosen):
@@ -105,11 +113,11 @@ def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, *, keep: i
         zp = np.bincount(pr, theta[pc], np_) + theta[k]
         zu = np.bincount(ur, theta[uc], nu) + theta[k]
         sp, su = sigmoid(zp), sigmoid(zu)
-        gp_pos = (sp - 1) / np_  # d/dz of the loss of calling a positive toxic
-        gp_neg, gu_neg = sp / np_, su / nu
-        clean = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
-        sign = 1.0 if clean >= 0 else -1.0
-        on_p = (prior * gp_pos if sign > 0 else 0) - sign * prior * gp_neg
+        gp_neg, gu_neg = sp * (1 - sp) / np_, su * (1 - su) / nu  # d/dz of the loss of calling a text clean ...
+        gp_pos = -gp_neg  # ... and toxic
+        clean = su.mean() - prior * sp.mean()
+        sign = 1.0 if clean >= 0 else -BACK
+        on_p = prior * gp_pos - sign * prior * gp_neg
         on_u = sign * gu_neg
         g = np.append(np.bincount(pc, on_p[pr], k) + np.bincount(uc, on_u[ur], k), on_p.sum() + on_u.sum())
         g[:k] += decay * theta[:k]
