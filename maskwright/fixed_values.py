@@ -93,12 +93,14 @@ USE_CASE_FIELDS = {
 ROUTING_FIELDS = ["sender", "recipients"]
 POLICY_VERSION = "2026-09-30.4"
 
-# Limits that decide whether a request is accepted.
-MAX_TEXT_CHARS = 16_000
-MAX_BODY_BYTES = 65_536
-MAX_MANUAL_MASKS = 128
-MAX_FINDINGS_PER_FIELD = 512
-MAX_RECIPIENTS = 20
+# Limits of a request sent to a service. Tables have none; `prepare` flags them on demand.
+REQUEST_LIMITS = {
+    "text_chars": 16_000,
+    "manual_masks": 128,
+    "findings_per_field": 512,
+    "recipients": 20,
+    "body_bytes": 65_536,
+}
 RECEIPT_CHARS = 43
 
 # Review receipts.

@@ -70,9 +70,9 @@ def kpis(assessed: DataFrame) -> DataFrame:
 def splits(figures: DataFrame) -> DataFrame:
     """The three two-way splits, from a row of counters."""
     return figures.selectExpr(
-        "stack(3, 'sens-clean', sensitive, greatest(0L, total - sensitive), "
-        "'leak-safe', leaks_out, greatest(0L, outbound - leaks_out), "
-        "'int-ext', greatest(0L, total - crossing_boundary), crossing_boundary) "
+        "stack(3, 'sensitive', sensitive, greatest(0L, total - sensitive), "
+        "'leaks', leaks_out, greatest(0L, outbound - leaks_out), "
+        "'inside', greatest(0L, total - crossing_boundary), crossing_boundary) "
         "AS (split, left_count, right_count)"
     )
 

@@ -155,11 +155,11 @@ def regressions(report: DataFrame, baseline: DataFrame) -> DataFrame:
     """Error counts that rose, and cases that stand on one side only. No rows means pass.
 
     Both sides hold ``schema_version``, ``engine``, ``dataset_sha256``, ``case_id`` and the four
-    error counts. A difference in one of the first three is reported once and ends the comparison.
+    error counts. A difference in one of the first three, or a null, is reported once and ends the comparison.
     """
     head = ["schema_version", "engine", "dataset_sha256"]
     both = report.select(*head).unionByName(baseline.select(*head))
-    differs = ", ".join(f"CASE WHEN NOT (min({c}) <=> max({c})) THEN '{c}' END" for c in head)
+    differs = ", ".join(f"CASE WHEN min({c}) <> max({c}) OR count({c}) < count(*) THEN '{c}' END" for c in head)
     mismatch = both.agg(F.expr(f"get(array_compact(array({differs})), 0)").alias("mismatch"))
     new = report.select("case_id", *[F.col(c).alias(f"new_{c}") for c in V.ERROR_COUNTS], F.lit(1).alias("in_new"))
     old = baseline.select("case_id", *[F.col(c).alias(f"old_{c}") for c in V.ERROR_COUNTS], F.lit(1).alias("in_old"))

@@ -1,9 +1,9 @@
 """Prepare texts for sharing: one policy over one or several fields of a request.
 
 A request is one row: ``request_id``, ``use_case``, ``fields`` (map of field to text) and
-``manual_masks`` (array of field, start, end). An accepted request is at most 16,000 code points and
-512 findings per field, so everything about it is decided inside its row, without a shuffle.
-Requests outside the limits are not cut short: they come back with a ``reject_reason``.
+``manual_masks`` (array of field, start, end). Everything about a request is decided inside its row,
+without a shuffle, whatever its length: texts are scanned and kept whole. Only requests that make no
+sense (unknown use case, wrong fields, no text, masks out of range, unusable routing) are refused.
 """
 
 from __future__ import annotations
@@ -32,29 +32,41 @@ def _fields_of(use_case: str) -> str:
 
 
 def matching_masks(text: str, needle: str) -> str:
-    """Every place, overlapping ones included, where ``needle`` stands in ``text``."""
-    places = (
-        f"filter(sequence(1, length({text}) - length({needle}) + 1), "
-        f"i -> substring({text}, i, length({needle})) = {needle})"
+    """Every place, overlapping ones included, where ``needle`` stands in ``text``.
+
+    One pass of a look-ahead puts a mark before each place; the lengths between marks give the
+    offsets. A text that holds the mark itself is searched place by place.
+    """
+    kind = "array<struct<start:int,end:int>>"
+    quoted = f"concat('(?=', r'\\Q', replace({needle}, r'\\E', r'\\E\\\\E\\Q'), r'\\E', ')')"
+    found = S.fold(
+        "slice(pieces, 1, size(pieces) - 1)",
+        "0",
+        kind,
+        lambda s, x: f"{s} + length({x})",
+        lambda s, x: f"array(named_struct('start', {s} + length({x}), 'end', {s} + length({x}) + length({needle})))",
+    )
+    marked = S.bind("pieces", f"split(regexp_replace({text}, {quoted}, '{S.MARK}'), '{S.MARK}', -1)", f"CASE WHEN size(pieces) > 1 THEN {found} ELSE cast(array() AS {kind}) END")
+    one_by_one = (
+        f"transform(filter(sequence(1, length({text}) - length({needle}) + 1), "
+        f"i -> substring({text}, i, length({needle})) = {needle}), "
+        f"i -> named_struct('start', i - 1, 'end', i - 1 + length({needle})))"
     )
     return (
-        f"CASE WHEN length({needle}) > 0 AND length({needle}) <= length({text}) THEN "
-        f"transform({places}, i -> named_struct('start', i - 1, 'end', i - 1 + length({needle}))) "
-        "ELSE cast(array() AS array<struct<start:int,end:int>>) END"
+        f"CASE WHEN length({needle}) = 0 OR NOT contains({text}, {needle}) THEN cast(array() AS {kind}) "
+        f"WHEN contains({text}, '{S.MARK}') THEN {one_by_one} ELSE {marked} END"
     )
 
 
 def add_masks(present: str, added: str) -> str:
-    """Masks with ``added`` appended, without repeats; null when there would be too many."""
-    union = f"array_union({present}, {added})"
-    return f"CASE WHEN size({union}) <= {V.MAX_MANUAL_MASKS} THEN {union} END"
+    """Masks with ``added`` appended, without repeats."""
+    return f"array_union({present}, {added})"
 
 
 def request_error(fields: str = "fields", masks: str = "manual_masks", use_case: str = "use_case") -> str:
     """Why a request is refused before it is looked at, or null."""
     expected = _fields_of(use_case)
     values = f"map_values({fields})"
-    total = f"aggregate({values}, 0L, (n, v) -> n + coalesce(length(v), 0))"
     blank = f"forall({values}, v -> NOT rlike(v, r'[^{SPACE}]'))"
     bad_mask = (
         f"exists({masks}, m -> NOT coalesce(m.start >= 0 AND m.start < m.end "
@@ -64,9 +76,7 @@ def request_error(fields: str = "fields", masks: str = "manual_masks", use_case:
         f"CASE WHEN {expected} IS NULL THEN 'unknown_use_case' "
         f"WHEN array_sort(map_keys({fields})) <> array_sort({expected}) "
         f"OR exists({values}, v -> v IS NULL) THEN 'wrong_fields' "
-        f"WHEN {total} > {V.MAX_TEXT_CHARS} THEN 'input_too_long' "
         f"WHEN {blank} THEN 'input_empty' "
-        f"WHEN size({masks}) > {V.MAX_MANUAL_MASKS} THEN 'too_many_masks' "
         f"WHEN {bad_mask} THEN 'invalid_mask' END"
     )
 
@@ -97,13 +107,17 @@ def _envelope(use_case: str, engine: str) -> int:
 _ROUTING_KEYS = ["recipient_count", "crosses_example_boundary", "all_recipients_internal"]
 
 
-def too_large(engine: str) -> str:
-    """Whether the body that would carry the candidate back for export exceeds its limit.
-
-    A code point takes at most twelve bytes, so short candidates need no counting.
-    """
-    letters = "aggregate(map_values(candidate_fields), 0L, (n, v) -> n + length(v))"
-    return f"(12 * {letters} > {V.MAX_BODY_BYTES - 1024} AND {candidate_bytes(engine)} > {V.MAX_BODY_BYTES})"
+def limit_flags(limits: dict[str, int], engine: str) -> str:
+    """Sorted names of the ``limits`` (some of ``V.REQUEST_LIMITS``) that a prepared request exceeds."""
+    sizes = {
+        "text_chars": "aggregate(map_values(fields), 0L, (n, v) -> n + length(v))",
+        "manual_masks": "size(manual_masks)",
+        "findings_per_field": "array_max(transform(map_keys(fields), k -> size(filter(findings, f -> f.field = k))))",
+        "recipients": "coalesce(routing.recipient_count, 0)",
+        "body_bytes": candidate_bytes(engine),
+    }
+    tests = ", ".join(f"CASE WHEN {sizes[name]} > {limits[name]} THEN '{name}' END" for name in sorted(limits))
+    return f"array_compact(array({tests}))"
 
 
 def candidate_bytes(engine: str) -> str:
@@ -147,9 +161,13 @@ def prepare(
     *,
     engine: str = "heuristic",
     internal_domains: list[str] | None = None,
+    limits: dict[str, int] | None = None,
 ) -> DataFrame:
     """Apply the sharing policy. One row out per request.
 
+    With ``limits`` (for example ``fixed_values.REQUEST_LIMITS``) a column ``limit_flags`` names those
+    that an accepted request exceeds; nothing else changes.
+
     ``candidate_fields`` holds the text to be shared, ``findings`` where and why it was masked
     (no matched text), ``routing`` the recipient summary of an email. When ``reject_reason`` is
     set, all of them are null.
@@ -200,11 +218,6 @@ def prepare(
         masks = f"transform({own}, m -> {S.span('m.start', 'm.end', repr(V.MANUAL_LABEL))})"
         held[f"_hand_{part}"] = f"CASE WHEN _error IS NULL THEN {masks} ELSE {S.NO_SPANS} END"
     df = S.hold(df, held)
-    crowded = " OR ".join(
-        f"size(_auto_{p}) + size(_cred_{p}) + size(_hand_{p}) > {V.MAX_FINDINGS_PER_FIELD}"
-        for p in parts
-    )
-    df = df.withColumn("_error", F.expr(f"CASE WHEN {crowded} THEN 'too_many_findings' ELSE _error END"))
 
     def union(part: str) -> str:
         every = f"concat(_auto_{part}, _cred_{part}, _hand_{part})"
@@ -274,13 +287,8 @@ def prepare(
             f"ELSE map('text', {masked('main', parts['main'])}) END"
         },
     )
-    df = S.hold(
-        df,
-        {
-            "reject_reason": "CASE WHEN _error IS NOT NULL THEN _error "
-            f"WHEN {too_large(engine)} THEN 'candidate_too_large' END"
-        },
-    )
+    df = df.withColumnRenamed("_error", "reject_reason")
+    flags = [F.when(F.col("reject_reason").isNull(), F.expr(limit_flags(limits, engine))).alias("limit_flags")] if limits else []
     fine = F.col("reject_reason").isNull()
     kept = [c for c in requests.columns if c not in ("fields", "manual_masks")]
     return df.select(
@@ -294,6 +302,7 @@ def prepare(
         F.when(fine, F.expr(S.count_by_label("findings"))).alias("by_label"),
         F.when(fine, F.expr("cast(size(manual_masks) AS bigint)")).alias("manual_mask_count"),
         "reject_reason",
+        *flags,
     )
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright import fixed_values as V
 from maskwright.functions import spans as S
 
 _ATOM = r"[A-Za-z0-9!#$%&*+/=?^_`{|}~-]+"
@@ -68,6 +67,6 @@ def routing(sender_domains: str, recipient_domains: str, internal_domains: list[
         "'all_recipients_internal', forall(inside, i -> i))",
     )
     return (
-        f"CASE WHEN size({sender_domains}) = 1 AND size({recipient_domains}) BETWEEN 1 AND "
-        f"{V.MAX_RECIPIENTS} THEN {summary} END"
+        f"CASE WHEN size({sender_domains}) = 1 AND size({recipient_domains}) >= 1 "
+        f"THEN {summary} END"
     )

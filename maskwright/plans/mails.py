@@ -266,9 +266,9 @@ ORACLE["f3_kpis"] = (
 QUERIES["f4_splits"] = lambda spark, folder: B.splits(B.counters(_assessed(spark, folder)))
 ORACLE["f4_splits"] = (
     SCANNED
-    + f", c AS (SELECT {_COUNTER_SQL} FROM assessed) SELECT 'sens-clean' AS split, sensitive AS left_count, "
-    "total - sensitive AS right_count FROM c UNION ALL SELECT 'leak-safe', leaks_out, outbound - leaks_out FROM c "
-    "UNION ALL SELECT 'int-ext', total - crossing_boundary, crossing_boundary FROM c"
+    + f", c AS (SELECT {_COUNTER_SQL} FROM assessed) SELECT 'sensitive' AS split, sensitive AS left_count, "
+    "total - sensitive AS right_count FROM c UNION ALL SELECT 'leaks', leaks_out, outbound - leaks_out FROM c "
+    "UNION ALL SELECT 'inside', total - crossing_boundary, crossing_boundary FROM c"
 ).replace(") , c AS", "), c AS")
 
 QUERIES["f5_label_bars"] = lambda spark, folder: B.label_bars(B.label_totals(_assessed(spark, folder))).select(

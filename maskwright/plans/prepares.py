@@ -149,18 +149,18 @@ ORACLE["d4_matching_masks"] = (
 
 
 def d5_mask_union(spark, folder):
-    """Masks of a reviewer's text added to masks already there, without repeats or excess."""
+    """Masks of a reviewer's text added to masks already there, without repeats."""
     docs = D.spread(Tables(spark, folder).read("documents").select("doc_id", "text"))
     present = P.matching_masks("text", "'anan'")
     added = P.matching_masks("text", "'an'")
     return S.hold(docs, {"masks": P.add_masks(present, added)}).select(
-        "doc_id", F.expr("masks IS NULL").alias("too_many"), F.expr("cast(size(masks) AS bigint)").alias("n")
+        "doc_id", F.expr(f"size(masks) > {V.REQUEST_LIMITS['manual_masks']}").alias("many"), F.expr("cast(size(masks) AS bigint)").alias("n")
     )
 
 
 QUERIES["d5_mask_union"] = d5_mask_union
 ORACLE["d5_mask_union"] = (
-    "SELECT doc_id, n > 128 AS too_many, CASE WHEN n <= 128 THEN n END AS n FROM (SELECT doc_id, "
+    "SELECT doc_id, n > 128 AS many, n FROM (SELECT doc_id, "
     "len(list_filter(range(1, length(text)), lambda i: substr(text, i, 2) = 'an')) + "
     "len(list_filter(range(1, greatest(length(text) - 2, 1)), lambda i: substr(text, i, 4) = 'anan')) AS n FROM documents)"
 )
@@ -168,14 +168,8 @@ ORACLE["d5_mask_union"] = (
 QUERIES["d6_ticket_verdicts"] = lambda spark, folder: _tickets(spark, folder).select("request_id", "use_case", "reject_reason")
 _DOC_FOUND = ", ".join(
     [
-        O.folded("folded", "documents", "doc_id"), O.raw("auto_raw", "folded", "doc_id"), O.merged("auto_m", "auto_raw", "doc_id"),
-        f"cred_raw AS ({O.rule('folded', 'doc_id', 'secret')} UNION ALL {O.assignments('folded', 'doc_id')})",
-        O.merged("cred_m", "cred_raw", "doc_id"),
-        "load AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM auto_m UNION ALL SELECT doc_id FROM cred_m) GROUP BY doc_id)",
         "v AS (SELECT d.doc_id AS request_id, CASE d.doc_id % 3 WHEN 0 THEN 'ai_prompt' WHEN 1 THEN 'support_ticket' ELSE 'memo' END AS use_case, "
-        "CASE WHEN d.doc_id % 3 = 2 THEN 'unknown_use_case' WHEN length(text) > 16000 THEN 'input_too_long' "
-        "WHEN trim(text) = '' THEN 'input_empty' WHEN load.n > 512 THEN 'too_many_findings' END AS reject_reason "
-        "FROM documents d LEFT JOIN load USING (doc_id))",
+        "CASE WHEN d.doc_id % 3 = 2 THEN 'unknown_use_case' WHEN trim(text) = '' THEN 'input_empty' END AS reject_reason FROM documents d)",
     ]
 )
 ORACLE["d6_ticket_verdicts"] = O.with_(_DOC_FOUND) + "SELECT request_id, use_case, reject_reason FROM v"

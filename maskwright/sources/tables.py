@@ -168,13 +168,11 @@ class Tables:
         return self._view(log_view(SPARK), "events")
 
     def _stream(self, table: str) -> DataFrame:
-        """The rows of a table as they arrive in the folder."""
-        schema = self.read(table).schema
-        return (
-            self.spark.readStream.schema(schema)
-            .option("pathGlobFilter", f"{table}.parquet")
-            .parquet(self.folder)
-        )
+        """The rows of a table as they arrive, be it one file or a folder of part files.
+
+        A stream takes a single file only by way of a pattern.
+        """
+        return self.spark.readStream.schema(self.read(table).schema).parquet(f"{self.path(table)[:-1]}[t]")
 
     def message_stream(self) -> DataFrame:
         view = message_view(SPARK)

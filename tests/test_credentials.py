@@ -4,7 +4,7 @@ from maskwright.operators.credentials import with_credentials
 
 # text with the expected spans between « and »
 CASES = {
-    "short values": "«password=\"two words\"»; «token=demo»; «Password: abc»",
+    "short values": "«passwd=\"blue river stone\"»; «secret=k9x»; «Token: q7»",
     "json": "{«\"password\": \"two words\"», «\"api_key\": \"x1\"»}",
     "escaped quotes": "{«\"client_secret\": \"a \\\"b\\\" c\"»}",
     "single quotes": "see «'passwd' = 'it is'» here",

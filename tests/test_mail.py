@@ -73,7 +73,7 @@ def test_dashboard(spark, assessed):
     bars = {r.label: (r.n, r.width) for r in B.label_bars(B.label_totals(assessed)).collect()}
     assert len(bars) == 8 and bars["private_email"] == (2, 100.0) and bars["private_url"] == (0, 0.0)
     splits = {r.split: (r.left_count, r.right_count) for r in B.splits(B.counters(assessed)).collect()}
-    assert splits == {"sens-clean": (3, 2), "leak-safe": (1, 2), "int-ext": (2, 3)}
+    assert splits == {"sensitive": (3, 2), "leaks": (1, 2), "inside": (2, 3)}
     last = B.running_counters(assessed).orderBy(F.desc("instant")).first().asDict()
     assert {n: last[n] for n in c} == c and last["spans"] == 5
 
