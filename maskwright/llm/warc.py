@@ -23,6 +23,8 @@ MAGIC = b"\x1f\x8b\x08"
 REVISIT_BYTES = 100
 FILE_BYTES = 64 << 20
 SPLIT_BYTES = 8 << 20
+#: Most tasks of one read; beyond it a task has several ranges.
+TASKS = 20_000
 _CHUNK = 1 << 16
 _ID = "urn:page:"
 
@@ -216,7 +218,9 @@ def read(spark: SparkSession, manifest: DataFrame, *, split_bytes: int = SPLIT_B
     ranges = manifest.where("bytes > 0").select(
         "path", F.expr(f"explode(sequence(0L, bytes - 1, {split_bytes}L)) AS start"), "bytes"
     )
-    ranges = ranges.select("path", "start", F.expr(f"least(start + {split_bytes}, bytes) AS end")).repartition("path", "start")
+    ranges = ranges.select("path", "start", F.expr(f"least(start + {split_bytes}, bytes) AS end"))
+    # the rows are few and small but stand for much data: a given number of tasks is not merged
+    ranges = ranges.repartition(min(TASKS, max(1, ranges.count())), "path", "start")
     names = [f.split()[0] for f in RECORD.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
