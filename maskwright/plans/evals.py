@@ -15,6 +15,7 @@ from maskwright.operators import review as R
 from maskwright.plans import oracle as O
 from maskwright.plans import prepares as PP
 from maskwright.sources.labelled import stamp
+from maskwright.sources.scratch import written
 from maskwright.sources.tables import Tables
 
 QUERIES = {}
@@ -136,10 +137,17 @@ def _policy_scored(spark, folder) -> DataFrame:
 
 
 QUERIES["i8_mixed_engines"] = lambda spark, folder: E.mixed_engines(
-    _scored(spark, folder).unionByName(_policy_scored(spark, folder))
+    _scored(spark, folder).where("size(spans) = 0").unionByName(_policy_scored(spark, folder).where("false_negatives > 0"))
 )
+_CREDS = O.merged("creds", "cred_raw", "doc_id")
+_CRED_RAW = f"cred_raw AS ({O.rule('folded', 'doc_id', 'secret')} UNION ALL {O.assignments('folded', 'doc_id')})"
 ORACLE["i8_mixed_engines"] = (
-    "SELECT unnest(['heuristic', 'credential_policy']) AS engine, count(*) AS cases FROM documents"
+    O.with_(
+        _BASE, _CRED_RAW, _CREDS, _score_ctes("creds", "policy"),
+        "e AS (SELECT 'heuristic' AS engine, count(*) AS cases FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM spans) "
+        "UNION ALL SELECT 'credential_policy', count(*) FROM policy WHERE false_negatives > 0)",
+    )
+    + "SELECT engine, cases FROM (SELECT *, count(*) OVER () AS engines FROM e WHERE cases > 0) WHERE engines > 1"
 )
 
 QUERIES["i12_compare_engines"] = lambda spark, folder: E.compare_engines(
@@ -148,8 +156,7 @@ QUERIES["i12_compare_engines"] = lambda spark, folder: E.compare_engines(
 ORACLE["i12_compare_engines"] = (
     O.with_(
         _BASE, _score_ctes("spans", "scored"),
-        f"cred_raw AS ({O.rule('folded', 'doc_id', 'secret')} UNION ALL {O.assignments('folded', 'doc_id')})",
-        O.merged("creds", "cred_raw", "doc_id"), _score_ctes("creds", "policy"),
+        _CRED_RAW, _CREDS, _score_ctes("creds", "policy"),
     )
     + f"SELECT *, {_RATIOS} FROM (SELECT 'heuristic' AS engine, count(*) AS case_count, {_SUMS} FROM scored UNION ALL "
     f"SELECT 'credential_policy', count(*), {_SUMS} FROM policy)"
@@ -199,28 +206,39 @@ ORACLE["a4_assembled_gold"] = (
 )
 
 
-def i10_regressions(spark, folder):
-    """A report against an older one in which some counts were lower, some higher, some cases absent."""
-    report = E.case_rows(_scored(spark, folder))
-    older = report.where("case_id % 29 <> 0").withColumns(
+def _gate(spark, folder, older):
+    """A report, stored once, against an older one made from it."""
+    report = written(E.case_rows(_scored(spark, folder)), "report")
+    found = E.regressions(stamp(report, "heuristic", DIGEST), stamp(older(report), "heuristic", DIGEST))
+    return found.select("case_id", F.col("check").alias("measure"), "was", "now")
+
+
+def _lower_counts(report: DataFrame) -> DataFrame:
+    """Some counts lower, some higher."""
+    return report.withColumns(
         {
             "false_positives": F.expr("CASE WHEN case_id % 4 = 0 THEN greatest(false_positives - 1, 0L) ELSE false_positives + 1 END"),
             "extra_redacted_characters": F.expr("CASE WHEN case_id % 6 = 0 THEN extra_redacted_characters - 1 ELSE extra_redacted_characters END"),
         }
     )
-    return E.regressions(stamp(report, "heuristic", DIGEST), stamp(older, "heuristic", DIGEST)).select(
-        "case_id", F.col("check").alias("measure"), "was", "now"
-    )
 
 
-QUERIES["i10_regressions"] = i10_regressions
+QUERIES["i10_regressions"] = lambda spark, folder: _gate(spark, folder, _lower_counts)
 ORACLE["i10_regressions"] = (
     SCORED
     + "SELECT case_id, 'false_positives' AS measure, false_positives - 1 AS was, false_positives AS now FROM scored "
-    "WHERE case_id % 29 <> 0 AND case_id % 4 = 0 AND false_positives > 0 UNION ALL "
-    "SELECT case_id, 'extra_redacted_characters', extra_redacted_characters - 1, extra_redacted_characters FROM scored "
-    "WHERE case_id % 29 <> 0 AND case_id % 6 = 0 UNION ALL "
-    "SELECT case_id, 'case_ids', NULL, 1 FROM scored WHERE case_id % 29 = 0"
+    "WHERE case_id % 4 = 0 AND false_positives > 0 UNION ALL "
+    "SELECT case_id, 'extra_redacted_characters', extra_redacted_characters - 1, extra_redacted_characters FROM scored WHERE case_id % 6 = 0"
+)
+
+# Cases without a gold span are new to the report: the comparison ends there, although counts rose as well.
+QUERIES["i10_new_cases"] = lambda spark, folder: _gate(
+    spark, folder, lambda report: _lower_counts(report).where("true_positives + false_negatives > 0")
+)
+ORACLE["i10_new_cases"] = (
+    SCORED
+    + "SELECT case_id, 'case_ids' AS measure, cast(NULL AS bigint) AS was, cast(1 AS bigint) AS now FROM scored "
+    "WHERE true_positives + false_negatives = 0"
 )
 
 _HMAC_KEY = b"a fixed key for repeatable results"

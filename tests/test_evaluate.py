@@ -149,3 +149,40 @@ def test_dataset_rules(spark, tmp_path, case, error):
 def test_unusable_files_stop(spark, tmp_path, cases, version):
     with pytest.raises(Exception, match="schema version 1"):
         L.read_cases(spark, dataset(tmp_path, cases, version)).collect()
+
+
+@pytest.mark.parametrize(
+    "spans",
+    [
+        [(0, 3, "secret"), (2, 5, "secret")],
+        [(3, 5, "secret"), (0, 2, "secret")],
+        [(0, 3, "invented")],
+        [(0, 3, None)],
+        [(4, 9, "secret")],
+        [(None, 2, "secret")],
+    ],
+)
+def test_unsound_spans_are_refused(spark, spans):
+    row = [("c", "abcdef", ["g"], "heuristic", [], spans, "abcdef")]
+    span = "array<struct<start:int,end:int,label:string>>"
+    df = spark.createDataFrame(row, f"case_id string, text string, groups array<string>, engine string, gold {span}, spans {span}, redacted_text string")
+    assert [r.error for r in E.integrity_errors(df).collect()] == ["invalid_span"]
+    with pytest.raises(Exception, match="invalid detector span"):
+        E.score(df).collect()
+
+
+def test_gate_ends_at_the_first_difference(spark):
+    counts = ", ".join(f"{c} bigint" for c in V.ERROR_COUNTS)
+    schema = f"schema_version int, engine string, dataset_sha256 string, case_id string, {counts}"
+
+    def side(digest, cases):
+        return spark.createDataFrame([(1, "e", digest, c, n, n, n, n) for c, n in cases], schema)
+
+    def checks(new, old):
+        return sorted({(r.case_id, r.check) for r in E.regressions(new, old).collect()}, key=str)
+
+    assert checks(side("d", [("a", 2)]), side("d", [("a", 2)])) == []
+    assert {c for _, c in checks(side("d", [("a", 2)]), side("d", [("a", 1)]))} == set(V.ERROR_COUNTS)
+    assert checks(side("d", [("a", 2), ("b", 0)]), side("d", [("a", 1)])) == [("b", "case_ids")]
+    assert checks(side("d", [("a", 2), ("b", 0)]), side(None, [("a", 1)])) == [(None, "dataset_sha256")]
+    assert checks(side(None, [("a", 1)]), side(None, [("a", 1)])) == [(None, "dataset_sha256")]
