@@ -25,27 +25,27 @@ _HIT = (
 
 
 def _needles(staff: DataFrame) -> DataFrame:
-    return staff.select(
-        "staff_ord",
-        "name",
-        "role",
-        F.expr("inline(array(struct('name' AS kind, name AS needle), struct('email' AS kind, email AS needle)))"),
-    ).where("length(needle) > 0")
+    """A row per person and kind; a person listed twice counts once."""
+    pairs = "inline(array(struct('name' AS kind, name AS needle), struct('email' AS kind, email AS needle)))"
+    return staff.select("staff_ord", "name", "role", F.expr(pairs)).where("length(needle) > 0").distinct()
 
 
 def mentions(messages: DataFrame, staff: DataFrame) -> DataFrame:
-    """One row per message, person and kind: ``start``, ``end`` and the matched text.
+    """One row per message row, person and kind: ``start``, ``end`` and the matched text.
 
-    The directory is counted first. A small one becomes a literal in the projection; a larger one is
-    joined by fragments, so the work follows the texts and the matches, never texts times people.
+    A message that stands in the input twice is reported twice; equal rows of the directory count
+    once; a person without name or address is found by the other; ``role`` may be null; a null
+    subject or body mentions nobody. The directory is counted first, which decides only how the two
+    sides meet: a small one goes to every text as an array, a larger one is joined by fragments
+    (broadcast or shuffled), so the work follows the texts and the matches, never texts times people.
     """
     texts = messages.select("message_id", F.expr("concat(body, ' ', subject)").alias("_text"))
     width = " + ".join(f"coalesce(octet_length({c}), 0)" for c in ("name", "email", "role"))
-    size = staff.limit(BROADCAST_LIMIT + 1).selectExpr("count(*) AS people", f"sum({width}) AS bytes").first()
-    if size.people <= IN_ROW_LIMIT:
+    size = staff.limit(BROADCAST_LIMIT + 1).selectExpr("count(*) AS people", f"coalesce(sum({width}), 0) AS bytes").first()
+    small = size.people <= BROADCAST_LIMIT and size.bytes <= BROADCAST_BYTES
+    if small and size.people <= IN_ROW_LIMIT:
         found = _in_row(texts, staff)
     else:
-        small = size.people <= BROADCAST_LIMIT and size.bytes <= BROADCAST_BYTES
         found = _by_fragment(texts, staff, small)
     return found.select(
         "message_id",
@@ -62,23 +62,11 @@ def mentions(messages: DataFrame, staff: DataFrame) -> DataFrame:
 
 
 def _in_row(texts: DataFrame, staff: DataFrame) -> DataFrame:
-    rows = _needles(staff).orderBy("staff_ord", "kind").limit(2 * IN_ROW_LIMIT).collect()
-    if not rows:
-        return texts.where("false").selectExpr(
-            "*", "0 AS staff_ord", "'' AS name", "'' AS role", "'' AS kind", "0 AS start", "0 AS end"
-        )
-    listed = ", ".join(
-        f"named_struct('staff_ord', {r.staff_ord}, 'name', {S.text_literal(r.name)}, "
-        f"'role', {S.text_literal(r.role)}, 'kind', '{r.kind}', 'needle', {S.text_literal(r.needle)})"
-        for r in rows
-    )
+    listed = _needles(staff).agg(F.collect_list(F.struct("staff_ord", "name", "role", "kind", "needle")).alias("people"))
     at = "(locate(lower(n.needle), low) - 1)"
-    hits = S.bind(
-        "low",
-        "lower(_text)",
-        f"filter(transform(array({listed}), n -> {_HIT.format(at=at)}), h -> h.start >= 0)",
-    )
-    return texts.select("message_id", "_text", F.inline(F.expr(hits)))
+    hits = S.bind("low", "lower(_text)", f"filter(transform(_people, n -> {_HIT.format(at=at)}), h -> h.start >= 0)")
+    rows = texts.withColumn("_people", listed.scalar())
+    return rows.select("message_id", "_text", F.inline(F.expr(hits)))
 
 
 def _by_fragment(texts: DataFrame, staff: DataFrame, small: bool) -> DataFrame:
@@ -97,7 +85,7 @@ def _by_fragment(texts: DataFrame, staff: DataFrame, small: bool) -> DataFrame:
     shared = pieces.groupBy("fragment").agg(F.count("*").alias("owners"))
     keyed = (
         pieces.join(shared, "fragment")
-        .groupBy("staff_ord", "name", "role", "kind", "needle", "low")
+        .groupBy("staff_ord", "name", "role", "kind", "needle", "low")  # nulls group like values
         .agg(F.min_by("fragment", F.struct("owners", "fragment")).alias("fragment"))
     )
     widths = [r[0] for r in needles.select(F.expr(width)).distinct().collect()]  # 1 … FRAGMENT
@@ -112,16 +100,18 @@ def _by_fragment(texts: DataFrame, staff: DataFrame, small: bool) -> DataFrame:
         + "))"
         for w in widths
     )
+    # Mentions depend on the text alone, so it is its own key: message ids may repeat.
+    texts = texts.withColumn("_key", F.sha2("_text", 256))
     fragments = texts.select(
-        "message_id",
+        "_key",
         F.explode(
             F.expr(S.bind("low", "lower(_text)", f"array_distinct(concat({per_width}))"))
         ).alias("fragment"),
     )
     keyed_side = F.broadcast(keyed) if small else keyed
-    candidates = fragments.join(keyed_side, "fragment").drop("fragment")
+    candidates = fragments.join(keyed_side, "fragment").drop("fragment").distinct()
     return (
-        texts.join(candidates, "message_id")
+        texts.join(candidates, "_key")
         .withColumn("start", F.expr("locate(low, lower(_text)) - 1"))
         .where("start >= 0")
         .withColumn("end", F.expr("start + length(needle)"))

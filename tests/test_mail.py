@@ -98,8 +98,9 @@ def test_names_and_coverage(spark, assessed):
 def test_directory_routes_agree_with_a_plain_search(spark, monkeypatch):
     rng = random.Random(5)
     names = ["Bo", "Åsa Ek", "Supplier#000000012", "supplier#000000013", "x", "Greta Holm"]
-    people = [(i, n, f"p{i}@in.example", "r") for i, n in enumerate(names)]
-    staff = spark.createDataFrame(people, "staff_ord int, name string, email string, role string")
+    people = [(i, n, f"p{i}@in.example", None if i == 2 else "r") for i, n in enumerate(names)]
+    people.append((6, None, "", "r"))
+    staff = spark.createDataFrame(people + people[:2], "staff_ord int, name string, email string, role string")
     bits = ["bo ", "BOB", "åsa ek", "SUPPLIER#000000012", "Supplier#00000001", "P3@IN.example", "greta  holm", "Greta Holm", "😀", "-" * 300]
     rows = [("inbound", "a", ["b"], rng.choice(bits), "".join(rng.choice(bits) for _ in range(rng.randint(0, 5)))) for _ in range(60)]
     df = messages(spark, rows)
@@ -108,18 +109,23 @@ def test_directory_routes_agree_with_a_plain_search(spark, monkeypatch):
         low = f"{body} {subject}".lower()
         for ord_, name, email, _ in people:
             for kind, needle in (("name", name), ("email", email)):
-                if needle.lower() in low:
+                if needle and needle.lower() in low:
                     expected.add((i, ord_, kind, low.index(needle.lower())))
     assert expected
 
-    def found():
+    def found(df=df):
         return [(r.message_id, r.staff_ord, r.kind, r.start) for r in P.mentions(df, staff).collect()]
 
+    schemas = set()
+
     for limits in [(64, 200_000), (0, 200_000), (0, 1)]:
         monkeypatch.setattr(P, "IN_ROW_LIMIT", limits[0])
         monkeypatch.setattr(P, "BROADCAST_LIMIT", limits[1])
         got = found()
         assert len(got) == len(set(got)) and set(got) == expected
+        assert sorted(found(df.unionAll(df))) == sorted(got + got)
+        schemas.add(str([(f.name, f.dataType) for f in P.mentions(df, staff).schema]))
+    assert len(schemas) == 1
     assert P.mentions(df, staff.where("false")).count() == 0
 
 
