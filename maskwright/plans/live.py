@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskwright.operators import dashboard as B
-from maskwright.operators.running import local_micros
 from maskwright.plans import mails as M
 from maskwright.plans import oracle as O
+from maskwright.plans.reviews import _decided
 from maskwright.sources.tables import INTERNAL_DOMAINS, Tables
 from maskwright.streaming import live as L
 from maskwright.streaming import receipts as R
-from maskwright.streaming.run import drain, drain_totals
+from maskwright.streaming.run import drain, drain_changes, drain_totals
 
 QUERIES = {}
 ORACLE = {}
@@ -52,36 +52,35 @@ ORACLE["j3_leak_alerts"] = (
 )
 
 
-def _closed(stream, name):
-    """Windows that the watermark has closed, with bounds as microseconds."""
+def _windows(stream, name):
+    """All windows, open ones included, with bounds as microseconds."""
     rows = stream.withColumns({"start_us": F.unix_micros("start"), "end_us": F.unix_micros("end")})
-    return drain(rows.drop("start", "end"), name)
+    return drain_totals(rows.drop("start", "end"), name)
 
 
 _FIGURES = ", ".join(f"count(*) FILTER (WHERE {cond}) AS {name}" for name, cond in B.COUNTERS.items())
 _US = 86_400_000_000
-_CUT = "(SELECT max(epoch_us(sent_at)) - 600000000 FROM messages)"
 
-QUERIES["j4_daily_windows"] = lambda spark, folder: _closed(
+QUERIES["j4_daily_windows"] = lambda spark, folder: _windows(
     L.windowed_counters(_live(spark, folder), "1 day"), "live-days"
 )
 ORACLE["j4_daily_windows"] = (
     M.SCANNED
-    + f"SELECT * FROM (SELECT epoch_us(sent_at) // {_US} * {_US} AS start_us, start_us + {_US} AS end_us, {_FIGURES}, "
-    f"cast(sum(span_count) AS bigint) AS spans FROM assessed GROUP BY ALL) WHERE end_us <= {_CUT}"
+    + f"SELECT epoch_us(sent_at) // {_US} * {_US} AS start_us, start_us + {_US} AS end_us, {_FIGURES}, "
+    f"cast(sum(span_count) AS bigint) AS spans FROM assessed GROUP BY ALL"
 )
 
-QUERIES["j4_sliding_windows"] = lambda spark, folder: _closed(
+QUERIES["j4_sliding_windows"] = lambda spark, folder: _windows(
     L.windowed_counters(_live(spark, folder), "2 days", "1 day"), "live-slides"
 )
 ORACLE["j4_sliding_windows"] = (
     M.SCANNED
-    + f"SELECT * FROM (SELECT epoch_us(sent_at) // {_US} * {_US} - k * {_US} AS start_us, start_us + 2 * {_US} AS end_us, {_FIGURES}, "
-    f"cast(sum(span_count) AS bigint) AS spans FROM assessed, range(0, 2) t(k) GROUP BY ALL) WHERE end_us <= {_CUT}"
+    + f"SELECT epoch_us(sent_at) // {_US} * {_US} - k * {_US} AS start_us, start_us + 2 * {_US} AS end_us, {_FIGURES}, "
+    f"cast(sum(span_count) AS bigint) AS spans FROM assessed, range(0, 2) t(k) GROUP BY ALL"
 )
 
 _GAP = 30 * _US
-QUERIES["j4_sender_sessions"] = lambda spark, folder: _closed(
+QUERIES["j4_sender_sessions"] = lambda spark, folder: _windows(
     L.sender_sessions(_live(spark, folder), "720 hours"), "live-sessions"
 )
 ORACLE["j4_sender_sessions"] = (
@@ -89,54 +88,30 @@ ORACLE["j4_sender_sessions"] = (
     + f", b AS (SELECT *, epoch_us(sent_at) AS us, coalesce(us - lag(us) OVER (PARTITION BY sender ORDER BY us) >= {_GAP}, true) AS fresh FROM assessed), "
     "n AS (SELECT *, sum(fresh::int) OVER (PARTITION BY sender ORDER BY us, message_id) AS no FROM b) "
     f"SELECT * EXCLUDE (no) FROM (SELECT sender, no, min(us) AS start_us, max(us) + {_GAP} AS end_us, {_FIGURES}, "
-    f"cast(sum(span_count) AS bigint) AS spans FROM n GROUP BY sender, no) WHERE end_us <= {_CUT}"
+    f"cast(sum(span_count) AS bigint) AS spans FROM n GROUP BY sender, no)"
 ).replace(") , b AS", "), b AS")
 
 
-def _sides(spark, folder):
-    t = Tables(spark, folder)
-    return t.attempt_stream("prepared"), t.attempt_stream("exported")
+def _receipts(spark, folder):
+    attempts = Tables(spark, folder).attempt_stream("prepared", "exported", "discarded")
+    return R.latest(drain_changes(R.receipt_changes(attempts), "receipts"))
 
 
-_ALIVE = (
-    "p AS (SELECT token, occurred_at AS p_at, fingerprint FROM attempts WHERE action = 'prepared'), "
-    "x AS (SELECT event_id, token, occurred_at, fingerprint FROM attempts WHERE action = 'exported' AND confirmed), "
-    "v AS (SELECT x.event_id, p.token, p.p_at FROM p JOIN x ON x.token = p.token AND x.fingerprint = p.fingerprint AND "
-    "x.occurred_at >= p_at AND x.occurred_at < p_at + INTERVAL 600 SECONDS)"
+QUERIES["j5_valid_exports"] = lambda spark, folder: R.exported(_receipts(spark, folder)).select(
+    F.col("use_event").cast("bigint").alias("event_id"), "token", F.col("issue_at").alias("prepared_micros")
 )
-
-
-def j5_valid_exports(spark, folder):
-    rows = R.valid_exports(*_sides(spark, folder)).select("event_id", "token", "prepared_micros")
-    return drain(rows, "exports")
-
-
-QUERIES["j5_valid_exports"] = j5_valid_exports
 ORACLE["j5_valid_exports"] = (
-    O.with_(O.ATTEMPTS, _ALIVE) + "SELECT event_id, token, epoch_us(p_at) AS prepared_micros FROM v"
+    _decided() + "SELECT event_id, token, epoch_us(issued_at) AS prepared_micros FROM decided WHERE outcome = 'exported'"
 )
 
+QUERIES["j6_exported_receipts"] = lambda spark, folder: R.exported(_receipts(spark, folder)).select("token")
+ORACLE["j6_exported_receipts"] = _decided() + "SELECT token FROM decided WHERE outcome = 'exported'"
 
-def j6_exported_receipts(spark, folder):
-    return drain(R.single_exports(R.valid_exports(*_sides(spark, folder))).select("token"), "single-exports")
-
-
-QUERIES["j6_exported_receipts"] = j6_exported_receipts
-ORACLE["j6_exported_receipts"] = O.with_(O.ATTEMPTS, _ALIVE) + "SELECT DISTINCT token FROM v"
-
-
-def j7_unexported(spark, folder):
-    """Receipts without an export, up to a day before the last event; later ones may still be open."""
-    rows = R.unexported(*_sides(spark, folder)).select("token", F.unix_micros("p_at").alias("prepared_micros"))
-    done = drain(rows, "unexported")
-    last = Tables(spark, folder).attempts().agg(F.max("occurred_at").alias("occurred_at"))
-    cut = last.select(F.expr(f"{local_micros('occurred_at')} - {_US}").alias("cut"))  # one row
-    return done.where(F.col("prepared_micros") < cut.scalar())
-
-
-QUERIES["j7_unexported"] = j7_unexported
+QUERIES["j7_unexported"] = lambda spark, folder: R.unexported(_receipts(spark, folder)).select(
+    "token", F.col("issue_at").alias("prepared_micros")
+)
 ORACLE["j7_unexported"] = (
-    O.with_(O.ATTEMPTS, _ALIVE)
-    + "SELECT p.token, epoch_us(p.p_at) AS prepared_micros FROM p LEFT JOIN v ON v.token = p.token AND v.p_at = p.p_at "
-    "WHERE v.token IS NULL AND p.p_at < (SELECT max(occurred_at) - INTERVAL 1 DAY FROM attempts)"
+    _decided()
+    + "SELECT token, epoch_us(issued_at) AS prepared_micros FROM decided WHERE outcome = 'prepared' "
+    "AND token NOT IN (SELECT token FROM decided WHERE outcome = 'exported')"
 )

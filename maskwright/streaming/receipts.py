@@ -1,63 +1,91 @@
-"""Review receipts as two streams: what was prepared, and what is exported.
+"""Review receipts as a stream of attempts: one state per receipt, kept for good.
 
-State is bounded by the life of a receipt plus the allowed lateness. The batch form in
-``maskwright.operators.review`` is exact about order; a stream decides in order of arrival.
+An attempt has ``event_id``, ``occurred_at``, ``action``, ``token``, ``fingerprint`` and ``confirmed``,
+as in ``maskwright.operators.review``, whose results these are when attempts arrive in order. Within
+one micro-batch attempts are put in order; across micro-batches a decision stands once it is made,
+as an export cannot be taken back. There is no watermark, so no late attempt is lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from maskwright import fixed_values as V
 
-LATENESS = "10 minutes"
+_STATE = (
+    "version bigint, issue_at bigint, issue_event string, issue_fingerprint string, "
+    "use_at bigint, use_event string, use_action string"
+)
+CHANGES = f"token string, {_STATE}"
 
 
-def _sides(prepared: DataFrame, exports: DataFrame, lateness: str) -> tuple[DataFrame, DataFrame]:
-    p = prepared.select(
-        F.col("token").alias("p_token"), F.col("occurred_at").alias("p_at"), F.col("fingerprint").alias("p_fingerprint")
-    ).withWatermark("p_at", lateness)
-    x = exports.where("confirmed").select("event_id", "token", "occurred_at", "fingerprint").withWatermark("occurred_at", lateness)
-    return p, x
+def _advance(state: tuple, attempts: list[tuple], life: int) -> tuple:
+    """The state of a receipt after attempts (at, event, action, fingerprint) in their order."""
+    version, issue_at, issue_event, issue_print, use_at, use_event, use_action = state
+    for at, event, action, print_ in attempts:
+        if issue_at is None:
+            if action == "prepared":
+                issue_at, issue_event, issue_print = at, event, print_
+        elif use_at is None and action != "prepared" and issue_at <= at < issue_at + life:
+            if action == "discarded" or (print_ is not None and print_ == issue_print):
+                use_at, use_event, use_action = at, event, action
+    return version + 1, issue_at, issue_event, issue_print, use_at, use_event, use_action
 
 
-def _alive(life_seconds: int):
-    return F.expr(
-        "token = p_token AND occurred_at >= p_at "
-        f"AND occurred_at < p_at + INTERVAL {int(life_seconds)} SECONDS"
-    )
+def receipt_changes(attempts: DataFrame, life_seconds: int = V.RECEIPT_LIFE_SECONDS) -> DataFrame:
+    """The state of each receipt after each micro-batch that changed it (update mode); times in microseconds.
 
+    The row of a token with the highest ``version`` is its present state. Attempts that decide nothing (exports
+    without confirmation, rows without token) are left out before the shuffle.
+    """
+    life = int(life_seconds) * 1_000_000
+    order_type = dict(attempts.dtypes)["event_id"]
 
-def valid_exports(
-    prepared: DataFrame,
-    exports: DataFrame,
-    life_seconds: int = V.RECEIPT_LIFE_SECONDS,
-    lateness: str = LATENESS,
-) -> DataFrame:
-    """Confirmed exports of an unexpired receipt with the right content."""
-    p, x = _sides(prepared, exports, lateness)
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = state.get if state.exists else (0, None, None, None, None, None, None)
+        # Only what may still decide is kept of a busy token.
+        waiting = []
+        for frame in frames:
+            if before[4] is None:
+                rows = zip(frame["at"], frame["event_id"], frame["event"], frame["action"], frame["fingerprint"])
+                waiting += [r for r in rows if before[1] is None or r[3] != "prepared"]
+        waiting.sort(key=lambda r: r[:2])
+        after = _advance(before, [(int(at), event, action, mark) for at, _, event, action, mark in waiting], life)
+        if after[1:] != tuple(before)[1:]:
+            state.update(after)
+            yield pd.DataFrame([(key[0], *after)], columns=[c.split()[0] for c in CHANGES.split(", ")])
+
+    rows = attempts.where("token IS NOT NULL AND (action IN ('prepared', 'discarded') OR (action = 'exported' AND confirmed))")
     return (
-        p.join(x, _alive(life_seconds) & F.expr("fingerprint = p_fingerprint"))
-        .select("event_id", "token", "occurred_at", F.unix_micros("p_at").alias("prepared_micros"))
+        rows.select(
+            "token",
+            F.unix_micros("occurred_at").alias("at"),
+            F.col("event_id").cast(order_type).alias("event_id"),
+            F.col("event_id").cast("string").alias("event"),
+            "action",
+            "fingerprint",
+        )
+        .groupBy("token")
+        .applyInPandasWithState(update, CHANGES, _STATE, "update", GroupStateTimeout.NoTimeout)
     )
 
 
-def single_exports(valid: DataFrame) -> DataFrame:
-    """At most one export per receipt: the first to arrive."""
-    return valid.dropDuplicatesWithinWatermark(["token"])
+def latest(changes: DataFrame) -> DataFrame:
+    """Issued receipts in their present state, from the stored changes."""
+    newest = changes.groupBy("token").agg(F.max_by(F.struct(*changes.columns), "version").alias("r")).select("r.*")
+    return newest.where("issue_at IS NOT NULL")
 
 
-def unexported(
-    prepared: DataFrame,
-    exports: DataFrame,
-    life_seconds: int = V.RECEIPT_LIFE_SECONDS,
-    lateness: str = LATENESS,
-) -> DataFrame:
-    """Receipts that ran out without an export, emitted once the watermark has passed."""
-    p, x = _sides(prepared, exports, lateness)
-    return (
-        p.join(x, _alive(life_seconds) & F.expr("fingerprint = p_fingerprint"), "left_outer")
-        .where("token IS NULL")
-        .select(F.col("p_token").alias("token"), "p_at")
-    )
+def exported(receipts: DataFrame) -> DataFrame:
+    """Receipts that were exported, each once, with the attempt that did it."""
+    return receipts.where("use_action = 'exported'")
+
+
+def unexported(receipts: DataFrame) -> DataFrame:
+    """Receipts without an export: discarded, run out, or open at the end of what arrived."""
+    return receipts.where("use_action IS DISTINCT FROM 'exported'")

@@ -1,4 +1,4 @@
-"""Run a stream over what is there now and hand back its output as a table."""
+"""Run a stream over what is there now and hand back its output as a table in the shared folder."""
 
 from __future__ import annotations
 
@@ -22,17 +22,39 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def drain_totals(stream: DataFrame, name: str) -> DataFrame:
-    """The final rows of a small aggregate in complete mode (counters, labels, windows)."""
+def _batches(stream: DataFrame, name: str, mode: str) -> tuple[str, list[int]]:
+    """Every micro-batch as a folder of its own, written anew if it is repeated; the folder and the numbers."""
     spark = stream.sparkSession
-    table = scratch_folder(spark, name).rsplit("/", 1)[1].replace("-", "_")
+    out, done = scratch_folder(spark, name), []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        done.append(number)
+
     query = (
-        stream.writeStream.format("memory")
-        .queryName(table)
-        .outputMode("complete")
+        stream.writeStream.foreachBatch(keep)
+        .outputMode(mode)
         .option("checkpointLocation", scratch_folder(spark, name + "-state"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.table(table)
+    return out, done
+
+
+def drain_totals(stream: DataFrame, name: str) -> DataFrame:
+    """The final rows of an aggregate in complete mode: counters, labels, and windows, open ones included."""
+    spark = stream.sparkSession
+    out, done = _batches(stream, name, "complete")
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{out}/batch={done[-1]}")
+
+
+def drain_changes(stream: DataFrame, name: str) -> DataFrame:
+    """All rows that an update-mode stream gave, batch after batch."""
+    spark = stream.sparkSession
+    out, done = _batches(stream, name, "update")
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{out}/batch={n}" for n in sorted(set(done))])

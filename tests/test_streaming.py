@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,11 +8,13 @@ from pyspark.sql import functions as F
 from maskwright.operators import dashboard as B
 from maskwright.operators import mail as M
 from maskwright.operators import prepare as P
+from maskwright.operators import review
 from maskwright.sources import scratch
 from maskwright.sources import texts as X
+from maskwright.sources.tables import Tables
 from maskwright.streaming import live as L
 from maskwright.streaming import receipts as R
-from maskwright.streaming.run import drain, drain_totals
+from maskwright.streaming.run import drain, drain_changes, drain_totals
 
 INSIDE = ["in.example"]
 T0 = datetime(2024, 5, 1)
@@ -71,18 +74,49 @@ def test_windows_and_sessions(spark, folder):
     assert session.total == 60 and session.sender == "a@in.example"
 
 
-def test_receipts_expire_and_export_once(spark, tmp_path):
-    p = [("a", 0, "1"), ("b", 0, "1"), ("c", 0, "1"), ("d", 0, "1"), ("late", 90_000, "1")]
-    x = [(1, "a", 599, "1", True), (2, "a", 599, "1", True), (3, "b", 600, "1", True), (4, "c", 5, "2", True), (5, "d", 5, "1", False), (6, "late", 90_001, "2", True)]
-    spark.createDataFrame([(t, T0 + timedelta(seconds=s), f) for t, s, f in p], "token string, occurred_at timestamp, fingerprint string").write.parquet(str(tmp_path / "p"))
-    spark.createDataFrame([(i, t, T0 + timedelta(seconds=s), f, c) for i, t, s, f, c in x], "event_id int, token string, occurred_at timestamp, fingerprint string, confirmed boolean").write.parquet(str(tmp_path / "x"))
+ATTEMPT = "event_id bigint, occurred_at timestamp, action string, token string, fingerprint string, confirmed boolean"
+
+
+def attempt_files(spark, path, rows, files):
+    """A log in ``files`` files, one micro-batch each."""
+    rows = sorted(rows, key=lambda r: (r[1], r[0]))
+    step = -(-len(rows) // files)
+    for k in range(0, len(rows), step):
+        spark.createDataFrame(rows[k : k + step], ATTEMPT).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
 
-    def sides():
-        return [spark.readStream.schema(spark.read.parquet(str(tmp_path / n)).schema).parquet(str(tmp_path / n)) for n in "px"]
 
-    assert sorted(r.event_id for r in drain(R.valid_exports(*sides()), "v").collect()) == [1, 2]
-    assert [r.token for r in drain(R.single_exports(R.valid_exports(*sides())), "o").collect()] == ["a"]
-    assert sorted(r.token for r in drain(R.unexported(*sides()), "u").collect()) == ["b", "c", "d"]
+def test_receipts_expire_and_export_once(spark, tmp_path):
+    p = [("a", 0, "1"), ("b", 0, "1"), ("c", 0, "1"), ("d", 0, "1"), ("e", 0, "1"), ("e", 1, "2"), ("late", 90_000, "1")]
+    x = [("a", 599, "1", True), ("a", 599, "1", True), ("b", 600, "1", True), ("c", 5, "2", True), ("d", 5, "1", False), ("e", 9, "2", True), ("late", 90_001, "2", True)]
+    rows = [(i, T0 + timedelta(seconds=s), "prepared", t, f, None) for i, (t, s, f) in enumerate(p)]
+    rows += [(100 + i, T0 + timedelta(seconds=s), "exported", t, f, c) for i, (t, s, f, c) in enumerate(x)]
+    rows += [(200, T0, "prepared", None, "1", None), (201, T0, "prepared", "n", None, None), (202, T0 + timedelta(seconds=1), "exported", "n", None, True)]
+    receipts = R.latest(drain_changes(R.receipt_changes(attempt_files(spark, str(tmp_path / "a"), rows, 2)), "v"))
+    assert [(r.token, r.use_event) for r in R.exported(receipts).collect()] == [("a", "100")]
+    assert sorted(r.token for r in R.unexported(receipts).collect()) == ["b", "c", "d", "e", "late", "n"]
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_receipts_of_stream_and_batch_agree(spark, tmp_path, files):
+    rng = random.Random(files)
+    rows = [
+        (i, T0 + timedelta(seconds=rng.randrange(900)), rng.choice(["prepared", "exported", "exported", "discarded"]),
+         rng.choice(["hot"] * 5 + [f"t{k}" for k in range(60)]), rng.choice("12"), rng.choice([True, True, False, None]))
+        for i in range(500)
+    ]
+    stream = attempt_files(spark, str(tmp_path / "a"), rows, files)
+    got = {(r.token, int(r.issue_event), r.use_event and int(r.use_event), r.use_action) for r in R.latest(drain_changes(R.receipt_changes(stream, 200), "r")).collect()}
+    batch = review.receipts(spark.createDataFrame(rows, ATTEMPT), 200)
+    expected = {(r.token, r.issue.event_id, r.use and r.use.event_id, r.use_action) for r in batch.collect()}
+    assert got == expected and {"exported", "discarded", None} == {r[3] for r in got}
+
+
+def test_a_stream_reads_a_table_of_many_files(spark, tmp_path):
+    source = Tables(spark, "/root/testdata/sf0.001")
+    source.read("orders").repartition(5).write.parquet(str(tmp_path / "orders.parquet"))
+    rows = drain(Tables(spark, str(tmp_path)).message_stream().select("message_id"), "m")
+    assert rows.count() == source.read("orders").count()
 
 
 def test_scratch_folder_follows_the_session(spark):
