@@ -6,7 +6,7 @@ An attempt has ``event_id``, ``occurred_at``, ``action`` (prepared, exported, di
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright import fixed_values as V
@@ -32,6 +32,44 @@ def fingerprint(key: bytes, fields: str = "candidate_fields") -> str:
     return hmac_sha256(canonical, key)
 
 
+def issue(
+    prepared: DataFrame, key: bytes, *, token: Column, issued_at: Column, life_seconds: int = V.RECEIPT_LIFE_SECONDS
+) -> DataFrame:
+    """Receipts for accepted requests: ``token``, ``issued_at``, ``expires`` and ``fingerprint`` beside the candidate.
+
+    A random token (``F.expr("uuid()")``) changes when the plan runs again: store the result before use.
+    """
+    rows = prepared.where("reject_reason IS NULL").withColumns({"token": token, "issued_at": issued_at})
+    return rows.withColumns(
+        {
+            "expires": F.expr(f"issued_at + INTERVAL {int(life_seconds)} SECONDS"),
+            "fingerprint": F.expr(fingerprint(key)),
+        }
+    )
+
+
+def issue_events(issued: DataFrame, event_id: Column) -> DataFrame:
+    """The ``prepared`` attempt of every receipt, for the log that :func:`reconcile` reads."""
+    return issued.select(
+        event_id.alias("event_id"),
+        F.col("issued_at").alias("occurred_at"),
+        F.lit("prepared").alias("action"),
+        "token",
+        "fingerprint",
+        F.lit(None).cast("boolean").alias("confirmed"),
+    )
+
+
+def export(issued: DataFrame, reconciled: DataFrame, key: bytes) -> DataFrame:
+    """Candidates of accepted exports with the ``export_event`` that released them, each at most once.
+
+    The fingerprint is computed again from the candidate, so one that was changed since is not released.
+    """
+    done = reconciled.where("outcome = 'exported'").select("token", F.col("event_id").alias("export_event"), F.col("fingerprint").alias("_claimed"))
+    rows = issued.join(done, "token").where(F.expr(fingerprint(key)) == F.col("_claimed"))
+    return rows.drop("_claimed")
+
+
 def receipts(attempts: DataFrame, life_seconds: int = V.RECEIPT_LIFE_SECONDS) -> DataFrame:
     """One row per receipt: when it was issued, when it expires, and when and how it was used up.
 

@@ -259,3 +259,35 @@ ORACLE["h1_fingerprints"] = (
     f"SELECT s.request_id, sha256(unhex('{_PAD[1]}') || unhex(sha256(unhex('{_PAD[0]}') || encode({_JSON})))) AS fingerprint "
     "FROM red s JOIN red b ON b.request_id = s.request_id AND s.ord = 2 AND b.ord = 3 JOIN r ON r.request_id = s.request_id"
 ).replace(") , dom AS", "), dom AS")
+
+
+def h9_released_candidates(spark, folder):
+    """Prepare, issue, two export attempts for each receipt, reconcile, release."""
+    issued = R.issue(
+        PP._prepared(spark, folder), _HMAC_KEY,
+        token=F.concat(F.lit("t"), F.col("request_id").cast("string")), issued_at=F.timestamp_seconds("request_id"),
+    )
+    issued = written(issued, "issued")
+    exports = issued.select(
+        "token", "request_id", "issued_at", "fingerprint", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")
+    ).select(
+        F.expr("request_id * 3 + k").alias("event_id"),
+        F.expr("timestampadd(SECOND, cast(request_id % 900 + (k - 1) * 5 AS int), issued_at)").alias("occurred_at"),
+        F.lit("exported").alias("action"),
+        "token",
+        F.expr("CASE WHEN k = 1 AND request_id % 6 = 1 THEN 'another' ELSE fingerprint END").alias("fingerprint"),
+        F.expr("k = 2 OR request_id % 7 <> 0").alias("confirmed"),
+    )
+    log = R.issue_events(issued, F.expr("request_id * 3")).unionByName(exports)
+    released = R.export(issued, R.reconcile(log), _HMAC_KEY)
+    return released.select(
+        "request_id", F.expr("export_event % 3").cast("bigint").alias("attempt"), F.expr(P.reviewed_text()).alias("reviewed_text")
+    )
+
+
+QUERIES["h9_released_candidates"] = h9_released_candidates
+ORACLE["h9_released_candidates"] = (
+    f"SELECT * FROM (SELECT request_id, cast(CASE WHEN request_id % 900 < 600 AND request_id % 6 <> 1 AND request_id % 7 <> 0 THEN 1 "
+    "WHEN request_id % 900 + 5 < 600 THEN 2 END AS bigint) AS attempt, reviewed_text "
+    f"FROM ({PP.ORACLE['a9_reviewed_texts']})) WHERE attempt IS NOT NULL"
+)

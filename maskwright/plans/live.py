@@ -39,6 +39,16 @@ ORACLE["j1_live_scan"] = (
 QUERIES["j2_live_counters"] = lambda spark, folder: drain_totals(L.live_counters(_live(spark, folder)), "live-counters")
 ORACLE["j2_live_counters"] = M.ORACLE["f1_counters"]
 
+
+def j8_replayed_counters(spark, folder):
+    """A second run over the same input starts from zero."""
+    drain_totals(L.live_counters(_live(spark, folder)), "first-run")
+    return drain_totals(L.live_counters(_live(spark, folder)), "second-run")
+
+
+QUERIES["j8_replayed_counters"] = j8_replayed_counters
+ORACLE["j8_replayed_counters"] = M.ORACLE["f1_counters"]
+
 QUERIES["j2_live_label_totals"] = lambda spark, folder: drain_totals(L.live_label_totals(_live(spark, folder)), "live-labels")
 ORACLE["j2_live_label_totals"] = M.ORACLE["f2_label_totals"]
 

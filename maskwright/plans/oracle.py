@@ -17,6 +17,7 @@ def lit(value: str) -> str:
 
 MESSAGES = f"messages AS ({T.view_sql(T.message_view(T.DUCKDB), 'orders')})"
 ATTEMPTS = f"attempts AS ({T.view_sql(T.attempt_view(T.DUCKDB), 'events')})"
+PASTED = f"logs AS ({T.view_sql(T.pasted_view(T.DUCKDB), 'events')})"
 LOGS = f"logs AS ({T.view_sql(T.log_view(T.DUCKDB), 'events')})"
 TEXTS = f"{MESSAGES}, texts AS ({T.texts_sql()})"
 INTERNAL = "(" + ", ".join(lit(d) for d in T.INTERNAL_DOMAINS) + ")"

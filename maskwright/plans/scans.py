@@ -299,16 +299,22 @@ ORACLE["c2_document_credentials"] = (
 )
 
 
-def c_log_credentials(spark, folder):
-    """Headers, blocks and quoted assignments in pasted logs, with CRLF, CR and nested quotation."""
-    found = S.hold(D.spread(Tables(spark, folder).logs()), {"spans": credential_spans("text")})
-    return D.explode_spans(found, ["event_id"]).select(
-        "event_id", F.col("start").cast("bigint").alias("start_at"), F.col("end").cast("bigint").alias("end_at"), "match_text"
-    )
+def _credentials_in(logs):
+    """Credentials in pasted logs, with CRLF, CR and nested quotation."""
 
+    def query(spark, folder):
+        found = S.hold(D.spread(logs(Tables(spark, folder))), {"spans": credential_spans("text")})
+        return D.explode_spans(found, ["event_id"]).select(
+            "event_id", F.col("start").cast("bigint").alias("start_at"), F.col("end").cast("bigint").alias("end_at"), "match_text"
+        )
 
-QUERIES["c_log_credentials"] = c_log_credentials
-ORACLE["c_log_credentials"] = (
-    f"WITH {O.LOGS} SELECT event_id, lead_length AS start_at, lead_length + credential_length AS end_at, "
-    "substr(text, lead_length + 1, credential_length) AS match_text FROM logs WHERE credential_length > 0"
-)
+    return query
+
+
+# Headers, blocks and escaped quotes; then cookies, proxies, private keys, open and two-line quotes.
+for _key, _logs, _cte in [("c_log_credentials", Tables.logs, O.LOGS), ("c_pasted_credentials", Tables.pasted, O.PASTED)]:
+    QUERIES[_key] = _credentials_in(_logs)
+    ORACLE[_key] = (
+        f"WITH {_cte} SELECT event_id, lead_length AS start_at, lead_length + credential_length AS end_at, "
+        "substr(text, lead_length + 1, credential_length) AS match_text FROM logs WHERE credential_length > 0"
+    )

@@ -120,6 +120,28 @@ def log_view(dialect: dict) -> dict[str, str]:
     }
 
 
+def pasted_view(dialect: dict) -> dict[str, str]:
+    """A second pasted log per event: other headers, key blocks, quotes over two lines or never closed."""
+    eol = "CASE event_id % 3 WHEN 0 THEN chr(10) WHEN 1 THEN chr(13) || chr(10) ELSE chr(13) END"
+    quoting = "CASE user_id % 3 WHEN 0 THEN '' WHEN 1 THEN '> ' ELSE '> > ' END"
+    credential = (
+        "CASE event_type "
+        "WHEN 'view' THEN 'Cookie: session=s' || event_id "
+        "WHEN 'click' THEN 'Proxy-Authorization: Basic ' || event_id "
+        f"WHEN 'purchase' THEN '-----BEGIN RSA PRIVATE KEY-----' || {eol} || {quoting} || 'MIIE' || event_id || {eol} || "
+        f"{quoting} || '-----END RSA PRIVATE KEY-----' "
+        "WHEN 'signup' THEN 'password = \"never closed ' || event_id "
+        f"ELSE 'secret: \"line one ' || event_id || {eol} || {quoting} || 'line two\"' END"
+    )
+    lead = f"'entry ' || event_id || {eol} || {quoting}"
+    return {
+        "event_id": "event_id",
+        "text": f"{lead} || {credential} || {eol} || {quoting} || 'Accept: text/plain'",
+        "lead_length": f"length({lead})",
+        "credential_length": f"length({credential})",
+    }
+
+
 def view_sql(view: dict[str, str], table: str) -> str:
     columns = ", ".join(f"{expr} AS {name}" for name, expr in view.items())
     return f"SELECT {columns} FROM {table}"
@@ -167,6 +189,9 @@ class Tables:
     def logs(self) -> DataFrame:
         return self._view(log_view(SPARK), "events")
 
+    def pasted(self) -> DataFrame:
+        return self._view(pasted_view(SPARK), "events")
+
     def _stream(self, table: str) -> DataFrame:
         """The rows of a table as they arrive, be it one file or a folder of part files.
 

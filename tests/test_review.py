@@ -106,3 +106,18 @@ def test_keyed_fingerprints(spark):
     for key in (b"k", b"key" * 50):
         got = [r[0] for r in df.select(F.expr(hmac_sha256("t", key))).collect()]
         assert got == [hmac.new(key, t.encode(), hashlib.sha256).hexdigest() for t in texts]
+
+
+def test_a_changed_candidate_is_not_released(spark):
+    fields = {"sender": "x", "text": "shared"}
+    row = [(str(i), "ai_prompt", "heuristic", "v", fields, None, "too bad" if i == 3 else None) for i in range(4)]
+    routing = "struct<recipient_count:int,crosses_boundary:boolean,all_recipients_internal:boolean>"
+    prepared = spark.createDataFrame(row, f"request_id string, use_case string, engine string, policy_version string, candidate_fields map<string,string>, routing {routing}, reject_reason string")
+    issued = R.issue(prepared, b"k", token=F.concat(F.lit("t"), "request_id"), issued_at=F.lit(T0))
+    assert {(r.token, (r.expires - r.issued_at).seconds) for r in issued.collect()} == {("t0", 600), ("t1", 600), ("t2", 600)}
+    events = R.issue_events(issued, F.col("request_id").cast("int"))
+    tries = events.withColumns({"event_id": F.col("event_id") + 10, "action": F.lit("exported"), "confirmed": F.col("token") != "t1"})
+    decided = R.reconcile(events.unionAll(tries).unionAll(tries.withColumn("event_id", F.col("event_id") + 10)))
+    assert [(r.token, r.export_event) for r in R.export(issued, decided, b"k").orderBy("token").collect()] == [("t0", 10), ("t2", 12)]
+    edited = issued.withColumn("candidate_fields", F.expr("CASE WHEN token = 't0' THEN map('sender', 'x', 'text', 'edited') ELSE candidate_fields END"))
+    assert [r.token for r in R.export(edited, decided, b"k").collect()] == ["t2"]
