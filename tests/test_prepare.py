@@ -1,4 +1,8 @@
 import json
+import random
+from email.errors import MessageError
+from email.headerregistry import Address
+from email.utils import getaddresses
 
 import pandas as pd
 import pytest
@@ -118,7 +122,8 @@ def test_address_notations(spark):
     rows = {
         "a@b.co": ["b.co"], "Ann B. Cole <a@B.Co>": ["b.co"], '"Cole, Ann" <a@b.co>, d@e.f': ["b.co", "e.f"], " a@b.co ": ["b.co"],
         "a@b.co (home)": ["b.co"], '"odd name"@b.co': ["b.co"], "Åsa <a@b.co>": ["b.co"],
-        "<a@b.co": ["b.co"],  # the library mends this one
+        "<a@b.co": ["b.co"], "o'neil@b.co": ["b.co"], "x@bücher.example": ["bücher.example"], '"(a) b, \\"c\\"" <a@b.co>': ["b.co"],
+        "grp: a@b.co;": None, "a@[10.0.0.1]": None, "a (b (c)) <a@b.co>": None,
         "a b@c.d": None, "a@@b": None, "a@b.co; d@e.f": None,
     }
     df = spark.createDataFrame([(k,) for k in rows], "h string")
@@ -126,6 +131,35 @@ def test_address_notations(spark):
     assert got == rows
 
 
+def test_read_addresses_are_those_of_the_standard_library(spark):
+    def plain(value):
+        try:
+            boxes = [Address(addr_spec=spec) for _, spec in getaddresses([value], strict=True)]
+        except (ValueError, IndexError, MessageError):
+            return None
+        return [b.domain.lower() for b in boxes] if boxes and all(b.username and b.domain for b in boxes) else None
+
+    rng = random.Random(3)
+    bits = ["a@b.co", "c.d@e.F", "<a@b.co>", "<", ">", ",", ", ", " ", "Ann", "B.", '"', '"x, y" ', "(z)", "@", ".", "é", "'", "\\"]
+    texts = sorted({"".join(rng.choice(bits) for _ in range(rng.randint(1, 6))) for _ in range(12_000)})
+    df = spark.createDataFrame([(t,) for t in texts], "h string")
+    got = {r.h: r.d for r in R.with_domains(df, F.col("h"), "d").collect() if r.d is not None}
+    assert len(got) > 100
+    assert {h: (plain(h), d) for h, d in got.items() if plain(h) != d} == {}
+
+
+def test_very_long_recipient_lists(spark):
+    df = spark.createDataFrame([(n, ", ".join(f'"P, {i}" <p{i}@d{i}.example>' for i in range(n))) for n in (1, 30_000)], "n int, h string")
+    assert {(r.n, len(r.d)) for r in R.with_domains(df, F.col("h"), "d").collect()} == {(1, 1), (30_000, 30_000)}
+
+
+def test_no_python_in_the_plan(spark, capsys):
+    df = spark.createDataFrame([("1", "ai_prompt", {"text": "T"}, None)], f"request_id string, use_case string, fields map<string,string>, manual_masks {P.MASKS}")
+    P.prepare(df).explain()
+    shown = capsys.readouterr().out
+    assert "Scan" in shown and "EvalPython" not in shown
+
+
 def test_matching_masks_overlap(spark):
     cases = [("ananana", "ana", [(0, 3), (2, 5), (4, 7)]), (r"x\E.\E.", r"\E.", [(1, 4), (4, 7)]), ("﷐a﷐a", "a", [(1, 2), (3, 4)]), ("😀b😀b", "😀b", [(0, 2), (2, 4)]), ("ab", "abc", []), ("", "a", []), ("ab", "", []), ("A", "a", [])]
     df = spark.createDataFrame([(t, n) for t, n, _ in cases], "t string, n string")
