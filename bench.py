@@ -37,6 +37,12 @@ HEADLINE = [
     "h7_backlog",
     "i4_by_label",
     "i5_totals",
+    "d4_matching_masks",
+    "d5_mask_union",
+    "b14_label_changes",
+    "i10_regressions",
+    "i12_compare_engines",
+    "j4_daily_windows",
 ]
 
 
