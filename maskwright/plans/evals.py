@@ -291,3 +291,19 @@ ORACLE["h9_released_candidates"] = (
     "WHEN request_id % 900 + 5 < 600 THEN 2 END AS bigint) AS attempt, reviewed_text "
     f"FROM ({PP.ORACLE['a9_reviewed_texts']})) WHERE attempt IS NOT NULL"
 )
+
+
+QUERIES["d13_candidate_bytes"] = lambda spark, folder: P.accepted(PP._prepared(spark, folder)).select(
+    "request_id", F.expr(P.candidate_bytes("heuristic")).cast("bigint").alias("bytes")
+)
+_BODY_JSON = (
+    "'{\"receipt\": \"' || repeat('x', 43) || '\", \"confirmed\": true, \"candidate\": {\"use_case\": \"email\", "
+    f"\"policy_version\": \"{V.POLICY_VERSION}\", \"engine\": \"heuristic\", \"fields\": {{\"sender\": \"[SENDER_REMOVED]\", "
+    "\"recipients\": \"[RECIPIENTS_REMOVED]\", \"subject\": \"' || s.redacted || '\", \"body\": \"' || "
+    "replace(b.redacted, chr(10), '\\n') || '\"}, \"routing\": {\"recipient_count\": ' || r.n || ', \"crosses_example_boundary\": ' || "
+    "r.cb || ', \"all_recipients_internal\": ' || r.ai || '}}}'"
+)
+ORACLE["d13_candidate_bytes"] = ORACLE["h1_fingerprints"].split("SELECT s.request_id, sha256(")[0] + (
+    f"SELECT s.request_id, cast(length({_BODY_JSON}) AS bigint) AS bytes "
+    "FROM red s JOIN red b ON b.request_id = s.request_id AND s.ord = 2 AND b.ord = 3 JOIN r ON r.request_id = s.request_id"
+)
