@@ -65,6 +65,21 @@ def test_language_mixture_and_edges(spark):
     assert {r.lang_pred for r in language.identify(frame(spark), nothing).collect()} == {"und"}
 
 
+def test_language_of_letters_that_stand_alone(spark):
+    rows = [(1, "the house and a garden with a thing " * 30, "en"), (2, "der hund und die katze y nicht " * 30, "de"), (3, "die schule " * 30, "de")]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(train, train.doc_id.isNotNull(), block=5000)
+    texts = ["A.", "x", "x = 3", "Y", "q. -- z.", "3 = 4", "--", "é", None]
+    got = {r.doc_id: r for r in language.identify(frame(spark, list(enumerate(texts))), model).collect()}
+    assert [got[k].lang_pred for k in (0, 1, 2, 3, 4)] == ["en", "de", "de", "de", "de"]
+    assert {k for k, r in got.items() if r.lang_pred == "und"} == {5, 6, 8}
+    assert all(0 < r.score <= 1 and list(r.languages) == [r.lang_pred] and list(r.proportions) == [r.score] for k, r in got.items() if k < 5)
+    assert all(r.score == 0 for k, r in got.items() if k in (5, 6, 8))
+    # nothing but letters that stand alone is learned from, too
+    lone = language.fit(train.selectExpr("doc_id", "'A.' AS text", "lang"), train.doc_id.isNotNull())
+    assert next(iter(language.mixture(lone, "A."))) == "de"
+
+
 # 2 decontamination
 
 
