@@ -20,8 +20,10 @@ from maskwright.llm.batches import grams, letters, map_texts
 N = 5
 BEGINNINGS = (6, 7, 8, 10)
 BITS = 32
-# Least share of the positives that a chosen n-gram has.
-SUPPORT = 0.01
+# Least number of sampled positives that hold a chosen n-gram, and how sure, in standard deviations,
+# its surplus among them must be.
+LEAST = 5
+SURE = 4.0
 # Step back on the clean part, as a share of a step, where its estimated risk is below zero.
 BACK = 0.1
 # Expected numbers of sampled texts, and the length up to which a text is taken into the sample.
@@ -73,34 +75,36 @@ def _sampled(rows: DataFrame, id_col: str, share: float) -> DataFrame:
     return rows.where(F.expr(f"xxhash64({id_col}, 'sample') % 1000000L").between(-999_999, int(2e6 * share) - 1_000_000))
 
 
-def _select(pos: list[np.ndarray], unl: list[np.ndarray], keep: int) -> np.ndarray:
-    """The n-grams whose share among positives exceeds that among unlabelled texts most surely, sorted.
+def _select(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
+    """All n-grams that at least ``LEAST`` positives hold and whose share among positives surely exceeds that
+    among unlabelled texts, sorted.
 
-    A chosen n-gram stands in at least ``SUPPORT`` of the positives.
+    The test is that of two proportions, with the deviation of their pooled share, so an n-gram that few
+    positives hold, such as those of a rare language, is chosen if hardly any other text holds it.
     """
     p_code, p_count = np.unique(np.concatenate(pos), return_counts=True)
     u_code, u_count = np.unique(np.concatenate(unl), return_counts=True)
     if not len(p_code) or not len(u_code):
         return p_code[:0]
     at = np.minimum(np.searchsorted(u_code, p_code), len(u_code) - 1)
-    p = p_count / len(pos)
-    u = np.where(u_code[at] == p_code, u_count[at], 0) / len(unl)
-    surplus = (p - u) / np.sqrt((u * (1 - u) + p * (1 - p)) / len(pos) + 1e-6)
-    surplus[p < SUPPORT] = 0
-    order = np.argsort(-surplus, kind="stable")[:keep]
-    return np.sort(p_code[order[surplus[order] > 3.0]])
+    u_count = np.where(u_code[at] == p_code, u_count[at], 0)
+    pooled = (p_count + u_count) / (len(pos) + len(unl))
+    deviation = np.sqrt(pooled * (1 - pooled) * (1 / len(pos) + 1 / len(unl)) + 1e-12)
+    surplus = (p_count / len(pos) - u_count / len(unl)) / deviation
+    return p_code[(p_count >= LEAST) & (surplus > SURE)]
 
 
-def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, *, keep: int = 8192, rounds: int = 400, rate: float = 0.05, decay: float = 3e-5) -> Model:
+def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, *, rounds: int = 400, rate: float = 0.05, decay: float = 3e-5) -> Model:
     """Minimise the non-negative risk with the sigmoid loss by Adam; where the clean part's estimated
     risk is below zero, step back a little on that part instead."""
     none = np.empty(0)
-    chosen = _select(pos, unl, keep) if pos and unl else none
+    chosen = _select(pos, unl) if pos and unl else none
     if not len(chosen):
         return Model(none.astype(np.uint32), none, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))), prior)
 
     def matrix(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        cells = [np.flatnonzero(np.isin(chosen, t, assume_unique=True)) for t in texts]
+        near = [np.minimum(np.searchsorted(chosen, t), len(chosen) - 1) for t in texts]
+        cells = [at[chosen[at] == t] for at, t in zip(near, texts, strict=True)]
         return np.concatenate(cells), np.repeat(np.arange(len(cells)), [len(c) for c in cells]), len(cells)
 
     (pc, pr, np_), (uc, ur, nu) = matrix(pos), matrix(unl)
