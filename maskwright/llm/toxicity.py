@@ -26,10 +26,9 @@ LEAST = 5
 SURE = 4.0
 # Step back on the clean part, as a share of a step, where its estimated risk is below zero.
 BACK = 0.1
-# Expected numbers of sampled texts, and the length up to which a text is taken into the sample.
+# Expected numbers of sampled texts.
 POSITIVES = 3000
 UNLABELLED = 6000
-SAMPLE_BYTES = 50_000
 
 
 @dataclass
@@ -146,7 +145,7 @@ def fit(
     The prior is the share of 1 among all labels of such rows. ``positives`` and ``unlabelled`` are
     the expected sizes of the samples, drawn by a hash of the id; rows with a label of 0 count as
     unlabelled text like all others. Repeated labels of an id count once (1 wins); null labels and
-    null ids are ignored. Texts over ``SAMPLE_BYTES`` bytes are scored but not sampled.
+    null ids are ignored. Texts are sampled whole, whatever their length.
     """
     known = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
@@ -158,7 +157,7 @@ def fit(
     known = known.withColumnRenamed("_id", id_col).where(training).withColumnRenamed(id_col, "_id")
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     prior = min(0.9, max(0.001, toxic / n)) if n else 0.001
-    usable = rows.where(f"_train AND _text IS NOT NULL AND octet_length(_text) <= {SAMPLE_BYTES}").drop("_train")
+    usable = rows.where("_train AND _text IS NOT NULL").drop("_train")
     total = usable.agg(F.count("*")).first()[0]
     hits = _sampled(known.where("_y = 1"), "_id", min(1.0, positives / max(1, toxic)))
     hits = usable.join(hits.select("_id"), "_id", "left_semi").withColumn("_id", F.lit(1))

@@ -192,6 +192,18 @@ def test_toxic_minority_keeps_its_words():
     assert (z([noise().astype(np.uint32) for _ in range(200)]) > 0.85).mean() < 0.05
 
 
+def test_toxicity_of_long_texts(spark):
+    long = lambda k: prose(k, 8_000)
+    rows = [(k, long(k) + (" you wretched blockhead " + prose(k, 9) if k % 3 == 0 else "")) for k in range(48)]
+    rows += [(100 + k, prose(100 + k, 40)) for k in range(40)]
+    assert all(len(t) > 50_000 for _, t in rows[:48])
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(36)], "doc_id bigint, toxic int")
+    docs = frame(spark, rows)
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, labels, F.expr("doc_id < 36 OR doc_id >= 100"))).collect()}
+    assert all(got[k].predicted == 1 for k in range(36, 48, 3))
+    assert all(r.score < 0.7 for k, r in got.items() if k >= 36 and (k >= 100 or k % 3))
+
+
 # 4 near-duplicates
 
 
