@@ -7,6 +7,7 @@ posterior labels, not human ones, train a linear scorer on hashed byte trigrams.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ from maskwright.llm.batches import grams, map_texts
 
 NOTHING, BAD, GOOD = 0, 1, 2
 BITS = 14
-# Expected number of texts that train the scorer, and the length up to which a text is one of them.
+# Largest number of distinct texts that train the scorer, and the length up to which a text is one of them.
 SAMPLE = 8000
 SAMPLE_BYTES = 50_000
 
@@ -129,8 +130,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at, value / max(1e-9, float(np.sqrt((value**2).sum())))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, *, rounds: int = 300, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by Adam: weights by bucket and the bias."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, copies: np.ndarray | None = None, *, rounds: int = 300, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by Adam: weights by bucket and the bias. A row counts as often as
+    ``copies`` says, once without it."""
     size = 1 << BITS
     theta, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     if not rows:
@@ -138,9 +140,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, *, roun
     col = np.concatenate([r[0] for r in rows])
     val = np.concatenate([r[1] for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    share = np.full(len(rows), 1 / len(rows)) if copies is None else copies / copies.sum()
     for step in range(1, rounds + 1):
         z = np.bincount(row, theta[col] * val, len(rows)) + theta[size]
-        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(rows)
+        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * share
         g = np.append(np.bincount(col, d[row] * val, size) + decay * theta[:size], d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -165,37 +168,66 @@ def _patterns(rows: list[str]) -> np.ndarray:
     return np.array([[int(c) for c in r] for r in rows], dtype=np.int64).reshape(-1, len(LABELLERS))
 
 
+def _sampled(texts: DataFrame, sample: int) -> dict[int, float]:
+    """Hashes of at most ``sample`` distinct texts and for how many rows each stands.
+
+    Priority sampling: the texts with the least hash per copy, so the same ones in every run. With texts
+    left out, one stands for as many rows as its copies or the bound of the priorities say, whichever is
+    more: a text with very many copies comes in and counts as them all, but not for other rows too.
+    """
+    counts = texts.groupBy("_hash").agg(F.count("*").alias("n"))
+    priority = F.expr("(shiftrightunsigned(_hash, 11) + 1) / 9007199254740992D / n")
+    least = counts.select(priority.alias("p"), "_hash", "n").orderBy("p", "_hash").limit(sample + 1).collect()
+    bound = 1 / least[sample]["p"] if len(least) > sample else 0.0
+    return {r["_hash"]: max(float(r["n"]), bound) for r in least[:sample]}
+
+
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Count vote combinations over all rows (at most 3 ** number of labellers reach the driver), fit
-    the label model, then train the scorer on about ``sample`` texts with their posterior labels.
+    the label model, then train the scorer on at most ``sample`` distinct texts with their posterior
+    labels, each with the number of rows that it stands for as its weight.
 
-    The sample is drawn by a hash of the text, so that copies come in or stay out together; texts over
-    ``SAMPLE_BYTES`` bytes vote and are scored, but do not train.
+    However many copies a text has, one of them trains. Texts over ``SAMPLE_BYTES`` bytes vote and are
+    scored, but do not train.
     """
     seen = _voted(docs, id_col, text_col).groupBy("votes").count().collect()
     patterns, counts = _patterns([r["votes"] for r in seen]), np.array([r["count"] for r in seen])
     labels = fit_labels(patterns, counts)
-    share = min(1.0, sample / max(1, int(counts.sum())))
-    texts = docs.select(F.lit(0).alias("_id"), F.col(text_col).cast("string").alias("_text")).where(
-        f"octet_length(_text) <= {SAMPLE_BYTES}"
-    )
-    texts = texts.where(F.expr("xxhash64(_text, 'sample') % 1000000L").between(-999_999, int(2e6 * share) - 1_000_000))
-
-    def work(batch: list[str | None]) -> list:
-        cells = [features(t) for t in batch]
-        return [
-            pa.array([c.astype(np.int32).tobytes() for c, _ in cells], pa.binary()),
-            pa.array([x.astype(np.float32).tobytes() for _, x in cells], pa.binary()),
-            pa.array(["".join(map(str, votes(t))) for t in batch]),
-        ]
-
-    fields = [T.StructField("at", T.BinaryType()), T.StructField("value", T.BinaryType()), T.StructField("votes", T.StringType())]
-    got = map_texts(texts, "_id", "_text", fields, work).toPandas().sort_values(["at", "value"])
+    texts = docs.select(F.col(text_col).cast("string").alias("_text")).where(f"octet_length(_text) <= {SAMPLE_BYTES}")
+    texts = texts.select(F.expr("xxhash64(_text, 'sample') AS _hash"), "_text")
+    copies = _sampled(texts, sample)
+    chosen = docs.sparkSession.createDataFrame([(h,) for h in copies], "_hash bigint")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Features of each text once in a task."""
+        done: set[int] = set()
+        for batch in batches:
+            new = []
+            for k, h in enumerate(batch.column(0).to_pylist()):
+                if h not in done:
+                    done.add(h)
+                    new.append(k)
+            if new:
+                some = batch.take(pa.array(new))
+                own = some.column(1).to_pylist()
+                cells = [features(t) for t in own]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some.column(0),
+                        pa.array([c.astype(np.int32).tobytes() for c, _ in cells], pa.binary()),
+                        pa.array([x.astype(np.float32).tobytes() for _, x in cells], pa.binary()),
+                        pa.array(["".join(map(str, votes(t))) for t in own]),
+                    ],
+                    names=["_hash", "at", "value", "votes"],
+                )
+
+    found = texts.join(F.broadcast(chosen), "_hash", "left_semi").mapInArrow(once, "_hash bigint, at binary, value binary, votes string")
+    got = found.groupBy("_hash").agg(F.expr("min(struct(at, value, votes)) AS x")).select("_hash", "x.*").toPandas().sort_values("_hash")
     rows = [
         (np.frombuffer(a, dtype=np.int32), np.frombuffer(x, dtype=np.float32).astype(float))
         for a, x in zip(got["at"], got["value"], strict=True)
     ]
-    weight, bias = train(rows, labels.posterior(_patterns(list(got["votes"]))))
+    weight, bias = train(rows, labels.posterior(_patterns(list(got["votes"]))), np.array([copies[h] for h in got["_hash"]]))
     return Model(labels, weight.astype(np.float32), bias)
 
 

@@ -456,6 +456,25 @@ def test_weak_labels(spark):
     assert weak_labels.score(empty(spark), weak_labels.fit(empty(spark))).count() == 0
 
 
+def test_weak_labels_train_on_distinct_texts(spark, monkeypatch):
+    rows = [(k, prose(k, 30)) for k in range(60)] + [(100 + k, prose(999, 40)) for k in range(50)]
+    held = {}
+
+    def train(rows, target, copies=None, train=weak_labels.train):
+        held["copies"] = [1.0] * len(rows) if copies is None else list(copies)
+        return train(rows, target, copies)
+
+    monkeypatch.setattr(weak_labels, "train", train)
+    weak_labels.fit(frame(spark, rows))
+    assert sorted(held["copies"]) == [1.0] * 60 + [50.0]
+    for sample in (5, 20, 60):
+        weak_labels.fit(frame(spark, rows), sample=sample)
+        assert len(held["copies"]) == sample and max(held["copies"]) == 50 and 60 < sum(held["copies"]) < 250
+    col = [(np.array([k % 3]), np.array([1.0])) for k in range(4)]
+    a, b = weak_labels.train(col[:2], np.array([1.0, 0.0]), np.array([3.0, 1.0])), weak_labels.train([col[0]] * 3 + [col[1]], np.array([1.0, 1.0, 1.0, 0.0]))
+    assert np.allclose(a[0], b[0]) and np.isclose(a[1], b[1])
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(2)
     truth = rng.random(20_000) < 0.7
