@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 
 from maskwright.llm import (
     blob_ledger,
+    conversation_repair,
     decontaminate,
     language,
     packing,
     quality_rules,
     repeats,
     simhash,
+    token_alignment,
     toxicity,
     warc,
     weak_labels,
+    wrapper_induction,
 )
 from maskwright.llm.storage import stored
 from maskwright.sources.scratch import scratch_folder
@@ -105,11 +108,28 @@ def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, folder, "documents"), with_text=False).drop("kept")
 
 
+def op11_wrapper_induction(spark: SparkSession, folder: str) -> DataFrame:
+    return wrapper_induction.extract(_table(spark, folder, "pages"))
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations")
+    return conversation_repair.with_all(conversation_repair.repair(conversation_repair.damage(rows)), rows)
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return token_alignment.align(
+        docs, byte_path=public_tokenizers.path("byte_bpe_50k.json"), piece_path=public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_mixture, op2_decontamination, op3_toxicity, op4_simhash_near_duplicates, op5_packing,
         op6_secret_ledger, op7_quality_rule_ledger, op8_weak_label_quality, op9_warc_round_trip, op10_repeated_passages,
+        op11_wrapper_induction, op12_conversation_repair, op13_token_alignment,
     )
 }
 
