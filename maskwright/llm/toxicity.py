@@ -7,15 +7,19 @@ second term estimates the risk on the clean part and may not turn negative.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.llm.batches import grams, letters, map_texts
+from maskwright.llm.sampling import HASH, once, sampled
+from maskwright.llm.storage import stored
 
 N = 5
 BEGINNINGS = (6, 7, 8, 10)
@@ -26,9 +30,10 @@ LEAST = 5
 SURE = 4.0
 # Step back on the clean part, as a share of a step, where its estimated risk is below zero.
 BACK = 0.1
-# Expected numbers of sampled texts.
+# Largest numbers of sampled texts and of chosen n-grams.
 POSITIVES = 3000
 UNLABELLED = 6000
+FEATURES = 1 << 18
 
 
 @dataclass
@@ -69,17 +74,19 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def _sampled(rows: DataFrame, id_col: str, share: float) -> DataFrame:
-    """A share of the rows by the hash of their id; the same rows in every run."""
-    return rows.where(F.expr(f"xxhash64({id_col}, 'sample') % 1000000L").between(-999_999, int(2e6 * share) - 1_000_000))
+def _surplus(p_count, u_count, positives: int, unlabelled: int):
+    """By how many deviations of their pooled share n-grams are commoner in positives than in unlabelled texts."""
+    pooled = (p_count + u_count) / (positives + unlabelled)
+    deviation = np.sqrt(pooled * (1 - pooled) * (1 / positives + 1 / unlabelled) + 1e-12)
+    return (p_count / positives - u_count / unlabelled) / deviation
 
 
 def _select(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
     """All n-grams that at least ``LEAST`` positives hold and whose share among positives surely exceeds that
     among unlabelled texts, sorted.
 
-    The test is that of two proportions, with the deviation of their pooled share, so an n-gram that few
-    positives hold, such as those of a rare language, is chosen if hardly any other text holds it.
+    The test is that of two proportions, so an n-gram that few positives hold, such as those of a rare
+    language, is chosen if hardly any other text holds it.
     """
     p_code, p_count = np.unique(np.concatenate(pos), return_counts=True)
     u_code, u_count = np.unique(np.concatenate(unl), return_counts=True)
@@ -87,38 +94,58 @@ def _select(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
         return p_code[:0]
     at = np.minimum(np.searchsorted(u_code, p_code), len(u_code) - 1)
     u_count = np.where(u_code[at] == p_code, u_count[at], 0)
-    pooled = (p_count + u_count) / (len(pos) + len(unl))
-    deviation = np.sqrt(pooled * (1 - pooled) * (1 / len(pos) + 1 / len(unl)) + 1e-12)
-    surplus = (p_count / len(pos) - u_count / len(unl)) / deviation
-    return p_code[(p_count >= LEAST) & (surplus > SURE)]
+    return p_code[(p_count >= LEAST) & (_surplus(p_count, u_count, len(pos), len(unl)) > SURE)]
 
 
-def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, *, rounds: int = 400, rate: float = 0.05, decay: float = 3e-5) -> Model:
-    """Minimise the non-negative risk with the sigmoid loss by Adam; where the clean part's estimated
-    risk is below zero, step back a little on that part instead."""
-    none = np.empty(0)
-    chosen = _select(pos, unl) if pos and unl else none
+def _cells(chosen: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Positions of a text's n-grams among the chosen ones."""
+    at = np.minimum(np.searchsorted(chosen, text), len(chosen) - 1)
+    return at[chosen[at] == text].astype(np.int32)
+
+
+def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, **how: float) -> Model:
+    """Choose the n-grams of the sampled texts and learn their weights."""
+    chosen = _select(pos, unl) if pos and unl else np.empty(0)
     if not len(chosen):
-        return Model(none.astype(np.uint32), none, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))), prior)
+        return _constant(prior)
+    pos, unl = ([_cells(chosen, t) for t in texts] for texts in (pos, unl))
+    return learn(chosen, pos, unl, np.ones(len(pos)), np.ones(len(unl)), prior, **how)
+
+
+def _constant(prior: float) -> Model:
+    none = np.empty(0)
+    return Model(none.astype(np.uint32), none, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))), prior)
 
-    def matrix(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        near = [np.minimum(np.searchsorted(chosen, t), len(chosen) - 1) for t in texts]
-        cells = [at[chosen[at] == t] for at, t in zip(near, texts, strict=True)]
-        return np.concatenate(cells), np.repeat(np.arange(len(cells)), [len(c) for c in cells]), len(cells)
 
-    (pc, pr, np_), (uc, ur, nu) = matrix(pos), matrix(unl)
+def learn(
+    chosen: np.ndarray,
+    pos: list[np.ndarray],
+    unl: list[np.ndarray],
+    pos_rows: np.ndarray,
+    unl_rows: np.ndarray,
+    prior: float,
+    *,
+    rounds: int = 400,
+    rate: float = 0.05,
+    decay: float = 3e-5,
+) -> Model:
+    """Minimise the non-negative risk with the sigmoid loss by Adam; where the clean part's estimated
+    risk is below zero, step back a little on that part instead. A text counts as the rows it stands for."""
+    (pc, uc) = (np.concatenate(cells) for cells in (pos, unl))
+    (pr, ur) = (np.repeat(np.arange(len(cells), dtype=np.int32), [len(c) for c in cells]) for cells in (pos, unl))
+    wp, wu = pos_rows / pos_rows.sum(), unl_rows / unl_rows.sum()
     k = len(chosen)
     theta = np.zeros(k + 1)
     theta[k] = np.log(prior / (1 - prior))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, rounds + 1):
-        zp = np.bincount(pr, theta[pc], np_) + theta[k]
-        zu = np.bincount(ur, theta[uc], nu) + theta[k]
+        zp = np.bincount(pr, theta[pc], len(wp)) + theta[k]
+        zu = np.bincount(ur, theta[uc], len(wu)) + theta[k]
         sp, su = sigmoid(zp), sigmoid(zu)
-        gp_neg, gu_neg = sp * (1 - sp) / np_, su * (1 - su) / nu  # d/dz of the loss of calling a text clean ...
+        gp_neg, gu_neg = wp * sp * (1 - sp), wu * su * (1 - su)  # d/dz of the loss of calling a text clean ...
         gp_pos = -gp_neg  # ... and toxic
-        clean = su.mean() - prior * sp.mean()
+        clean = wu @ su - prior * (wp @ sp)
         sign = 1.0 if clean >= 0 else -BACK
         on_p = prior * gp_pos - sign * prior * gp_neg
         on_u = sign * gu_neg
@@ -129,6 +156,38 @@ def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, *, rounds:
     return Model(chosen, theta[:k], float(theta[k]), prior)
 
 
+def _counts(found: DataFrame) -> DataFrame:
+    """How many sampled positives and unlabelled texts hold each n-gram; tasks count their own texts first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, dtype=np.uint32) for x in batch.column(2).to_pylist()]
+            code = np.concatenate(sets)
+            order = np.argsort(code, kind="stable")
+            code, first = np.unique(code[order], return_index=True)
+            tally = []
+            for c in (0, 1):
+                flags = np.repeat(np.array(batch.column(c).to_pylist(), dtype=np.int64), [len(s) for s in sets])[order]
+                tally.append(np.add.reduceat(flags, first) if len(first) else flags)
+            yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), *map(pa.array, tally)], names=["code", "p", "u"])
+
+    # a bounded sample: few tasks, so that most texts with an n-gram meet before the shuffle
+    counted = found.select("positive", "unlabelled", "f").coalesce(8).mapInArrow(run, "code long, p long, u long")
+    return counted.groupBy("code").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+
+
+def _chosen(counts: DataFrame, positives: int, unlabelled: int, most: int) -> np.ndarray:
+    """As ``_select``, on the cluster; the ``most`` surest if there are more."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sure = _surplus(frame["p"].to_numpy(), frame["u"].to_numpy(), positives, unlabelled)
+            yield pd.DataFrame({"code": frame["code"], "sure": sure})[sure > SURE]
+
+    surest = counts.where(f"p >= {LEAST}").mapInPandas(run, "code long, sure double").orderBy(F.desc("sure"), "code").limit(most)
+    return np.sort(surest.select("code").toPandas()["code"].to_numpy().astype(np.uint32))
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -139,13 +198,16 @@ def fit(
     label_col: str = "toxic",
     positives: int = POSITIVES,
     unlabelled: int = UNLABELLED,
+    features_at_most: int = FEATURES,
 ) -> Model:
     """Train on bounded samples of the rows that meet ``training`` (a condition on the id).
 
-    The prior is the share of 1 among all labels of such rows. ``positives`` and ``unlabelled`` are
-    the expected sizes of the samples, drawn by a hash of the id; rows with a label of 0 count as
-    unlabelled text like all others. Repeated labels of an id count once (1 wins); null labels and
-    null ids are ignored. Texts are sampled whole, whatever their length.
+    The prior is the share of 1 among all labels of such rows. At most ``positives`` distinct texts with a
+    label of 1 and ``unlabelled`` of all texts train, whatever their length, each as the rows that it stands
+    for: repeated rows and repeated ids are no more than a weight. Rows with a label of 0 count as unlabelled
+    text like all others. Repeated labels of an id count once (1 wins); null labels and null ids are ignored.
+    N-grams are counted and chosen on the cluster; the driver gets the chosen ones, at most
+    ``features_at_most``, and their places in the sampled texts.
     """
     known = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
@@ -153,22 +215,39 @@ def fit(
         .groupBy("_id")
         .agg(F.max("_y").alias("_y"))
     )
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), training.alias("_train"))
     known = known.withColumnRenamed("_id", id_col).where(training).withColumnRenamed(id_col, "_id")
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     prior = min(0.9, max(0.001, toxic / n)) if n else 0.001
-    usable = rows.where("_train AND _text IS NOT NULL").drop("_train")
-    total = usable.agg(F.count("*")).first()[0]
-    hits = _sampled(known.where("_y = 1"), "_id", min(1.0, positives / max(1, toxic)))
-    hits = usable.join(hits.select("_id"), "_id", "left_semi").withColumn("_id", F.lit(1))
-    rest = _sampled(usable, "_id", min(1.0, unlabelled / max(1, total))).withColumn("_id", F.lit(0))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), training.alias("_train"))
+    texts = rows.where("_train AND _text IS NOT NULL").select("_id", F.expr(HASH.format("_text")).alias("_hash"), "_text")
+    light = stored(texts.select("_id", "_hash"), "hashes")
+    confirmed = light.join(known.where("_y = 1").select("_id"), "_id", "left_semi")
+    pos_rows, unl_rows = sampled(confirmed, positives), sampled(light, unlabelled)
+    if not pos_rows or not unl_rows:
+        return _constant(prior)
 
-    def work(texts: list[str | None]) -> list:
-        return [pa.array([features(t).astype(np.uint32).tobytes() for t in texts], pa.binary())]
+    def work(own: list[str]) -> list:
+        return [pa.array([features(t).astype(np.uint32).tobytes() for t in own], pa.binary())]
+
+    found = once(texts, sorted({*pos_rows, *unl_rows}), ["f"], "f binary", work)
+    sides = docs.sparkSession.createDataFrame(
+        [(h, int(h in pos_rows), int(h in unl_rows)) for h in sorted({*pos_rows, *unl_rows})], "_hash long, positive int, unlabelled int"
+    )
+    found = stored(found.join(F.broadcast(sides), "_hash"), "features")
+    chosen = _chosen(_counts(found), len(pos_rows), len(unl_rows), features_at_most)
+    if not len(chosen):
+        return _constant(prior)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [_cells(chosen, np.frombuffer(x, dtype=np.uint32)).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], names=["_hash", "at"])
 
-    found = map_texts(hits.unionByName(rest), "_id", "_text", [T.StructField("f", T.BinaryType())], work).toPandas()
-    sets = {y: [np.frombuffer(x, dtype=np.uint32) for x in sorted(found["f"][found["_id"] == y])] for y in (0, 1)}
-    return train(sets[1], sets[0], prior)
+    got = found.select("_hash", "f").mapInArrow(place, "_hash long, at binary").toPandas().sort_values("_hash")
+    cells = {h: np.frombuffer(x, dtype=np.int32) for h, x in zip(got["_hash"], got["at"], strict=True)}
+    pos, unl = sorted(pos_rows), sorted(unl_rows)
+    weights = (np.array([side[h] for h in keys]) for side, keys in ((pos_rows, pos), (unl_rows, unl)))
+    return learn(chosen, [cells[h] for h in pos], [cells[h] for h in unl], *weights, prior)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:

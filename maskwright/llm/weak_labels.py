@@ -7,7 +7,6 @@ posterior labels, not human ones, train a linear scorer on hashed byte trigrams.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,12 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.llm.batches import grams, map_texts
+from maskwright.llm.sampling import HASH, once, sampled
 
 NOTHING, BAD, GOOD = 0, 1, 2
 BITS = 14
-# Largest number of distinct texts that train the scorer, and the length up to which a text is one of them.
+# Largest number of distinct texts that train the scorer.
 SAMPLE = 8000
-SAMPLE_BYTES = 50_000
 
 _SPACE, _LOWER, _UPPER, _DIGIT, _LONG, _STOP, _COMMA, _MARK, _BAR, _OTHER = range(10)
 _CLASS = np.full(256, _OTHER, dtype=np.uint8)
@@ -168,61 +167,31 @@ def _patterns(rows: list[str]) -> np.ndarray:
     return np.array([[int(c) for c in r] for r in rows], dtype=np.int64).reshape(-1, len(LABELLERS))
 
 
-def _sampled(texts: DataFrame, sample: int) -> dict[int, float]:
-    """Hashes of at most ``sample`` distinct texts and for how many rows each stands.
-
-    Priority sampling: the texts with the least hash per copy, so the same ones in every run. With texts
-    left out, one stands for as many rows as its copies or the bound of the priorities say, whichever is
-    more: a text with very many copies comes in and counts as them all, but not for other rows too.
-    """
-    counts = texts.groupBy("_hash").agg(F.count("*").alias("n"))
-    priority = F.expr("(shiftrightunsigned(_hash, 11) + 1) / 9007199254740992D / n")
-    least = counts.select(priority.alias("p"), "_hash", "n").orderBy("p", "_hash").limit(sample + 1).collect()
-    bound = 1 / least[sample]["p"] if len(least) > sample else 0.0
-    return {r["_hash"]: max(float(r["n"]), bound) for r in least[:sample]}
-
-
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Count vote combinations over all rows (at most 3 ** number of labellers reach the driver), fit
     the label model, then train the scorer on at most ``sample`` distinct texts with their posterior
     labels, each with the number of rows that it stands for as its weight.
 
-    However many copies a text has, one of them trains. Texts over ``SAMPLE_BYTES`` bytes vote and are
-    scored, but do not train.
+    However many copies a text has, one of them trains, and however long it is. The driver gets the cells of
+    ``sample`` texts, of at most ``2 ** BITS`` each.
     """
     seen = _voted(docs, id_col, text_col).groupBy("votes").count().collect()
     patterns, counts = _patterns([r["votes"] for r in seen]), np.array([r["count"] for r in seen])
     labels = fit_labels(patterns, counts)
-    texts = docs.select(F.col(text_col).cast("string").alias("_text")).where(f"octet_length(_text) <= {SAMPLE_BYTES}")
-    texts = texts.select(F.expr("xxhash64(_text, 'sample') AS _hash"), "_text")
-    copies = _sampled(texts, sample)
-    chosen = docs.sparkSession.createDataFrame([(h,) for h in copies], "_hash bigint")
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Features of each text once in a task."""
-        done: set[int] = set()
-        for batch in batches:
-            new = []
-            for k, h in enumerate(batch.column(0).to_pylist()):
-                if h not in done:
-                    done.add(h)
-                    new.append(k)
-            if new:
-                some = batch.take(pa.array(new))
-                own = some.column(1).to_pylist()
-                cells = [features(t) for t in own]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        some.column(0),
-                        pa.array([c.astype(np.int32).tobytes() for c, _ in cells], pa.binary()),
-                        pa.array([x.astype(np.float32).tobytes() for _, x in cells], pa.binary()),
-                        pa.array(["".join(map(str, votes(t))) for t in own]),
-                    ],
-                    names=["_hash", "at", "value", "votes"],
-                )
-
-    found = texts.join(F.broadcast(chosen), "_hash", "left_semi").mapInArrow(once, "_hash bigint, at binary, value binary, votes string")
-    got = found.groupBy("_hash").agg(F.expr("min(struct(at, value, votes)) AS x")).select("_hash", "x.*").toPandas().sort_values("_hash")
+    texts = docs.select(F.col(text_col).cast("string").alias("_text")).where("_text IS NOT NULL")
+    texts = texts.select(F.expr(HASH.format("_text")).alias("_hash"), "_text")
+    copies = sampled(texts, sample)
+
+    def work(own: list[str]) -> list:
+        cells = [features(t) for t in own]
+        return [
+            pa.array([c.astype(np.int32).tobytes() for c, _ in cells], pa.binary()),
+            pa.array([x.astype(np.float32).tobytes() for _, x in cells], pa.binary()),
+            pa.array(["".join(map(str, votes(t))) for t in own]),
+        ]
+
+    found = once(texts, list(copies), ["at", "value", "votes"], "at binary, value binary, votes string", work)
+    got = found.toPandas().sort_values("_hash")
     rows = [
         (np.frombuffer(a, dtype=np.int32), np.frombuffer(x, dtype=np.float32).astype(float))
         for a, x in zip(got["at"], got["value"], strict=True)
