@@ -23,7 +23,12 @@ from pyspark.sql import types as T
 from maskwright.llm.batches import grams, letters, map_texts, sum_blocks
 
 NONE = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_LIKE = re.compile(r"[^\W\d_]+")
+
+
+def _has_letter(text: str) -> bool:
+    """Has it a character of a letter category? Number signs such as ``½`` or ``Ⅷ`` are none."""
+    return any(any(map(str.isalpha, run.group())) for run in _WORD_LIKE.finditer(text))
 
 
 @dataclass
@@ -186,7 +191,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     """
 
     def work(texts: list[str | None]) -> list:
-        found = [mixture(model, t) if t and _LETTER.search(t) else {} for t in texts]
+        found = [mixture(model, t) if t and _has_letter(t) else {} for t in texts]
         return [
             [next(iter(m), NONE) for m in found],
             [min(1.0, max(0.0, next(iter(m.values()), 0.0))) for m in found],

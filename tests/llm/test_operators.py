@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -75,6 +76,10 @@ def test_language_of_letters_that_stand_alone(spark):
     assert {k for k, r in got.items() if r.lang_pred == "und"} == {5, 6, 8}
     assert all(0 < r.score <= 1 and list(r.languages) == [r.lang_pred] and list(r.proportions) == [r.score] for k, r in got.items() if k < 5)
     assert all(r.score == 0 for k, r in got.items() if k in (5, 6, 8))
+    # number signs are no letters; other alphabets, modifiers and ordinal signs are
+    signs = ["½", "² ③", "Ⅷ", "१२", "_", "😀", "ª", "ʰ", "漢"]
+    got = {r.doc_id: r.lang_pred for r in language.identify(frame(spark, list(enumerate(signs))), model).collect()}
+    assert [got[k] == "und" for k in range(len(signs))] == [True] * 6 + [False] * 3
     # nothing but letters that stand alone is learned from, too
     lone = language.fit(train.selectExpr("doc_id", "'A.' AS text", "lang"), train.doc_id.isNotNull())
     assert next(iter(language.mixture(lone, "A."))) == "de"
@@ -121,10 +126,68 @@ def test_decontamination_against_full_alignment(spark):
                 i for i, t in items
                 if edit_distance_anywhere(decontaminate.normal(t), decontaminate.normal(text)) <= int(0.1 * len(decontaminate.normal(t)))
             )
-            assert r.item_ids == want, r.doc_id
+            # the first passage stands under a null id as well
+            assert r.item_ids == want + [None] * (0 in want), r.doc_id
             for s in r.spans:
                 part = decontaminate.normal(text[s.start : s.end])
-                assert edit_distance_anywhere(part, decontaminate.normal(dict(items)[s.item_id])) <= 2 * s.edits + 2
+                assert edit_distance_anywhere(part, decontaminate.normal(dict(items)[s.item_id or 0])) <= 2 * s.edits + 2
+
+
+def test_decontamination_of_passages_of_any_length(spark):
+    """Whole passages of 1 to 400 bytes with no edit or a few, against a full alignment; nothing is too short."""
+    rng = np.random.default_rng(3)
+    letters = "abcdefghijklmnopqrstuvwxyzäé"
+    word = lambda n: "".join(rng.choice(list(letters), n))
+    items = [(k, " ".join(word(rng.integers(2, 9)) for _ in range(n))) for k, n in enumerate([1, 1, 2, 2, 3, 4, 5, 7, 9, 12, 16, 25, 40, 60])]
+    items += [(50, "What is 2 + 2? Four."), (51, "x"), (52, "a b"), (53, "42"), (None, word(30)), (54, "  \n "), (55, None)]
+    rows = [(0, "so What is 2 + 2?  four. he said"), (1, "an x marks"), (2, "axb ab"), (3, "in 42."), (4, "in 1429"), (5, f"({items[-3][1]})")]
+    for k, t in items[:14]:
+        cut = list(t)
+        for _ in range(int(rng.integers(0, 3))):
+            cut[int(rng.integers(len(cut)))] = "z"
+        rows.append((10 + k, f"{word(5)} {t} {word(4)}"))
+        rows.append((40 + k, f"{word(5)} {''.join(cut)} {word(4)}"))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = {}
+    for d, text in rows:
+        data, want[d] = decontaminate.normal(text), set()
+        for i, t in items:
+            p = decontaminate.normal(t or "")
+            if not p:
+                continue
+            if len(p) < 10:
+                spans = [m.span() for m in re.finditer(b"(?=" + re.escape(p) + b")", data)]
+                if any(decontaminate._bounded(data, a, a + len(p)) for a, _ in spans):
+                    want[d].add(i)
+            else:
+                # a passage longer than a stretch counts by any of its stretches
+                last = max(0, len(p) - decontaminate.STRETCH)
+                parts = [p[s : s + decontaminate.STRETCH] for s in {*range(0, last, decontaminate.STRETCH // 2), last}]
+                if any(edit_distance_anywhere(x, data) <= len(x) // 10 for x in parts):
+                    want[d].add(i)
+    assert want[0] == {50} and want[1] == {51} and 53 in want[3] and 53 not in want[4] and want[5] == {None}
+    for block in (1 << 20, 300):
+        got = decontaminate.find(frame(spark, rows), bench, block_bytes=block).collect()
+        assert {r.doc_id: set(r.item_ids) for r in got} == want and len(got) == len(rows)
+
+
+def test_decontamination_of_a_stretch(spark):
+    """A stretch is enough, whatever the length of its passage."""
+    long, short = prose(1, 90), prose(2, 30)
+    assert len(long) > 450 and 160 < len(short) < 240
+    items = spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")
+    rows = [(1, f"x {long[110:350]} y"), (2, f"x {short[:165]} y"), (3, f"x {long[100:190]} y"), (4, f"x {short[:90]} y")]
+    got = {r.doc_id: r.item_ids for r in decontaminate.find(frame(spark, rows), items).collect()}
+    assert got == {1: [1], 2: [2], 3: [], 4: []}
+
+
+def test_offsets_of_many_findings_are_linear():
+    passage = prose(3, 8)
+    text = "İ ß " + (passage + " \n\t ") * 4000
+    began = time.process_time()
+    (found,) = decontaminate._search(decontaminate.build([(1, passage)]), [text])
+    assert len({f["end"] for f in found}) >= 4000 and time.process_time() - began < 60
+    assert all(decontaminate.normal(text[f["start"] : f["end"]]) == decontaminate.normal(passage) for f in found if f["edits"] == 0)
 
 
 def test_decontamination_finds_planted_passages(spark):
@@ -204,6 +267,35 @@ def test_toxicity_of_long_texts(spark):
     assert all(r.score < 0.7 for k, r in got.items() if k >= 36 and (k >= 100 or k % 3))
 
 
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """A third of all rows share an id, as many a text; both are no more than weights."""
+    rows = [(7, f"you wretched blockhead {k} " + prose(k, 9)) for k in range(300)]
+    rows += [(1000 + k, prose(5, 20)) for k in range(300)] + [(2000 + k, prose(k, 20)) for k in range(300)]
+    labels = spark.createDataFrame([(7, 1), (2000, 0), (2001, 0)], "doc_id bigint, toxic int")
+    held = {}
+
+    def learn(chosen, pos, unl, pos_rows, unl_rows, prior, learn=toxicity.learn):
+        held.update(chosen=len(chosen), pos=len(pos), unl=len(unl), rows=unl_rows)
+        return learn(chosen, pos, unl, pos_rows, unl_rows, prior)
+
+    monkeypatch.setattr(toxicity, "learn", learn)
+    docs = frame(spark, rows)
+    model = toxicity.fit(docs, labels, F.lit(True), positives=40, unlabelled=50, features_at_most=30)
+    assert (held["pos"], held["unl"]) == (40, 50) and held["chosen"] <= 30
+    assert max(held["rows"]) == 301 and 600 < sum(held["rows"]) < 1300
+    got = toxicity.score(docs, model).groupBy(F.col("doc_id") == 7).agg(F.avg("score").alias("score")).collect()
+    assert {r[0]: r.score > 0.5 for r in got} == {True: True, False: False}
+
+
+def test_toxicity_choice_on_the_cluster(spark):
+    rng = np.random.default_rng(1)
+    pos = [np.unique(rng.integers(0, 60, 12)).astype(np.uint32) for _ in range(50)]
+    unl = [np.unique(rng.integers(0, 300, 12)).astype(np.uint32) for _ in range(200)]
+    rows = [(1, 0, t.tobytes()) for t in pos] + [(0, 1, t.tobytes()) for t in unl]
+    found = spark.createDataFrame(rows, "positive int, unlabelled int, f binary").repartition(5)
+    assert toxicity._chosen(toxicity._counts(found), 50, 200, 1000).tolist() == toxicity._select(pos, unl).tolist() != []
+
+
 # 4 near-duplicates
 
 
@@ -475,6 +567,13 @@ def test_weak_labels_train_on_distinct_texts(spark, monkeypatch):
     assert np.allclose(a[0], b[0]) and np.isclose(a[1], b[1])
 
 
+def test_weak_labels_train_on_long_texts(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(weak_labels, "train", lambda rows, target, copies=None, train=weak_labels.train: held.append(len(rows)) or train(rows, target, copies))
+    weak_labels.fit(frame(spark, [(1, prose(1, 12_000)), (2, prose(2, 30)), (3, None), (4, "")]))
+    assert len(prose(1, 12_000)) > 50_000 and held == [3]
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(2)
     truth = rng.random(20_000) < 0.7
