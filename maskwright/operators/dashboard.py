@@ -93,14 +93,14 @@ def label_bars(totals: DataFrame) -> DataFrame:
 
 
 def crosstab(assessed: DataFrame) -> DataFrame:
-    """Spans by direction and label with all totals, in one pass."""
+    """Spans by direction and label with all totals, in one pass. A total is ``*``, a null direction stays null."""
     return (
         assessed.select("direction", F.explode("by_label").alias("label", "n"))
         .cube("direction", "label")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n"), F.grouping("direction").alias("_all"), F.grouping("label").alias("_any"))
         .select(
-            F.coalesce("direction", F.lit("*")).alias("direction"),
-            F.coalesce("label", F.lit("*")).alias("label"),
+            F.when(F.col("_all") == 1, "*").otherwise(F.col("direction")).alias("direction"),
+            F.when(F.col("_any") == 1, "*").otherwise(F.col("label")).alias("label"),
             "n",
         )
     )

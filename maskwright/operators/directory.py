@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
+from maskwright.sources.scratch import written
 
 # Up to this many people are compared with each text in place; more are joined on text fragments.
 IN_ROW_LIMIT = 64
@@ -18,6 +19,11 @@ BROADCAST_LIMIT = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 FRAGMENT = 8
 _BLOCK = 256
+# Bits per needle of the filter that fragments of a text pass before they are exploded, and the largest number
+# of 64-bit words that it takes (4 MB); beyond that it lets more through, and the join decides as before.
+FILTER_BITS = 16
+FILTER_WORDS = 1 << 19
+_SEEDS = ("'one'", "'two'")
 
 _HIT = (
     "struct(n.staff_ord, n.name, n.role, n.kind, {at} AS start, {at} + length(n.needle) AS end)"
@@ -46,7 +52,7 @@ def mentions(messages: DataFrame, staff: DataFrame) -> DataFrame:
     if small and size.people <= IN_ROW_LIMIT:
         found = _in_row(texts, staff)
     else:
-        found = _by_fragment(texts, staff, small)
+        found = by_fragment(texts, staff, small)
     return found.select(
         "message_id",
         "staff_ord",
@@ -69,7 +75,55 @@ def _in_row(texts: DataFrame, staff: DataFrame) -> DataFrame:
     return rows.select("message_id", "_text", F.inline(F.expr(hits)))
 
 
-def _by_fragment(texts: DataFrame, staff: DataFrame, small: bool) -> DataFrame:
+def _filter(keyed: DataFrame) -> tuple[DataFrame, int]:
+    """A bit array over hashed fragments as one row with an array of words, and its size in bits.
+
+    The size follows from the number of needles, which is counted; two bits stand for each fragment.
+    """
+    needles = keyed.count()
+    words = 1
+    while words < FILTER_WORDS and 64 * words < FILTER_BITS * needles:
+        words *= 2
+    places = ", ".join(_place("fragment", seed, 64 * words) for seed in _SEEDS)
+    bits = keyed.select(F.explode(F.expr(f"array({places})")).alias("place")).distinct()
+    filled = bits.groupBy(F.expr("place div 64").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 AS int))")).alias("word"))
+    every = keyed.sparkSession.range(words).join(filled, "id", "left").select(F.struct("id", F.coalesce("word", F.lit(0)).alias("word")).alias("w"))
+    return every.agg(F.expr("transform(array_sort(collect_list(w)), w -> w.word)").alias("words")), 64 * words
+
+
+def _place(fragment: str, seed: str, bits: int) -> str:
+    return f"pmod(xxhash64({fragment}, {seed}), {bits})"
+
+
+def _may_be_known(fragments: str, bits: int) -> str:
+    """The distinct ones of ``fragments`` whose bits are all set in ``_words``, as SQL text."""
+    tests = " AND ".join(
+        S.bind("p", _place("f", seed, bits), "getbit(get(words, cast(p div 64 AS int)), cast(p % 64 AS int)) = 1") for seed in _SEEDS
+    )
+    return f"array_distinct(filter({fragments}, f -> {tests}))"
+
+
+def fragment_candidates(texts: DataFrame, keyed: DataFrame, widths: list[int]) -> DataFrame:
+    """Fragments of each text (``_key``) that the directory may know, distinct; few but true ones get through."""
+    per_width = ", ".join(
+        f"flatten(transform(sequence(1, greatest(length(low) - {w - 1}, 1), {_BLOCK}), b -> "
+        + S.bind(
+            "c",
+            f"substring(low, b, {_BLOCK + w - 1})",
+            f"CASE WHEN length(c) >= {w} THEN transform(sequence(1, length(c) - {w - 1}), "
+            f"i -> substring(c, i, {w})) ELSE cast(array() AS array<string>) END",
+        )
+        + "))"
+        for w in widths
+    )
+    words, bits = _filter(keyed)
+    every = S.bind("low", "lower(_text)", f"concat({per_width})") if widths else "cast(array() AS array<string>)"
+    known = S.bind("words", "_words", _may_be_known(every, bits))
+    return texts.select("_key", "_text").withColumn("_words", words.scalar()).select("_key", F.explode(F.expr(known)).alias("fragment"))
+
+
+def by_fragment(texts: DataFrame, staff: DataFrame, small: bool) -> DataFrame:
+    """Mentions by way of text fragments; ``small`` says that the directory may be broadcast."""
     needles = _needles(staff).withColumn("low", F.expr("lower(needle)"))
     width = f"least(length(low), {FRAGMENT})"
     pieces = needles.withColumn(
@@ -89,25 +143,10 @@ def _by_fragment(texts: DataFrame, staff: DataFrame, small: bool) -> DataFrame:
         .agg(F.min_by("fragment", F.struct("owners", "fragment")).alias("fragment"))
     )
     widths = [r[0] for r in needles.select(F.expr(width)).distinct().collect()]  # 1 … FRAGMENT
-    per_width = ", ".join(
-        f"flatten(transform(sequence(1, greatest(length(low) - {w - 1}, 1), {_BLOCK}), b -> "
-        + S.bind(
-            "c",
-            f"substring(low, b, {_BLOCK + w - 1})",
-            f"CASE WHEN length(c) >= {w} THEN transform(sequence(1, length(c) - {w - 1}), "
-            f"i -> substring(c, i, {w})) ELSE cast(array() AS array<string>) END",
-        )
-        + "))"
-        for w in widths
-    )
     # Mentions depend on the text alone, so it is its own key: message ids may repeat.
     texts = texts.withColumn("_key", F.sha2("_text", 256))
-    fragments = texts.select(
-        "_key",
-        F.explode(
-            F.expr(S.bind("low", "lower(_text)", f"array_distinct(concat({per_width}))"))
-        ).alias("fragment"),
-    )
+    keyed = written(keyed, "needles")
+    fragments = fragment_candidates(texts, keyed, widths)
     keyed_side = F.broadcast(keyed) if small else keyed
     candidates = fragments.join(keyed_side, "fragment").drop("fragment").distinct()
     return (

@@ -157,16 +157,23 @@ def regressions(report: DataFrame, baseline: DataFrame) -> DataFrame:
     """Error counts that rose, or what makes the two sides incomparable. No rows means pass.
 
     Both sides hold ``schema_version``, ``engine``, ``dataset_sha256``, ``case_id`` and the four
-    error counts. The first of these findings ends the comparison: one of the first three columns
-    differs, is mixed or is null (one row); cases stand on one side only (a row each); counts rose.
+    error counts. The first of these findings ends the comparison: a side has no cases, or one of the first
+    three columns differs, is mixed or is null (one row); a side repeats a case or has one without an id (a row
+    each, with how often it stands); cases stand on one side only (a row each); counts rose.
     Both sides are read more than once, so hand over stored tables.
     """
     head = ["schema_version", "engine", "dataset_sha256"]
-    both = report.select(*head).unionByName(baseline.select(*head))
     differs = ", ".join(f"CASE WHEN min({c}) <> max({c}) OR count({c}) < count(*) THEN '{c}' END" for c in head)
-    mismatch = both.agg(F.expr(f"get(array_compact(array({differs})), 0)").alias("mismatch"))
-    new = report.select("case_id", *[F.col(c).alias(f"new_{c}") for c in V.ERROR_COUNTS], F.lit(1).alias("in_new"))
-    old = baseline.select("case_id", *[F.col(c).alias(f"old_{c}") for c in V.ERROR_COUNTS], F.lit(1).alias("in_old"))
+    sides = report.select(F.lit(1).alias("new"), *head, "case_id").unionByName(baseline.select(F.lit(0).alias("new"), *head, "case_id"))
+    empty = "CASE WHEN count_if(new = 1) = 0 OR count_if(new = 0) = 0 THEN 'no_cases' END"
+    mismatch = sides.agg(F.expr(f"get(array_compact(array({empty}, {differs})), 0)").alias("mismatch"))
+    times = sides.groupBy("case_id").agg(F.expr("count_if(new = 0)").alias("was"), F.expr("count_if(new = 1)").alias("now"))
+    repeated = times.where("was > 1 OR now > 1 OR case_id IS NULL").select("case_id", F.lit("repeated_ids").alias("check"), "was", "now")
+    # one row a case, so that a repeated one does not multiply the join
+    sums = [F.max(c).alias(c) for c in V.ERROR_COUNTS]
+    new, old = (side.groupBy("case_id").agg(*sums) for side in (report, baseline))
+    new = new.select("case_id", *[F.col(c).alias(f"new_{c}") for c in V.ERROR_COUNTS], F.lit(1).alias("in_new"))
+    old = old.select("case_id", *[F.col(c).alias(f"old_{c}") for c in V.ERROR_COUNTS], F.lit(1).alias("in_old"))
     pairs = ", ".join(f"struct('{c}' AS check, old_{c} AS was, new_{c} AS now)" for c in V.ERROR_COUNTS)
     found = new.join(old, "case_id", "full").select(
         "case_id",
@@ -186,8 +193,10 @@ def regressions(report: DataFrame, baseline: DataFrame) -> DataFrame:
         F.lit(None).cast("bigint").alias("was"),
         F.lit(None).cast("bigint").alias("now"),
     )
-    rose = found.where(mismatch.scalar().isNull() & ((F.col("check") == "case_ids") == one_sided.scalar()))
-    return failed.unionByName(rose)
+    none_repeated = repeated.agg(F.expr("count(*) = 0").alias("none"))
+    wrong_ids = repeated.where(mismatch.scalar().isNull())
+    rose = found.where(mismatch.scalar().isNull() & none_repeated.scalar() & ((F.col("check") == "case_ids") == one_sided.scalar()))
+    return failed.unionByName(wrong_ids).unionByName(rose)
 
 
 def compare_engines(scored: DataFrame) -> DataFrame:

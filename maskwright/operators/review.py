@@ -61,12 +61,15 @@ def issue_events(issued: DataFrame, event_id: Column) -> DataFrame:
 
 
 def export(issued: DataFrame, reconciled: DataFrame, key: bytes) -> DataFrame:
-    """Candidates of accepted exports with the ``export_event`` that released them, each at most once.
+    """Candidates of accepted exports with the ``export_event`` that released them, each receipt at most once.
 
-    The fingerprint is computed again from the candidate, so one that was changed since is not released.
+    Of a token that was issued more than once only the first issue counts, as in :func:`receipts`: by time, then
+    by its content, so that rows that are alike in all count as one. The fingerprint is computed again from the candidate, so one that was changed since is not released.
     """
     done = reconciled.where("outcome = 'exported'").select("token", F.col("event_id").alias("export_event"), F.col("fingerprint").alias("_claimed"))
-    rows = issued.join(done, "token").where(F.expr(fingerprint(key)) == F.col("_claimed"))
+    order = F.struct("issued_at", F.xxhash64(F.to_json(F.struct(*issued.columns))))
+    first = issued.groupBy("token").agg(F.min_by(F.struct(*issued.columns), order).alias("_first")).select("_first.*")
+    rows = first.join(done, "token").where(F.expr(fingerprint(key)) == F.col("_claimed"))
     return rows.drop("_claimed")
 
 

@@ -9,16 +9,17 @@ from maskwright.plans import mails as M
 from maskwright.plans import oracle as O
 from maskwright.plans.reviews import _decided
 from maskwright.sources.tables import INTERNAL_DOMAINS, Tables
+from maskwright.streaming import expiring as E
 from maskwright.streaming import live as L
 from maskwright.streaming import receipts as R
-from maskwright.streaming.run import drain, drain_changes, drain_totals
+from maskwright.streaming.run import drain, drain_changes, drain_merged, drain_totals
 
 QUERIES = {}
 ORACLE = {}
 
 
 def _live(spark, folder):
-    return L.live_scan(Tables(spark, folder).message_stream(), INTERNAL_DOMAINS)
+    return L.live_scan(Tables(spark, folder).message_stream(spark.sparkContext.defaultParallelism), INTERNAL_DOMAINS)
 
 
 def j1_live_scan(spark, folder):
@@ -68,10 +69,16 @@ def _windows(stream, name):
     return drain_totals(rows.drop("start", "end"), name)
 
 
+def _merged_windows(stream, name):
+    """All windows by update mode: a batch gives those that it changed, and state ends with the watermark."""
+    rows = stream.withColumns({"start_us": F.unix_micros("start"), "end_us": F.unix_micros("end")})
+    return drain_merged(rows.drop("start", "end"), name, ["start_us", "end_us"])
+
+
 _FIGURES = ", ".join(f"count(*) FILTER (WHERE {cond}) AS {name}" for name, cond in B.COUNTERS.items())
 _US = 86_400_000_000
 
-QUERIES["j4_daily_windows"] = lambda spark, folder: _windows(
+QUERIES["j4_daily_windows"] = lambda spark, folder: _merged_windows(
     L.windowed_counters(_live(spark, folder), "1 day"), "live-days"
 )
 ORACLE["j4_daily_windows"] = (
@@ -80,7 +87,7 @@ ORACLE["j4_daily_windows"] = (
     f"cast(sum(span_count) AS bigint) AS spans FROM assessed GROUP BY ALL"
 )
 
-QUERIES["j4_sliding_windows"] = lambda spark, folder: _windows(
+QUERIES["j4_sliding_windows"] = lambda spark, folder: _merged_windows(
     L.windowed_counters(_live(spark, folder), "2 days", "1 day"), "live-slides"
 )
 ORACLE["j4_sliding_windows"] = (
@@ -125,3 +132,45 @@ ORACLE["j7_unexported"] = (
     + "SELECT token, epoch_us(issued_at) AS prepared_micros FROM decided WHERE outcome = 'prepared' "
     "AND token NOT IN (SELECT token FROM decided WHERE outcome = 'exported')"
 )
+
+
+def _all_attempts(spark, folder):
+    return Tables(spark, folder).attempt_stream("prepared", "exported", "discarded")
+
+
+# What a stream may close is what its watermark has passed: the newest attempt less ten minutes.
+_LATE = 600_000_000
+_MARK = f"(epoch_us(max(occurred_at)) // 1000) * 1000 - {_LATE}"
+
+QUERIES["j5_closed_receipts"] = lambda spark, folder: E.first_receipts(
+    drain(E.closed_receipts(_all_attempts(spark, folder)), "closed-receipts")
+).select("token", "issue_at", F.col("use_event").cast("bigint").alias("use_event"), "use_action")
+ORACLE["j5_closed_receipts"] = (
+    _decided()
+    + f"SELECT token, issue_at, use_event, coalesce(use_action, 'expired') AS use_action FROM (SELECT token, "
+    "epoch_us(min(issued_at)) AS issue_at, max(event_id) FILTER (WHERE outcome IN ('exported', 'discarded')) AS use_event, "
+    "max(outcome) FILTER (WHERE outcome IN ('exported', 'discarded')) AS use_action, "
+    "max(epoch_us(occurred_at)) FILTER (WHERE outcome IN ('exported', 'discarded')) AS use_at FROM decided GROUP BY token) "
+    f"WHERE coalesce(use_at, issue_at + {_LATE}) <= (SELECT {_MARK} FROM attempts WHERE action <> 'exported' OR confirmed)"
+)
+
+_PAIRS = (
+    "p AS (SELECT token, occurred_at AS t, fingerprint, event_id FROM attempts WHERE action = 'prepared'), "
+    "x AS (SELECT token, occurred_at AS t, fingerprint FROM attempts WHERE action = 'exported' AND confirmed) "
+)
+_MEETS = "x.token = p.token AND x.fingerprint = p.fingerprint AND x.t >= p.t AND x.t < p.t + INTERVAL 600 SECONDS"
+
+QUERIES["j6_joined_exports"] = lambda spark, folder: (
+    drain(E.valid_exports(_all_attempts(spark, folder), _all_attempts(spark, folder)), "joined-exports").select("token").distinct()
+)
+ORACLE["j6_joined_exports"] = O.with_(O.ATTEMPTS, _PAIRS) + f"SELECT DISTINCT p.token FROM p JOIN x ON {_MEETS}"
+
+QUERIES["j7_joined_unexported"] = lambda spark, folder: drain(
+    E.unexported(_all_attempts(spark, folder), _all_attempts(spark, folder)), "joined-unexported"
+).select("token", "prepared_event", "prepared_micros")
+ORACLE["j7_joined_unexported"] = (
+    O.with_(O.ATTEMPTS, _PAIRS)
+    + "SELECT token, event_id AS prepared_event, epoch_us(t) AS prepared_micros FROM p WHERE NOT EXISTS (SELECT 1 FROM x WHERE "
+    + _MEETS
+    + f") AND epoch_us(t) + {_LATE} < least((SELECT epoch_us(max(t)) FROM p), (SELECT epoch_us(max(t)) FROM x)) - {_LATE}"
+)

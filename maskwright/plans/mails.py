@@ -153,6 +153,12 @@ _HITS = (
 )
 
 
+def _shuffled_mentions(spark, folder):
+    """The suppliers by the route of a directory too large to broadcast."""
+    texts = _messages(spark, folder).select("message_id", F.expr("concat(body, ' ', subject)").alias("_text"))
+    return P.by_fragment(texts, _suppliers(spark, folder), small=False).select("message_id", F.col("name").alias("employee"), "kind", F.col("start").cast("bigint").alias("start_at"))
+
+
 def _mention_query(directory):
     def query(spark, folder):
         found = P.mentions(_messages(spark, folder), directory(spark, folder))
@@ -174,6 +180,9 @@ for _key, _dir, _cte in [
         + "SELECT message_id, employee, role, kind, s AS start_at, s + n AS end_at, substr(t, s + 1, n) AS match_text FROM hits"
     )
 
+QUERIES["e7_shuffled_mentions"] = _shuffled_mentions
+ORACLE["e7_shuffled_mentions"] = O.with_(O.MESSAGES, _SUPPLIERS, _HITS) + "SELECT message_id, employee, kind, s AS start_at FROM hits"
+
 QUERIES["e8_mentions_per_person"] = lambda spark, folder: P.fold_mentions(
     P.mentions(_messages(spark, folder), _nations(spark, folder))
 ).select("message_id", "employee", "role", F.array_join("kinds", ",").alias("kinds"))

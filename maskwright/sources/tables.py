@@ -199,9 +199,13 @@ class Tables:
         """
         return self.spark.readStream.schema(self.read(table).schema).parquet(f"{self.path(table)[:-1]}[t]")
 
-    def message_stream(self) -> DataFrame:
+    def message_stream(self, parts: int | None = None) -> DataFrame:
+        """Messages as they arrive; with ``parts`` each micro-batch is dealt out to as many tasks, as a file
+        that a stream takes in is read by one."""
         view = message_view(SPARK)
-        rows = self._stream("orders").select(*[F.expr(e).alias(n) for n, e in view.items()])
+        rows = self._stream("orders")
+        rows = rows if parts is None else rows.repartition(parts)
+        rows = rows.select(*[F.expr(e).alias(n) for n, e in view.items()])
         return rows.withColumn("sent_at", F.expr(f"timestamp_micros({local_micros('sent_at')})"))
 
     def attempt_stream(self, *actions: str) -> DataFrame:
