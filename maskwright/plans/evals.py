@@ -14,8 +14,8 @@ from maskwright.operators import prepare as P
 from maskwright.operators import review as R
 from maskwright.plans import oracle as O
 from maskwright.plans import prepares as PP
-from maskwright.sources.labelled import stamp
-from maskwright.sources.scratch import written
+from maskwright.sources.labelled import gate, rows_digest, stamp, write_report_folder
+from maskwright.sources.scratch import scratch_folder, written
 from maskwright.sources.tables import Tables
 
 QUERIES = {}
@@ -241,6 +241,34 @@ ORACLE["i10_new_cases"] = (
     "WHERE true_positives + false_negatives = 0"
 )
 
+
+def i10_stored_gate(spark, folder):
+    """Two whole reports as files, the older with other counts, compared from their paths."""
+    scored = written(_scored(spark, folder).drop("text", "redacted_text"), "scored")
+    paths = [scratch_folder(spark, name) for name in ("report", "baseline")]
+    for path, rows in zip(paths, (scored, _lower_counts(scored)), strict=True):
+        write_report_folder(rows, path, engine="heuristic", digest=DIGEST)
+    return gate(spark, *paths).select("case_id", F.col("check").alias("measure"), "was", "now")
+
+
+QUERIES["i10_stored_gate"] = i10_stored_gate
+ORACLE["i10_stored_gate"] = ORACLE["i10_regressions"]
+
+# Refused sides: no cases, and cases that are repeated. Both would compare as equal, row by row.
+QUERIES["i10_empty_reports"] = lambda spark, folder: _gate(spark, folder, lambda report: report.where("false"))
+ORACLE["i10_empty_reports"] = "SELECT cast(NULL AS bigint) AS case_id, 'no_cases' AS measure, cast(NULL AS bigint) AS was, cast(NULL AS bigint) AS now"
+QUERIES["i10_repeated_cases"] = lambda spark, folder: _gate(spark, folder, lambda report: report.unionAll(report.where("case_id % 9 = 0")))
+ORACLE["i10_repeated_cases"] = (
+    "SELECT doc_id AS case_id, 'repeated_ids' AS measure, cast(2 AS bigint) AS was, cast(1 AS bigint) AS now FROM documents WHERE doc_id % 9 = 0"
+)
+
+QUERIES["a5_dataset_digest"] = lambda spark, folder: rows_digest(Tables(spark, folder).read("labels").select("doc_id", "quality", "toxic"))
+ORACLE["a5_dataset_digest"] = (
+    "WITH h AS (SELECT sha256('{\"doc_id\":' || doc_id || ',\"quality\":' || quality || ',\"toxic\":' || toxic || '}') AS h FROM labels), "
+    "n AS (SELECT count(*) AS c, sum(('0x' || substr(h, 1, 15))::ubigint::hugeint) AS a, sum(('0x' || substr(h, 16, 15))::ubigint::hugeint) AS b FROM h) "
+    "SELECT c AS case_count, sha256(c || ':' || a::varchar || ':' || b::varchar) AS case_digest FROM n"
+)
+
 _HMAC_KEY = b"a fixed key for repeatable results"
 QUERIES["h1_fingerprints"] = lambda spark, folder: P.accepted(PP._prepared(spark, folder)).select(
     "request_id", F.expr(R.fingerprint(_HMAC_KEY)).alias("fingerprint")

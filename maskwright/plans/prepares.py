@@ -10,6 +10,8 @@ from maskwright.functions import spans as S
 from maskwright.operators import detect as D
 from maskwright.operators import prepare as P
 from maskwright.plans import oracle as O
+from maskwright.sources import requests as Q
+from maskwright.sources.scratch import scratch_folder
 from maskwright.sources.tables import INTERNAL_DOMAINS, Tables
 from maskwright.sources.texts import export_reviewed
 
@@ -261,3 +263,52 @@ ORACLE["a9_reviewed_texts"] = (
     "'Subject: ' || s.redacted || chr(10) || chr(10) || 'Body: ' || b.redacted AS reviewed_text FROM red s JOIN red b "
     "ON b.request_id = s.request_id AND s.ord = 2 AND b.ord = 3"
 )
+
+
+# Requests with a limit on text and masks: what goes beyond is named, nothing else changes.
+QUERIES["d6_limit_flags"] = lambda spark, folder: P.prepare(
+    _ticket_requests(spark, folder), limits={"text_chars": 2_000, "findings_per_field": 3, "manual_masks": 0}
+).select("request_id", F.array_join("limit_flags", ",").alias("limit_flags"))
+ORACLE["d6_limit_flags"] = (
+    O.with_(
+        _DOC_FOUND, O.folded("folded", "documents", "doc_id"), O.raw("found", "folded", "doc_id"), O.merged("spans", "found", "doc_id"),
+        "n AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id)",
+    )
+    + "SELECT v.request_id, CASE WHEN v.reject_reason IS NULL THEN array_to_string(list_filter([CASE WHEN n.n > 3 THEN 'findings_per_field' END, "
+    "CASE WHEN length(d.text) > 2000 THEN 'text_chars' END], lambda x: x IS NOT NULL), ',') END AS limit_flags "
+    "FROM v JOIN documents d ON d.doc_id = v.request_id LEFT JOIN n ON n.doc_id = v.request_id"
+)
+
+
+def _request_lines(spark, folder):
+    """Every document as a line of JSON, some of which are no request."""
+    docs = Tables(spark, folder).read("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    request = "named_struct('request_id', cast(doc_id AS string), 'use_case', 'ai_prompt', 'fields', map('text', text))"
+    line = (
+        "CASE doc_id % 8 WHEN 1 THEN '{broken' "
+        "WHEN 2 THEN to_json(named_struct('request_id', cast(doc_id AS string), 'use_case', 'ai_prompt', 'fields', map('text', text), 'extra', 1)) "
+        "WHEN 3 THEN to_json(named_struct('request_id', doc_id, 'use_case', 'ai_prompt', 'fields', map('text', text))) "
+        "WHEN 4 THEN to_json(named_struct('request_id', cast(doc_id AS string), 'use_case', 'ai_prompt', 'fields', map('text', text), "
+        "'manual_masks', array(named_struct('field', 'text', 'start', doc_id % 3 = 0, 'end', 1)))) "
+        "WHEN 5 THEN to_json(named_struct('request_id', cast(doc_id AS string), 'use_case', 'ai_prompt', 'fields', map('text', text), "
+        "'manual_masks', array(named_struct('field', 'text', 'start', doc_id % 5, 'end', doc_id % 5 + 4)))) "
+        f"ELSE to_json({request}) END"
+    )
+    out = scratch_folder(spark, "requests")
+    docs.select(F.expr(line).alias("value")).write.text(out)
+    return Q.read_prepare_requests(spark, out)
+
+
+QUERIES["d1_loaded_requests"] = lambda spark, folder: Q.accepted(_request_lines(spark, folder)).select(
+    "request_id", "use_case", F.expr("length(fields['text'])").cast("bigint").alias("chars"),
+    F.expr("coalesce(cast(get(manual_masks, 0).end AS bigint), 0L)").alias("mask_end"),
+)
+ORACLE["d1_loaded_requests"] = (
+    "SELECT doc_id::varchar AS request_id, 'ai_prompt' AS use_case, length(coalesce(text, '')) AS chars, "
+    "CASE WHEN doc_id % 8 = 5 THEN doc_id % 5 + 4 ELSE 0 END AS mask_end FROM documents WHERE doc_id % 8 IN (0, 5, 6, 7)"
+)
+QUERIES["d1_refused_requests"] = lambda spark, folder: Q.refused(_request_lines(spark, folder)).groupBy("refused").agg(F.count("*").alias("n"))
+ORACLE["d1_refused_requests"] = (
+    "SELECT ['not_json', 'unknown_field: request', 'wrong_type: request_id', 'wrong_type: manual_masks'][(doc_id % 8)::int] AS refused, "
+    "count(*) AS n FROM documents WHERE doc_id % 8 BETWEEN 1 AND 4 GROUP BY 1"
+)

@@ -10,7 +10,9 @@ from maskwright.functions import spans as S
 from maskwright.operators import detect as D
 from maskwright.operators.credentials import credential_spans
 from maskwright.plans import oracle as O
+from maskwright.sources.scratch import scratch_folder
 from maskwright.sources.tables import Tables
+from maskwright.sources.texts import read_texts
 
 QUERIES = {}
 ORACLE = {}
@@ -277,6 +279,47 @@ ORACLE["b18_model_adapter"] = (
 )
 
 
+def b19_engine_choice(spark, folder):
+    """All documents under each engine by name; every row says which one it was."""
+    D.register_model("email_model", _email_model())
+    docs = D.spread(Tables(spark, folder).read("documents").select("doc_id", "text"))
+    both = [D.detect(docs, engine=name).select("doc_id", "engine", F.col("span_count").cast("bigint").alias("span_count")) for name in ("heuristic", "email_model")]
+    return both[0].unionByName(both[1])
+
+
+QUERIES["b19_engine_choice"] = b19_engine_choice
+ORACLE["b19_engine_choice"] = (
+    O.with_(
+        O.folded("folded", "documents", "doc_id"), O.raw("found", "folded", "doc_id"), O.merged("spans", "found", "doc_id"),
+        f"mail AS ({O.rule('folded', 'doc_id', 'email')})", O.merged("addresses", "mail", "doc_id"),
+        "n AS (SELECT doc_id, 'heuristic' AS engine, count(*) AS n FROM spans GROUP BY doc_id UNION ALL "
+        "SELECT doc_id, 'email_model', count(*) FROM addresses GROUP BY doc_id)",
+    )
+    + "SELECT d.doc_id, e.engine, coalesce(n.n, 0) AS span_count FROM documents d CROSS JOIN (VALUES ('heuristic'), ('email_model')) e(engine) "
+    "LEFT JOIN n ON n.doc_id = d.doc_id AND n.engine = e.engine"
+)
+
+
+def a8_scanned_files(spark, folder):
+    """Documents as plain text files, one per language, scanned as files: characters and addresses of each."""
+    out = scratch_folder(spark, "texts")
+    docs = Tables(spark, folder).read("documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("value"))
+    docs.repartition("lang").write.partitionBy("lang").text(out)
+    files = read_texts(spark, f"{out}/lang=*")
+    rows = S.hold(files, {"found": D.rule_spans("text", "email")})
+    return rows.groupBy(F.expr("regexp_extract(path, '/lang=([^/]*)/', 1)").alias("lang")).agg(
+        F.sum(F.length("text")).alias("chars"), F.sum(F.size("found")).alias("addresses")
+    )
+
+
+QUERIES["a8_scanned_files"] = a8_scanned_files
+ORACLE["a8_scanned_files"] = (
+    O.with_(O.folded("folded", "documents", "doc_id"), f"found AS ({O.rule('folded', 'doc_id', 'email')})")
+    + "SELECT coalesce(lang, 'none') AS lang, cast(sum(length(coalesce(text, '')) + 1) AS bigint) AS chars, "
+    "cast(sum((SELECT count(*) FROM found f WHERE f.doc_id = d.doc_id)) AS bigint) AS addresses FROM documents d GROUP BY 1"
+)
+
+
 # Credential policy.
 def c2_document_credentials(spark, folder):
     """Credential ranges of documents (assignments and credential-shaped values)."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright import fixed_values as V
+from maskwright.operators import evaluate as E
 
 _DATASET = (
     "schema_version int, description string, "
@@ -66,6 +67,52 @@ def stamp(report: DataFrame, engine: str, digest: str) -> DataFrame:
     )
 
 
+_PARTS = ("totals", "labels", "groups", "cases")
+_MANIFEST = "schema_version int, engine string, dataset_sha256 string, case_count long, case_digest string"
+
+
+def rows_digest(cases: DataFrame) -> DataFrame:
+    """How many cases there are, and a hash of their rows that does not depend on their order.
+
+    Row hashes are added up in two halves, so nothing is sorted or gathered; any row that is gone, new,
+    repeated or changed gives another sum.
+    """
+    row = F.sha2(F.to_json(F.struct(*sorted(cases.columns))), 256)
+    halves = [F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(38,0)")) for at in (1, 16)]
+    return cases.agg(F.count("*").alias("case_count"), F.sha2(F.concat_ws(":", F.count("*"), *halves), 256).alias("case_digest"))
+
+
+def write_report_folder(scored: DataFrame, path: str, *, engine: str, digest: str) -> None:
+    """A whole report of scored cases: totals, labels, groups and cases, each a table of its own below ``path``, and
+    last a manifest of one row. A report without its manifest was not finished; no part holds source text.
+    ``scored`` is read for each part, so hand over a stored table."""
+    spark = scored.sparkSession
+    for name, part in {"totals": E.totals(scored), "labels": E.by_label(scored), "groups": E.by_group(scored), "cases": E.case_rows(scored)}.items():
+        write_report(part, f"{path}/{name}", "parquet")
+    cases = spark.read.parquet(f"{path}/cases")
+    manifest = stamp(rows_digest(cases), engine, digest).select(*[c.split()[0] for c in _MANIFEST.split(", ")])
+    manifest.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest")
+
+
+def read_report_folder(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The parts of a finished report, each with the head of its manifest. One that has no manifest, is of another
+    schema version, or whose cases are not those that the manifest was written for, is refused."""
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").collect()
+    if len(manifest) != 1 or manifest[0].schema_version != V.SCHEMA_VERSION:
+        raise ValueError(f"expected a finished report of schema version {V.SCHEMA_VERSION}: {path}")
+    head = manifest[0]
+    parts = {name: spark.read.parquet(f"{path}/{name}") for name in _PARTS}
+    if tuple(rows_digest(parts["cases"]).first()) != (head.case_count, head.case_digest):
+        raise ValueError(f"the cases of the report are not those of its manifest: {path}")
+    return {name: stamp(part, head.engine, head.dataset_sha256) for name, part in parts.items()}
+
+
+def gate(spark: SparkSession, report: str, baseline: str) -> DataFrame:
+    """Regressions of one stored report against another."""
+    new, old = (read_report_folder(spark, p)["cases"] for p in (report, baseline))
+    return E.regressions(new, old)
+
+
 def write_report(report: DataFrame, path: str, format: str = "json") -> None:
     """Write a report. A column that could carry source text is refused."""
     held = {"text", "redacted_text", "match_text", "subject", "body"} & set(report.columns)

@@ -186,3 +186,38 @@ def test_gate_ends_at_the_first_difference(spark):
     assert checks(side("d", [("a", 2), ("b", 0)]), side("d", [("a", 1)])) == [("b", "case_ids")]
     assert checks(side("d", [("a", 2), ("b", 0)]), side(None, [("a", 1)])) == [(None, "dataset_sha256")]
     assert checks(side(None, [("a", 1)]), side(None, [("a", 1)])) == [(None, "dataset_sha256")]
+    # a side without cases, or with a case twice or without an id, is no report
+    assert checks(side("d", []), side("d", [])) == checks(side("d", [("a", 1)]), side("d", [])) == [(None, "no_cases")]
+    assert checks(side("d", [("a", 1), ("a", 1)]), side("d", [("a", 1), ("a", 1)])) == [("a", "repeated_ids")]
+    assert checks(side("d", [("a", 1), ("b", 9)]), side("d", [("a", 1), ("a", 2), ("b", 1)])) == [("a", "repeated_ids")]
+    assert checks(side("d", [(None, 1)]), side("d", [(None, 1)])) == [(None, "repeated_ids")]
+
+
+def test_report_folders(spark, tmp_path):
+    text = "mail carla@mail.example now"
+    gold = [(5, 23, "private_email")]
+    span = "array<struct<start:int,end:int,label:string>>"
+    cases = spark.createDataFrame([(f"c{k}", text, ["g"] if k else ["g", "h"], gold if k else []) for k in range(4)], f"case_id string, text string, groups array<string>, gold {span}")
+    scored = E.score(D.detect(cases)).cache()
+    a, b, c = (str(tmp_path / n) for n in "abc")
+    L.write_report_folder(scored, a, engine="heuristic", digest="d")
+    L.write_report_folder(scored.withColumn("false_positives", F.lit(0).cast("bigint")), b, engine="heuristic", digest="d")
+    parts = L.read_report_folder(spark, a)
+    assert parts["totals"].first().case_count == 4 and {r.group: r.case_count for r in parts["groups"].collect()} == {"g": 4, "h": 1}
+    assert parts["labels"].count() == len(V.LABELS) and all("text" not in p.columns for p in parts.values())
+    assert L.gate(spark, a, a).count() == 0
+    assert [tuple(r) for r in L.gate(spark, a, b).collect()] == [("c0", "false_positives", 0, 1)]
+    # half-written, changed behind its manifest, of another version
+    L.write_report(E.case_rows(scored), f"{c}/cases", "parquet")
+    with pytest.raises(Exception, match="manifest|PATH_NOT_FOUND"):
+        L.read_report_folder(spark, c)
+    spark.read.parquet(f"{a}/cases").limit(1).write.mode("append").parquet(f"{b}/cases")
+    with pytest.raises(ValueError, match="not those of its manifest"):
+        L.gate(spark, a, b)
+    manifest = spark.read.parquet(f"{a}/manifest")
+    spark.createDataFrame(manifest.withColumn("schema_version", F.lit(9)).collect(), manifest.schema).write.mode("overwrite").parquet(f"{c}/manifest")
+    with pytest.raises(ValueError, match="schema version"):
+        L.read_report_folder(spark, c)
+    rows = spark.range(50).selectExpr("id", "id % 3 AS x")
+    digest = L.rows_digest(rows).first()
+    assert digest == L.rows_digest(rows.repartition(7)).first() and digest != L.rows_digest(rows.where("id > 0")).first() != L.rows_digest(rows.unionAll(rows)).first()

@@ -129,6 +129,26 @@ def test_directory_routes_agree_with_a_plain_search(spark, monkeypatch):
     assert P.mentions(df, staff.where("false")).count() == 0
 
 
+def test_few_fragments_pass_the_filter(spark):
+    """What is joined with the directory is a few times what is there, not every part of every text."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    names = [f"{word()} {word()}" for _ in range(3000)]
+    texts = [" ".join(rng.choice(names) if rng.random() < 0.02 else word() for _ in range(100)) for _ in range(60)]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "_key string, _text string")
+    keyed = spark.createDataFrame([(n[:8],) for n in names], "fragment string")
+    got = {(r._key, r.fragment) for r in P.fragment_candidates(df, keyed, [8]).collect()}
+    true = {(str(k), n[:8]) for k, t in enumerate(texts) for n in names if n[:8] in t}
+    assert true <= got and len(got) < 3 * len(true) + 0.02 * sum(map(len, texts))
+    assert P.fragment_candidates(df, keyed.where("false"), []).count() == 0
+
+
+def test_totals_of_the_crosstab_are_not_null_directions(spark):
+    rows = spark.createDataFrame([(None, {"secret": 3}), ("inbound", {"secret": 2, "private_email": 1})], "direction string, by_label map<string,bigint>")
+    got = {(r.direction, r.label): r.n for r in B.crosstab(rows).collect()}
+    assert got[("*", "*")] == 6 and got[(None, "*")] == 3 and got[(None, "secret")] == 3 and got[("*", "secret")] == 5 and len(got) == 8
+
+
 @pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
 def test_running_totals_match_a_plain_sum(spark, kind):
     rng = random.Random(9)

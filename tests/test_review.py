@@ -119,5 +119,9 @@ def test_a_changed_candidate_is_not_released(spark):
     tries = events.withColumns({"event_id": F.col("event_id") + 10, "action": F.lit("exported"), "confirmed": F.col("token") != "t1"})
     decided = R.reconcile(events.unionAll(tries).unionAll(tries.withColumn("event_id", F.col("event_id") + 10)))
     assert [(r.token, r.export_event) for r in R.export(issued, decided, b"k").orderBy("token").collect()] == [("t0", 10), ("t2", 12)]
+    # a token that was issued twice is released once, and only as it was issued first
+    later = issued.withColumns({"issued_at": F.expr("issued_at + INTERVAL 1 SECOND"), "use_case": F.lit("email")})
+    for twice in (issued.unionAll(issued), issued.unionAll(later), later.unionAll(issued)):
+        assert [(r.token, r.use_case) for r in R.export(twice, decided, b"k").orderBy("token").collect()] == [("t0", "ai_prompt"), ("t2", "ai_prompt")]
     edited = issued.withColumn("candidate_fields", F.expr("CASE WHEN token = 't0' THEN map('sender', 'x', 'text', 'edited') ELSE candidate_fields END"))
     assert [r.token for r in R.export(edited, decided, b"k").collect()] == ["t2"]
