@@ -25,6 +25,10 @@ MARK = "﷐"
 # Folds gather their output in runs of this length, so long arrays are not copied per element.
 RUN = 128
 
+# Code points of a piece of a text that is cut very often, and the larger pieces on the way there.
+CHUNK = 1 << 8
+_SIZES = (1 << 22, 1 << 15, CHUNK)
+
 
 def regex_literal(pattern: str) -> str:
     """A raw SQL string literal; a quote inside a pattern is written as its code."""
@@ -193,21 +197,47 @@ def cut(text: str, start: str, end: str) -> str:
     return f"substring({text}, {start} + 1, {end} - {start})"
 
 
+def chunks(text: str) -> str:
+    """``text`` as pieces of ``CHUNK`` code points. A position is found by counting from the front, so it is cut
+    into large pieces first and these into smaller ones; then any cut counts within a piece."""
+    out = f"array({text})"
+    for k, size in enumerate(_SIZES):
+        pieces = f"transform(sequence(0, greatest(length(t{k}) - 1, 0) div {size}), i -> substring(t{k}, i * {size} + 1, {size}))"
+        out = f"flatten(transform({out}, t{k} -> {pieces}))"
+    return out
+
+
+def cut_chunks(parts: str, start: str, end: str) -> str:
+    """What :func:`cut` gives, from the ``chunks`` of the text."""
+    low, high = f"greatest({start} - k * {CHUNK}, 0)", f"least({end} - k * {CHUNK}, {CHUNK})"
+    pieces = f"transform(sequence({start} div {CHUNK}, ({end} - 1) div {CHUNK}), k -> substring({parts}[k], {low} + 1, {high} - {low}))"
+    return f"CASE WHEN {start} < {end} THEN concat_ws('', {pieces}) ELSE '' END"
+
+
 def placeholder(label: str) -> str:
     return f"concat('[', upper({label}), ']')"
 
 
 def redact(text: str, spans: str, replacement: Callable[[str], str]) -> str:
-    """``text`` with every span of an ordered, disjoint array replaced."""
-    pieces = fold(
-        spans,
-        "0",
-        "array<string>",
-        lambda s, x: f"{x}.end",
-        lambda s, x: f"array({cut(text, s, f'{x}.start')}, {replacement(x)})",
-        f"concat(acc.out, array({cut(text, 'acc.state', f'length({text})')}))",
+    """``text`` with every span of an ordered, disjoint array replaced. Where there are many, the text is cut
+    by way of its ``chunks``, which makes the work follow its length and not the square of it."""
+
+    def pieces(gap: Callable[[str, str], str]) -> str:
+        return fold(
+            spans,
+            "0",
+            "array<string>",
+            lambda s, x: f"{x}.end",
+            lambda s, x: f"array({gap(s, f'{x}.start')}, {replacement(x)})",
+            f"concat(acc.out, array({cut(text, 'acc.state', f'length({text})')}))",
+        )
+
+    few = pieces(lambda a, b: cut(text, a, b))
+    many = bind("parts", chunks(text), pieces(lambda a, b: cut_chunks("parts", a, b)))
+    return (
+        f"CASE WHEN size({spans}) > {RUN} THEN concat_ws('', {many}) "
+        f"WHEN size({spans}) > 0 THEN concat_ws('', {few}) ELSE {text} END"
     )
-    return f"CASE WHEN size({spans}) > 0 THEN concat_ws('', {pieces}) ELSE {text} END"
 
 
 def count_by_label(spans: str) -> str:

@@ -137,23 +137,67 @@ def candidate_bytes(engine: str) -> str:
     )
 
 
-def _sources(s: str, part: str) -> str:
-    """Sorted origins that overlap the merged span ``s``."""
-    hits = ", ".join(
-        f"CASE WHEN exists(_{kind}_{part}, o -> o.start < {s}.end AND o.end > {s}.start) "
-        f"THEN '{origin}' END"
-        for kind, origin in (("cred", "credential_rule"), ("auto", "detector"), ("hand", "manual"))
+_ORIGINS = {"cred": (1, "credential_rule"), "auto": (2, "detector"), "hand": (4, "manual")}
+
+
+def _origin_bits(part: str) -> str:
+    """For each merged span the origins that overlap it, as bits; the array is one longer, its first is no span.
+
+    One sweep over the starts of spans and origins in order: an origin lies in the span that began last, as a
+    merged span is the union of the origins that overlap.
+    """
+    starts = ", ".join(f"transform(_{kind}_{part}, o -> struct(o.start AS at, {bit} AS bit))" for kind, (bit, _) in _ORIGINS.items())
+    return S.fold(
+        f"sort_array(concat(transform(_spans_{part}, o -> struct(o.start AS at, 0 AS bit)), {starts}))",
+        "0",
+        "array<int>",
+        lambda s, x: f"CASE WHEN {x}.bit = 0 THEN 0 ELSE {s} | {x}.bit END",
+        lambda s, x: f"CASE WHEN {x}.bit = 0 THEN array({s}) ELSE cast(array() AS array<int>) END",
+        "concat(acc.out, array(acc.state))",
     )
+
+
+def _sources(bits: str) -> str:
+    """Sorted names of origins."""
+    hits = ", ".join(f"CASE WHEN {bits} & {bit} <> 0 THEN '{origin}' END" for bit, origin in _ORIGINS.values())
     return f"array_compact(array({hits}))"
 
 
-def _numbered(label: str) -> str:
-    """Placeholders of the identities of one label, in order of first appearance, skipping any
-    that already stands in the input."""
+def _first_places() -> str:
+    """Of each finding (``i``, its place among all) the place of the first with the same label and text, by sorting."""
+    keyed = "sort_array(transform(_found, (f, i) -> struct(concat(f.label, chr(0), f.match) AS k, i AS i)))"
+    return S.fold(
+        keyed,
+        "named_struct('k', cast(null AS string), 'i', 0)",
+        "array<struct<first:int,i:int>>",
+        lambda s, x: f"CASE WHEN {s}.k <=> {x}.k THEN {s} ELSE named_struct('k', {x}.k, 'i', {x}.i) END",
+        lambda s, x: f"array(named_struct('first', CASE WHEN {s}.k <=> {x}.k THEN {s}.i ELSE {x}.i END, 'i', {x}.i))",
+    )
+
+
+def _numbers() -> str:
+    """The number of each finding within its label, in the order of findings: identities count in order of first
+    appearance."""
+
+    def number(s: str, x: str) -> str:
+        return f"CASE WHEN NOT {s}.label <=> {x}.label THEN 1 WHEN {s}.first = {x}.first THEN {s}.n ELSE {s}.n + 1 END"
+
+    numbered = S.fold(
+        "_owners",
+        "named_struct('label', cast(null AS string), 'first', -1, 'n', 0)",
+        "array<struct<i:int,n:int>>",
+        lambda s, x: f"named_struct('label', {x}.label, 'first', {x}.first, 'n', {number(s, x)})",
+        lambda s, x: f"array(named_struct('i', {x}.i, 'n', {number(s, x)}))",
+    )
+    return f"transform(sort_array({numbered}), o -> o.n)"
+
+
+def _free_names(label: str) -> str:
+    """Placeholders of one label by number, skipping any that already stands in the input."""
     stem = f"concat('[', upper({label}), '_')"
     names = f"transform(sequence(1, n + size(_taken)), k -> concat({stem}, k, ']'))"
     free = f"slice(array_except({names}, _taken), 1, n)"
-    return S.bind("n", f"size(filter(_known, w -> w.label = {label}))", free)
+    return S.bind("n", f"size(filter(_owners, o -> o.label = {label} AND o.first = o.i))", free)
 
 
 def prepare(
@@ -227,11 +271,13 @@ def prepare(
         )
 
     def listed(part: str, name: str) -> str:
-        return (
-            f"transform(_spans_{part}, s -> named_struct('field', {name}, 'label', s.label, "
-            f"'start', s.start, 'end', s.end, 'match', {S.cut(f'_{part}', 's.start', 's.end')}, "
-            f"'sources', {_sources('s', part)}))"
+        match = f"CASE WHEN size(parts) > 0 THEN {S.cut_chunks('parts', 's.start', 's.end')} ELSE {S.cut(f'_{part}', 's.start', 's.end')} END"
+        rows = (
+            f"transform(_spans_{part}, (s, i) -> named_struct('field', {name}, 'label', s.label, "
+            f"'start', s.start, 'end', s.end, 'match', {match}, 'sources', {_sources('bits[i + 1]')}))"
         )
+        parts_ = f"CASE WHEN size(_spans_{part}) > {S.RUN} THEN {S.chunks(f'_{part}')} ELSE cast(array() AS array<string>) END"
+        return S.bind("parts", parts_, S.bind("bits", _origin_bits(part), rows))
 
     tokens = r"\[[A-Z_]+_[1-9][0-9]*\]"
     df = S.hold(df, {"_error": "_error", **{f"_spans_{p}": union(p) for p in parts}})
@@ -239,18 +285,20 @@ def prepare(
     df = S.hold(
         df.drop(*[f"_{kind}_{p}" for kind in ("spans", "auto", "cred", "hand", "found") for p in parts]),
         {
-            "_known": "array_distinct(transform(_found, f -> struct(f.label AS label, f.match AS match)))",
+            "_firsts": _first_places(),
             "_taken": "array_distinct(flatten(transform(map_values(fields), v -> "
             f"CASE WHEN contains(v, '[') THEN regexp_extract_all(v, r'{tokens}', 0) "
             "ELSE cast(array() AS array<string>) END)))",
         },
     )
-    labels = "array_distinct(_known.label)"
+    owners = "sort_array(transform(_firsts, o -> struct(_found[o.first].label AS label, o.first AS first, o.i AS i)))"
+    df = S.hold(df, {"_owners": owners})
+    labels = "array_distinct(_owners.label)"
     df = S.hold(
-        df,
+        df.drop("_firsts"),
         {
-            "_names": f"map_from_arrays(flatten(transform({labels}, l -> filter(_known, w -> w.label = l))), "
-            f"flatten(transform({labels}, l -> {_numbered('l')})))"
+            "_names": S.bind("labels", labels, f"map_from_arrays(labels, transform(labels, l -> {_free_names('l')}))"),
+            "_numbers": _numbers(),
         },
     )
     headers = ", ".join(
@@ -260,12 +308,12 @@ def prepare(
         for h in V.ROUTING_FIELDS
     )
     scanned = (
-        "transform(_found, f -> named_struct('field', f.field, 'label', f.label, 'start', f.start, "
-        "'end', f.end, 'placeholder', _names[struct(f.label AS label, f.match AS match)], "
+        "transform(_found, (f, i) -> named_struct('field', f.field, 'label', f.label, 'start', f.start, "
+        "'end', f.end, 'placeholder', _names[f.label][_numbers[i] - 1], "
         "'sources', f.sources))"
     )
     df = S.hold(
-        df.drop("_known", "_taken"),
+        df.drop("_owners", "_taken"),
         {
             "findings": f"CASE WHEN use_case = 'email' THEN concat(array({headers}), {scanned}) "
             f"ELSE {scanned} END"
@@ -281,7 +329,7 @@ def prepare(
         f"'subject', {masked('subject', parts['subject'])}, 'body', {masked('main', parts['main'])})"
     )
     df = S.hold(
-        df.drop("_names", "_found"),
+        df.drop("_names", "_numbers", "_found"),
         {
             "candidate_fields": f"CASE WHEN use_case = 'email' THEN {email_fields} "
             f"ELSE map('text', {masked('main', parts['main'])}) END"

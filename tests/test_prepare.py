@@ -190,3 +190,28 @@ def test_uncovered_ranges_are_measured_by_overlap(spark):
     covered = spark.createDataFrame([(1, 0, 4), (1, 4, 10), (1, 21, 30)], "id int, start int, end int")
     gaps = P.uncovered_expected(expected, covered, ["id"]).orderBy("id").collect()
     assert [(g.id, g.start, g.missing) for g in gaps] == [(1, 20, 1), (2, 0, 5)]
+
+
+def test_many_findings_in_one_text(spark):
+    """Numbers, sources and masked text where there are more findings than a run, some repeated, some names taken."""
+    names = [f"p{k % 150}@mail.example" for k in range(400)]
+    text = "[PRIVATE_EMAIL_3] é😀 " + " and\n".join(names) + " token = abcdefgh end"
+    hand = [("text", 0, 4), ("text", len(text) - 3, len(text))]
+    df = spark.createDataFrame([("r", "ai_prompt", {"text": text}, hand)], f"request_id string, use_case string, fields map<string,string>, manual_masks {P.MASKS}")
+    (row,) = P.prepare(df).collect()
+    number, out, at = {}, "", 0
+    for f in row.findings:
+        match = text[f.start : f.end]
+        known = number.setdefault(f.label, {})
+        if match not in known:
+            n = max([0, *known.values()]) + 1
+            while f"[{f.label.upper()}_{n}]" in text:
+                n += 1
+            known[match] = n
+        assert f.placeholder == f"[{f.label.upper()}_{known[match]}]"
+        out += text[at : f.start] + f.placeholder
+        at = f.end
+    assert row.candidate_fields["text"] == out + text[at:] and len(number["private_email"]) == 150 and len(row.findings) == 403
+    by = {(f.start, f.end): f.sources for f in row.findings}
+    assert by[hand[0][1:]] == ["manual"] and by[hand[1][1:]] == ["manual"]
+    assert [s for f, s in by.items() if "token" in text[slice(*f)]] == [["credential_rule", "detector"]]

@@ -123,3 +123,14 @@ def test_held_columns_are_not_pushed_into_filters(spark):
     df = spark.createDataFrame([("x a@b.co",)], "text string")
     plan = D.detect(df).where("span_count > 0")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == len(V.RULES)
+
+
+def test_cuts_by_chunks(spark):
+
+    rng = random.Random(4)
+    text = "".join(rng.choice("aé😀 ") for _ in range(70_000))
+    spans = [(a, a + rng.choice([0, 1, 5, 255, 256, 257, 900])) for a in sorted(rng.sample(range(69_000), 200))] + [(0, len(text)), (65_535, 65_537)]
+    df = spark.createDataFrame([(text, spans)], "t string, s array<struct<start:int,end:int>>")
+    cuts = S.bind("parts", S.chunks("t"), f"transform(s, x -> {S.cut_chunks('parts', 'x.start', 'x.end')})")
+    assert df.selectExpr(f"{cuts} AS c").first().c == [text[a:b] for a, b in spans]
+    assert spark.createDataFrame([("",)], "t string").selectExpr(f"{S.chunks('t')} AS c").first().c == [""]
