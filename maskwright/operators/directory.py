@@ -21,9 +21,8 @@ FRAGMENT = 8
 _BLOCK = 256
 # Bits per needle of the filter that fragments of a text pass before they are exploded, and the largest number
 # of 64-bit words that it takes (4 MB); beyond that it lets more through, and the join decides as before.
-FILTER_BITS = 16
+FILTER_BITS = 32
 FILTER_WORDS = 1 << 19
-_SEEDS = ("'one'", "'two'")
 
 _HIT = (
     "struct(n.staff_ord, n.name, n.role, n.kind, {at} AS start, {at} + length(n.needle) AS end)"
@@ -76,35 +75,34 @@ def _in_row(texts: DataFrame, staff: DataFrame) -> DataFrame:
 
 
 def _filter(keyed: DataFrame) -> tuple[DataFrame, int]:
-    """A bit array over hashed fragments as one row with an array of words, and its size in bits.
+    """A bit array over hashed fragments as one row with an array of words, and how many words there are.
 
-    The size follows from the number of needles, which is counted; two bits stand for each fragment.
+    The size follows from the number of needles, which is counted; one bit stands for each fragment.
     """
     needles = keyed.count()
     words = 1
     while words < FILTER_WORDS and 64 * words < FILTER_BITS * needles:
         words *= 2
-    places = ", ".join(_place("fragment", seed, 64 * words) for seed in _SEEDS)
-    bits = keyed.select(F.explode(F.expr(f"array({places})")).alias("place")).distinct()
-    filled = bits.groupBy(F.expr("place div 64").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 AS int))")).alias("word"))
+    word, bit = _place("fragment", words)
+    filled = keyed.groupBy(F.expr(word).cast("long").alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("word"))
     every = keyed.sparkSession.range(words).join(filled, "id", "left").select(F.struct("id", F.coalesce("word", F.lit(0)).alias("word")).alias("w"))
-    return every.agg(F.expr("transform(array_sort(collect_list(w)), w -> w.word)").alias("words")), 64 * words
+    return every.agg(F.expr("transform(array_sort(collect_list(w)), w -> w.word)").alias("words")), words
 
 
-def _place(fragment: str, seed: str, bits: int) -> str:
-    return f"pmod(xxhash64({fragment}, {seed}), {bits})"
+def _place(fragment: str, words: int) -> tuple[str, str]:
+    """The word of a fragment, of a number that is a power of two, and the bit in it."""
+    return f"(shiftright(hash({fragment}), 6) & {words - 1})", f"(hash({fragment}) & 63)"
 
 
-def _may_be_known(fragments: str, bits: int) -> str:
-    """The distinct ones of ``fragments`` whose bits are all set in ``_words``, as SQL text."""
-    tests = " AND ".join(
-        S.bind("p", _place("f", seed, bits), "getbit(get(words, cast(p div 64 AS int)), cast(p % 64 AS int)) = 1") for seed in _SEEDS
-    )
-    return f"array_distinct(filter({fragments}, f -> {tests}))"
+def _may_be_known(fragments: str, size: int) -> str:
+    """The distinct ones of ``fragments`` whose bit is set in ``words``, as SQL text."""
+    word, bit = _place("f", size)
+    return f"array_distinct(filter({fragments}, f -> getbit(words[{word}], {bit}) = 1))"
 
 
-def fragment_candidates(texts: DataFrame, keyed: DataFrame, widths: list[int]) -> DataFrame:
-    """Fragments of each text (``_key``) that the directory may know, distinct; few but true ones get through."""
+def fragment_candidates(texts: DataFrame, keyed: DataFrame, widths: list[int], *, filtered: bool = True) -> DataFrame:
+    """Fragments of each text (``_key``), distinct; ``filtered`` those that the directory may know: few but true
+    ones get through, so few are shuffled. A broadcast directory is itself that filter."""
     per_width = ", ".join(
         f"flatten(transform(sequence(1, greatest(length(low) - {w - 1}, 1), {_BLOCK}), b -> "
         + S.bind(
@@ -116,9 +114,11 @@ def fragment_candidates(texts: DataFrame, keyed: DataFrame, widths: list[int]) -
         + "))"
         for w in widths
     )
-    words, bits = _filter(keyed)
     every = S.bind("low", "lower(_text)", f"concat({per_width})") if widths else "cast(array() AS array<string>)"
-    known = S.bind("words", "_words", _may_be_known(every, bits))
+    if not filtered:
+        return texts.select("_key", F.explode(F.expr(f"array_distinct({every})")).alias("fragment"))
+    words, size = _filter(keyed)
+    known = S.bind("words", "_words", _may_be_known(every, size))
     return texts.select("_key", "_text").withColumn("_words", words.scalar()).select("_key", F.explode(F.expr(known)).alias("fragment"))
 
 
@@ -145,8 +145,8 @@ def by_fragment(texts: DataFrame, staff: DataFrame, small: bool) -> DataFrame:
     widths = [r[0] for r in needles.select(F.expr(width)).distinct().collect()]  # 1 … FRAGMENT
     # Mentions depend on the text alone, so it is its own key: message ids may repeat.
     texts = texts.withColumn("_key", F.sha2("_text", 256))
-    keyed = written(keyed, "needles")
-    fragments = fragment_candidates(texts, keyed, widths)
+    keyed = keyed if small else written(keyed, "needles")
+    fragments = fragment_candidates(texts, keyed, widths, filtered=not small)
     keyed_side = F.broadcast(keyed) if small else keyed
     candidates = fragments.join(keyed_side, "fragment").drop("fragment").distinct()
     return (

@@ -137,6 +137,8 @@ def candidate_bytes(engine: str) -> str:
     )
 
 
+_PLACES = "array<struct<first:int,i:int>>"
+_OWNED = "size(filter(_owners, o -> o.label = l AND o.first = o.i))"
 _ORIGINS = {"cred": (1, "credential_rule"), "auto": (2, "detector"), "hand": (4, "manual")}
 
 
@@ -157,6 +159,15 @@ def _origin_bits(part: str) -> str:
     )
 
 
+def _few_sources(s: str, part: str) -> str:
+    """Sorted origins that overlap the merged span ``s``, looked up one by one."""
+    hits = ", ".join(
+        f"CASE WHEN exists(_{kind}_{part}, o -> o.start < {s}.end AND o.end > {s}.start) THEN '{origin}' END"
+        for kind, (_, origin) in _ORIGINS.items()
+    )
+    return f"array_compact(array({hits}))"
+
+
 def _sources(bits: str) -> str:
     """Sorted names of origins."""
     hits = ", ".join(f"CASE WHEN {bits} & {bit} <> 0 THEN '{origin}' END" for bit, origin in _ORIGINS.values())
@@ -169,7 +180,7 @@ def _first_places() -> str:
     return S.fold(
         keyed,
         "named_struct('k', cast(null AS string), 'i', 0)",
-        "array<struct<first:int,i:int>>",
+        _PLACES,
         lambda s, x: f"CASE WHEN {s}.k <=> {x}.k THEN {s} ELSE named_struct('k', {x}.k, 'i', {x}.i) END",
         lambda s, x: f"array(named_struct('first', CASE WHEN {s}.k <=> {x}.k THEN {s}.i ELSE {x}.i END, 'i', {x}.i))",
     )
@@ -192,12 +203,12 @@ def _numbers() -> str:
     return f"transform(sort_array({numbered}), o -> o.n)"
 
 
-def _free_names(label: str) -> str:
-    """Placeholders of one label by number, skipping any that already stands in the input."""
+def _free_names(label: str, count: str) -> str:
+    """As many placeholders of one label, by number, skipping any that already stands in the input."""
     stem = f"concat('[', upper({label}), '_')"
     names = f"transform(sequence(1, n + size(_taken)), k -> concat({stem}, k, ']'))"
     free = f"slice(array_except({names}, _taken), 1, n)"
-    return S.bind("n", f"size(filter(_owners, o -> o.label = {label} AND o.first = o.i))", free)
+    return S.bind("n", count, free)
 
 
 def prepare(
@@ -271,34 +282,46 @@ def prepare(
         )
 
     def listed(part: str, name: str) -> str:
-        match = f"CASE WHEN size(parts) > 0 THEN {S.cut_chunks('parts', 's.start', 's.end')} ELSE {S.cut(f'_{part}', 's.start', 's.end')} END"
-        rows = (
-            f"transform(_spans_{part}, (s, i) -> named_struct('field', {name}, 'label', s.label, "
-            f"'start', s.start, 'end', s.end, 'match', {match}, 'sources', {_sources('bits[i + 1]')}))"
-        )
-        parts_ = f"CASE WHEN size(_spans_{part}) > {S.RUN} THEN {S.chunks(f'_{part}')} ELSE cast(array() AS array<string>) END"
-        return S.bind("parts", parts_, S.bind("bits", _origin_bits(part), rows))
+        def rows(match: str, sources: str) -> str:
+            return (
+                f"transform(_spans_{part}, (s, i) -> named_struct('field', {name}, 'label', s.label, "
+                f"'start', s.start, 'end', s.end, 'match', {match}, 'sources', {sources}))"
+            )
+
+        few = rows(S.cut(f"_{part}", "s.start", "s.end"), _few_sources("s", part))
+        many = rows(S.cut_chunks("parts", "s.start", "s.end"), _sources("bits[i + 1]"))
+        many = S.bind("parts", S.chunks(f"_{part}"), S.bind("bits", _origin_bits(part), many))
+        return f"CASE WHEN size(_spans_{part}) <= {S.RUN} THEN {few} ELSE {many} END"
 
     tokens = r"\[[A-Z_]+_[1-9][0-9]*\]"
     df = S.hold(df, {"_error": "_error", **{f"_spans_{p}": union(p) for p in parts}})
     df = S.hold(df, {"_found": f"concat({', '.join(listed(p, n) for p, n in parts.items())})"})
+    known = "array_distinct(transform(_found, f -> struct(f.label AS label, f.match AS match)))"
     df = S.hold(
         df.drop(*[f"_{kind}_{p}" for kind in ("spans", "auto", "cred", "hand", "found") for p in parts]),
         {
-            "_firsts": _first_places(),
+            # few findings are compared with each other, many are sorted
+            "_known": f"CASE WHEN size(_found) <= {S.RUN} THEN {known} ELSE cast(array() AS array<struct<label:string,match:string>>) END",
+            "_firsts": f"CASE WHEN size(_found) > {S.RUN} THEN {_first_places()} ELSE cast(array() AS {_PLACES}) END",
             "_taken": "array_distinct(flatten(transform(map_values(fields), v -> "
             f"CASE WHEN contains(v, '[') THEN regexp_extract_all(v, r'{tokens}', 0) "
             "ELSE cast(array() AS array<string>) END)))",
         },
     )
-    owners = "sort_array(transform(_firsts, o -> struct(_found[o.first].label AS label, o.first AS first, o.i AS i)))"
+    owners = "CASE WHEN size(_firsts) = 0 THEN cast(array() AS array<struct<label:string,first:int,i:int>>) ELSE sort_array(transform(_firsts, o -> struct(_found[o.first].label AS label, o.first AS first, o.i AS i))) END"
     df = S.hold(df, {"_owners": owners})
     labels = "array_distinct(_owners.label)"
     df = S.hold(
         df.drop("_firsts"),
         {
-            "_names": S.bind("labels", labels, f"map_from_arrays(labels, transform(labels, l -> {_free_names('l')}))"),
-            "_numbers": _numbers(),
+            "_names": S.bind("labels", labels, f"map_from_arrays(labels, transform(labels, l -> {_free_names('l', _OWNED)}))"),
+            "_numbers": f"CASE WHEN size(_owners) > 0 THEN {_numbers()} ELSE cast(array() AS array<int>) END",
+            "_few_names": S.bind(
+                "labels",
+                "array_distinct(_known.label)",
+                "map_from_arrays(flatten(transform(labels, l -> filter(_known, w -> w.label = l))), "
+                f"flatten(transform(labels, l -> {_free_names('l', 'size(filter(_known, w -> w.label = l))')})))",
+            ),
         },
     )
     headers = ", ".join(
@@ -309,11 +332,12 @@ def prepare(
     )
     scanned = (
         "transform(_found, (f, i) -> named_struct('field', f.field, 'label', f.label, 'start', f.start, "
-        "'end', f.end, 'placeholder', _names[f.label][_numbers[i] - 1], "
+        "'end', f.end, 'placeholder', CASE WHEN size(_numbers) > 0 THEN _names[f.label][_numbers[i] - 1] "
+        "ELSE _few_names[struct(f.label AS label, f.match AS match)] END, "
         "'sources', f.sources))"
     )
     df = S.hold(
-        df.drop("_owners", "_taken"),
+        df.drop("_owners", "_taken", "_known"),
         {
             "findings": f"CASE WHEN use_case = 'email' THEN concat(array({headers}), {scanned}) "
             f"ELSE {scanned} END"
@@ -329,7 +353,7 @@ def prepare(
         f"'subject', {masked('subject', parts['subject'])}, 'body', {masked('main', parts['main'])})"
     )
     df = S.hold(
-        df.drop("_names", "_numbers", "_found"),
+        df.drop("_names", "_few_names", "_numbers", "_found"),
         {
             "candidate_fields": f"CASE WHEN use_case = 'email' THEN {email_fields} "
             f"ELSE map('text', {masked('main', parts['main'])}) END"
