@@ -17,7 +17,7 @@ from maskwright import fixed_values as V
 from maskwright.functions import spans as S
 from maskwright.functions.regex import SPACE
 from maskwright.operators.credentials import credential_spans
-from maskwright.operators.detect import engine_spans, raw_spans
+from maskwright.operators.detect import JAVA_RULES, engine_spans, raw_spans, rule_spans
 from maskwright.operators.routing import routing, with_domains
 
 MASKS = "array<struct<field:string,start:int,end:int>>"
@@ -34,28 +34,26 @@ def _fields_of(use_case: str) -> str:
 def matching_masks(text: str, needle: str) -> str:
     """Every place, overlapping ones included, where ``needle`` stands in ``text``.
 
-    One pass of a look-ahead puts a mark before each place; the lengths between marks give the
-    offsets. A text that holds the mark itself is searched place by place.
+    Each step takes at least one code point and stops before the next place, so the lengths of the steps
+    give the offsets; the first place needs no step. Steps are bound to the end of the one before, so a
+    text is read once, and no content needs another way.
     """
     kind = "array<struct<start:int,end:int>>"
-    quoted = f"concat('(?=', r'\\Q', replace({needle}, r'\\E', r'\\E\\\\E\\Q'), r'\\E', ')')"
-    found = S.fold(
-        "slice(pieces, 1, size(pieces) - 1)",
+    quoted = f"concat(r'(?s)\\G.+?(?=\\Q', replace({needle}, r'\\E', r'\\E\\\\E\\Q'), r'\\E)')"
+
+    def place(at: str) -> str:
+        return f"array(named_struct('start', {at}, 'end', {at} + length({needle})))"
+
+    later = S.fold(
+        f"regexp_extract_all({text}, {quoted}, 0)",
         "0",
         kind,
         lambda s, x: f"{s} + length({x})",
-        lambda s, x: f"array(named_struct('start', {s} + length({x}), 'end', {s} + length({x}) + length({needle})))",
-    )
-    marked = S.bind("pieces", f"split(regexp_replace({text}, {quoted}, '{S.MARK}'), '{S.MARK}', -1)", f"CASE WHEN size(pieces) > 1 THEN {found} ELSE cast(array() AS {kind}) END")
-    one_by_one = (
-        f"transform(filter(sequence(1, length({text}) - length({needle}) + 1), "
-        f"i -> substring({text}, i, length({needle})) = {needle}), "
-        f"i -> named_struct('start', i - 1, 'end', i - 1 + length({needle})))"
-    )
-    return (
-        f"CASE WHEN length({needle}) = 0 OR NOT contains({text}, {needle}) THEN cast(array() AS {kind}) "
-        f"WHEN contains({text}, '{S.MARK}') THEN {one_by_one} ELSE {marked} END"
+        lambda s, x: place(f"{s} + length({x})"),
     )
+    none = f"cast(array() AS {kind})"
+    first = f"CASE WHEN startswith({text}, {needle}) THEN {place('0')} ELSE {none} END"
+    return f"CASE WHEN length({needle}) = 0 OR NOT contains({text}, {needle}) THEN {none} ELSE concat({first}, {later}) END"
 
 
 def add_masks(present: str, added: str) -> str:
@@ -257,18 +255,22 @@ def prepare(
     parts = {"subject": "'subject'", "main": "_main_name"}
     if engine != "heuristic":
         df = df.withColumns({f"_found_{p}": engine_spans(f"_{p}", engine) for p in parts})
+    # the detector and the credential policy share the matches of the secret rule
+    df = S.hold(df, {f"_secret_{p}": rule_spans(f"_{p}", "secret") for p in parts})
+    others = [name for name in JAVA_RULES if name != "secret"]
     held = {}
     for part, name in parts.items():
         found = f"_found_{part}"
         if engine == "heuristic":
-            held[f"_auto_{part}"] = S.bind("raw", raw_spans(f"_{part}"), S.merge("raw"))
+            raw = f"concat(_secret_{part}, {raw_spans(f'_{part}', rules=others)})"
+            held[f"_auto_{part}"] = S.bind("raw", raw, S.merge("raw"))
         else:
             known = ", ".join(repr(k) for k in V.LABELS)
             held[f"_auto_{part}"] = (
                 f"CASE WHEN {S.is_valid(found, f'_{part}')} AND forall({found}, v -> v.label IN ({known})) "
                 f"THEN {S.merge(found)} ELSE raise_error('detector returned an invalid span') END"
             )
-        held[f"_cred_{part}"] = credential_spans(f"_{part}")
+        held[f"_cred_{part}"] = credential_spans(f"_{part}", f"_secret_{part}")
         own = f"filter(manual_masks, m -> m.field = {name})"
         masks = f"transform({own}, m -> {S.span('m.start', 'm.end', repr(V.MANUAL_LABEL))})"
         held[f"_hand_{part}"] = f"CASE WHEN _error IS NULL THEN {masks} ELSE {S.NO_SPANS} END"
@@ -298,7 +300,7 @@ def prepare(
     df = S.hold(df, {"_found": f"concat({', '.join(listed(p, n) for p, n in parts.items())})"})
     known = "array_distinct(transform(_found, f -> struct(f.label AS label, f.match AS match)))"
     df = S.hold(
-        df.drop(*[f"_{kind}_{p}" for kind in ("spans", "auto", "cred", "hand", "found") for p in parts]),
+        df.drop(*[f"_{kind}_{p}" for kind in ("spans", "auto", "cred", "hand", "found", "secret") for p in parts]),
         {
             # few findings are compared with each other, many are sorted
             "_known": f"CASE WHEN size(_found) <= {S.RUN} THEN {known} ELSE cast(array() AS array<struct<label:string,match:string>>) END",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from maskwright import fixed_values as V
 from maskwright.functions import spans as S
 from maskwright.operators import detect as D
+from maskwright.operators import sql_functions
 from maskwright.operators.credentials import credential_spans
 from maskwright.plans import oracle as O
 from maskwright.sources.scratch import scratch_folder
@@ -320,6 +321,44 @@ ORACLE["a8_scanned_files"] = (
 )
 
 
+# The same scans by users who write SQL text only. The one-row generator `held` keeps Spark from copying the
+# scan into every later use, as `spans.hold` does.
+_SQL_FOUND = (
+    "(SELECT text_id, kind, text, mw_find_spans(text) AS found FROM {texts}) "
+    "LATERAL VIEW inline(array(struct(found))) held AS spans"
+)
+
+
+def _sql_query(text: str):
+    def query(spark, folder):
+        sql_functions.create(spark)
+        return spark.sql(text, texts=_texts(spark, folder))
+
+    return query
+
+
+QUERIES["sql_detected_spans"] = _sql_query(
+    "SELECT text_id, s.label AS label, cast(s.start AS bigint) AS start_at, cast(s.end AS bigint) AS end_at, "
+    "mw_span_text(text, s.start, s.end) AS match_text, mw_span_placeholder(s.label) AS placeholder "
+    f"FROM {_SQL_FOUND} LATERAL VIEW explode(spans) one AS s"
+)
+ORACLE["sql_detected_spans"] = ORACLE["b11_detect_spans"]
+
+QUERIES["sql_redacted_texts"] = _sql_query(
+    "SELECT text_id, kind, mw_redact_spans(text, spans) AS redacted, "
+    "coalesce(mw_count_spans(spans)['private_email'], 0) AS emails, mw_valid_spans(text, spans) AS valid "
+    f"FROM {_SQL_FOUND}"
+)
+ORACLE["sql_redacted_texts"] = (
+    O.with_(
+        O.DETECTED, O.redacted("r", "texts", "spans", ["text_id"]),
+        "mail AS (SELECT text_id, count(*) AS n FROM spans WHERE label = 'private_email' GROUP BY text_id)",
+    )
+    + "SELECT text_id, kind, redacted, coalesce(n, 0) AS emails, true AS valid "
+    "FROM texts JOIN r USING (text_id) LEFT JOIN mail USING (text_id)"
+)
+
+
 # Credential policy.
 def c2_document_credentials(spark, folder):
     """Credential ranges of documents (assignments and credential-shaped values)."""

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 from email.errors import MessageError
 from email.headerregistry import Address
 from email.utils import getaddresses
@@ -167,6 +168,17 @@ def test_matching_masks_overlap(spark):
     assert got == [e for _, _, e in cases]
 
 
+def test_matching_masks_of_any_content(spark):
+    """A million code points with reserved characters, many places, a long tail without any."""
+    reserved = "".join(chr(0xFDD0 + k) for k in range(32)) + "\ufffe"
+    unit = reserved + "anana\n😀"
+    for text, needle in [(unit * 25_000, "ana"), (unit + "b" * 1_000_000, "ana"), ("a" * 100_000, "aa")]:
+        df = spark.createDataFrame([(text, needle)], "t string, n string")
+        got = [(m.start, m.end) for m in df.select(F.expr(P.matching_masks("t", "n")).alias("m")).first().m]
+        starts = [k.start() for k in re.finditer(f"(?={needle})", text)]
+        assert got == [(k, k + len(needle)) for k in starts]
+
+
 def test_policy_holds_without_detector_help_and_bad_models_stop(spark):
     def silent(batches):
         for texts in batches:
