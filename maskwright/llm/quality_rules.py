@@ -17,19 +17,21 @@ from maskwright.llm.batches import map_texts
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
-# Rule: condition under which a text fails, over the measurements. The bit is the place in this list.
-RULES: dict[str, str] = {
-    "too_few_words": "n_words < 10",
-    "repeated_windows": "100 * n_repeat_words > 20 * n_words",
-    "word_length": "word_chars > 30 * n_words",
-    "symbols": "10 * n_symbols > 3 * word_chars",
-    "repeated_lines": "10 * n_dup_lines > 6 * n_lines",
+# Rule: its bit, and the condition over the measurements under which a text fails. Stored ledgers hold these bits: a
+# new rule takes the next free bit, and no bit is ever given to another rule.
+RULES: dict[str, tuple[int, str]] = {
+    "too_few_words": (0, "n_words < 10"),
+    "repeated_windows": (1, "100 * n_repeat_words > 20 * n_words"),
+    "word_length": (2, "word_chars > 30 * n_words"),
+    "symbols": (3, "10 * n_symbols > 3 * word_chars"),
+    "repeated_lines": (4, "10 * n_dup_lines > 6 * n_lines"),
 }
 
-# Policy version: the rules it applies. The first two rules are part of every policy.
+# Policy version: the rules it applies. The first two rules are part of every policy. A published version
+# never changes; other rules make a new version.
 POLICIES: dict[str, list[str]] = {
     "v1": ["too_few_words", "repeated_windows"],
-    "v2": list(RULES),
+    "v2": ["too_few_words", "repeated_windows", "word_length", "symbols", "repeated_lines"],
 }
 
 _SPACES = " \t\n\x0b\x0c\r"
@@ -92,7 +94,7 @@ def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
         return [np.ascontiguousarray(rows[:, k]) for k in range(len(MEASURES))]
 
     measured = map_texts(docs, id_col, text_col, [T.StructField(m, T.LongType()) for m in MEASURES], work)
-    bits = [F.when(F.expr(c), F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate(RULES.values())]
+    bits = [F.when(F.expr(c), F.lit(1 << k)).otherwise(F.lit(0)) for k, c in RULES.values()]
     failed = bits[0]
     for b in bits[1:]:
         failed = failed.bitwiseOR(b)
@@ -100,8 +102,7 @@ def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def mask(rules: Iterable[str]) -> int:
-    names = list(RULES)
-    return sum(1 << names.index(r) for r in set(rules))
+    return sum(1 << RULES[r][0] for r in set(rules))
 
 
 def passes(policy: str) -> Column:

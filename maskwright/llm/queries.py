@@ -21,6 +21,7 @@ from maskwright.llm import (
     weak_labels,
     wrapper_induction,
 )
+from maskwright.llm.reference_sql import ORACLE as ORACLE
 from maskwright.llm.storage import stored
 from maskwright.sources.scratch import scratch_folder
 
@@ -88,6 +89,11 @@ def op7_quality_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def quality_rule_ablations(spark: SparkSession, folder: str) -> DataFrame:
+    """What each rule of each policy version costs, over the ledger of all documents."""
+    return quality_rules.ablations(quality_rules.ledger(_table(spark, folder, "documents")))
+
+
 def op8_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return weak_labels.score(docs, weak_labels.fit(docs))
@@ -129,8 +135,6 @@ QUERIES = {
     for f in (
         op1_language_mixture, op2_decontamination, op3_toxicity, op4_simhash_near_duplicates, op5_packing,
         op6_secret_ledger, op7_quality_rule_ledger, op8_weak_label_quality, op9_warc_round_trip, op10_repeated_passages,
-        op11_wrapper_induction, op12_conversation_repair, op13_token_alignment,
+        quality_rule_ablations, op11_wrapper_induction, op12_conversation_repair, op13_token_alignment,
     )
 }
-
-ORACLE: dict[str, str] = {}

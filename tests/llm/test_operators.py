@@ -525,6 +525,16 @@ def test_quality_rules(spark):
     assert quality_rules.ledger(empty(spark)).count() == 0
 
 
+def test_published_policies_stay():
+    """Bits and versions that ledgers and users hold; a change here breaks stored ledgers."""
+    assert {r: bit for r, (bit, _) in quality_rules.RULES.items()} | {
+        "too_few_words": 0, "repeated_windows": 1, "word_length": 2, "symbols": 3, "repeated_lines": 4
+    } == {r: bit for r, (bit, _) in quality_rules.RULES.items()}
+    assert quality_rules.mask(quality_rules.POLICIES["v1"]) == 0b11
+    assert quality_rules.mask(quality_rules.POLICIES["v2"]) == 0b11111
+    assert len({bit for bit, _ in quality_rules.RULES.values()}) == len(quality_rules.RULES)
+
+
 def test_quality_ablations(spark):
     rows = quality_rules.ledger(spark.read.parquet(f"{SMALL}/documents.parquet"))
     bits = [r.failed for r in rows.collect()]
