@@ -191,22 +191,32 @@ def pack(parts: DataFrame, *, id_col: str = "doc_id", capacity: int = CAPACITY,
     """``parts`` with sequence_id and offset: the sequence of each piece, and its place there.
 
     The number of groups follows from the number of pieces; a piece is dealt by a hash of its id,
-    start and content. Pieces are placed by decreasing length, then by id, start and content, nulls
-    first, so repeated rows change places only among themselves. Sequence ids are unique, not dense.
-    An ``ids`` column is carried along; without it only numbers are shuffled.
+    start and content. Pieces that are equal in all columns travel as one row with their number, at most half
+    a group of them in one row, so however often a row is repeated no group grows. Pieces are placed by
+    decreasing length, then by id, start and content, nulls first, so repeated rows change places only among
+    themselves. Sequence ids are unique, not dense. An ``ids`` column is carried along; without it only
+    numbers are shuffled.
     """
     names = [c for c in parts.columns if c not in ("sequence_id", "offset")]
     parts = parts.select(*names)
+    copies = parts.groupBy(*names).agg(F.count("*").alias("_copies"))
     n = parts.count()
     groups = max(1, -(-n // group))
-    dealt = parts.withColumn("_group", F.expr(f"pmod(xxhash64({id_col}, start, ids_crc32, {seed}), {groups})"))
+    most = max(1, group // 2)
+    dealt = copies.select(
+        *names, "_copies", F.explode(F.expr(f"sequence(0L, (_copies - 1) div {most})")).alias("_lot")
+    ).select(
+        *names,
+        F.expr(f"least(_copies - _lot * {most}, {most})").alias("_copies"),
+        F.expr(f"pmod(xxhash64({id_col}, start, ids_crc32, _lot, {seed}), {groups})").alias("_group"),
+    )
     schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
+        base = int(frame["_group"].iloc[0]) << 32
+        frame = frame.loc[frame.index.repeat(frame["_copies"])].drop(columns=["_group", "_copies"])
         frame = frame.sort_values(["length", id_col, "start", "ids_crc32"], ascending=[False, True, True, True], na_position="first")
         placed = first_fit_decreasing(frame["length"].tolist(), capacity)
-        base = int(frame["_group"].iloc[0]) << 32
-        frame = frame.drop(columns="_group")
         frame["sequence_id"] = [base + b for b, _ in placed]
         frame["offset"] = [o for _, o in placed]
         return frame
