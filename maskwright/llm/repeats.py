@@ -333,8 +333,10 @@ def remove_repeats(
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes; null unless
     ``with_text``).
 
-    Ids are integers. A null id is larger than any other and keeps null; rows with equal ids do not
-    remove each other's bytes, and equal rows give equal results. A null text is empty. Strings are
+    Ids are integers. A null id keeps null and counts as 2^63 - 1, larger than any other id; rows with equal ids
+    do not remove each other's bytes, and equal rows give equal results. A row is dealt to a group by id, text and
+    part of the input, so a row that is repeated very often fills no group: copies in one part of the input stay
+    together, those of different parts meet in the buckets like any repeats. A null text is empty. Strings are
     compared as bytes, so what is kept may end inside a character. Other columns are not read.
     """
     rows = docs.select(
@@ -344,7 +346,7 @@ def remove_repeats(
     ).withColumn("_mark", F.xxhash64("_text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     groups, buckets = max(1, -(-total // GROUP_BYTES)), max(8, -(-total // BUCKET_BYTES))
-    rows = rows.withColumn("_grp", F.expr(f"cast(pmod(xxhash64(_key, _mark, 'group'), {groups}) AS int)"))
+    rows = rows.withColumn("_grp", F.expr(f"cast(pmod(xxhash64(_key, _mark, spark_partition_id(), 'group'), {groups}) AS int)"))
     grouped = rows.groupBy("_grp")
     asked = grouped.applyInArrow(lambda t: _ask(t, buckets), ASK)
     answers = asked.groupBy("bucket").applyInArrow(_answer, ANSWER).withColumnRenamed("grp", "_grp")

@@ -427,6 +427,17 @@ def test_packing_edges(spark, tokenizer):
     assert packing.pack(packing.pieces(empty(spark), tokenizer, with_ids=False)).count() == 0
 
 
+def test_packing_of_repeated_rows(spark, tokenizer):
+    """A row repeated very often fills no group: no more copies in one than half a group holds."""
+    rows = [(7, "one text for all of them")] * 3000 + [(k, f"text number {k} of its own") for k in range(100, 300)] + [(None, "no id")] * 50
+    parts = packing.pieces(frame(spark, rows), tokenizer, with_ids=False)
+    packed = packing.pack(parts, group=200)
+    got = packed.collect()
+    check_packing(got, rows, tokenizer)
+    groups = Counter(r.sequence_id >> 32 for r in got if r.doc_id == 7)
+    assert len(groups) > 8 and max(groups.values()) < 900
+
+
 def test_first_fit_decreasing_is_first_fit():
     rng = np.random.default_rng(1)
     lengths = sorted(rng.integers(1, 101, 400).tolist(), reverse=True)
@@ -681,6 +692,18 @@ def test_repeats_edges(spark):
     assert repeats.remove_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_of_repeated_rows(spark, monkeypatch):
+    """Copies of a row in several parts of the input are dealt to several groups, with one result."""
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 5_000)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 5_000)
+    passage = "a passage of more than fifty bytes that stands in very many rows"
+    rows = [(9, f"first {passage} and on")] * 120 + [(3, passage)] * 60 + [(None, f"{passage} {passage}")] * 20 + [(k, f"{k} {passage[:49]}") for k in range(20, 60)]
+    want = plain_repeats(rows)
+    df = frame(spark, rows).repartition(8)
+    found = repeats.remove_repeats(df, with_text=False).drop("kept")
+    assert rows_of(found) == want
+
+
 def test_run_length_index_owners():
     from maskwright.llm.run_length_index import RunLengthIndex
 
