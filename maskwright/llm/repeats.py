@@ -32,6 +32,8 @@ PIECE = 1 << 15
 #: Text of a group and of a bucket, in bytes.
 GROUP_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
+#: Text of one index in a bucket, in bytes; its arrays stay near the processor.
+INDEX_BYTES = 1 << 18
 
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,7 +119,7 @@ def _by_bucket(code: np.ndarray) -> list[tuple[int, int, int]]:
 
 ASK = "bucket int, grp int, hashes binary, several binary"
 ANSWER = "grp int, bucket int, repeated binary"
-SEGMENTS = "bucket int, grp int, known boolean, docs binary, starts binary, lengths binary, body binary, keys binary"
+SEGMENTS = "bucket int, grp int, known boolean, docs binary, starts binary, lengths binary, body binary, keys binary, lots binary"
 RANGES = "grp int, docs binary, starts binary, ends binary"
 
 
@@ -220,7 +222,7 @@ def _segments(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     are known to be repeats of it, so however often a passage stands in a group, its bucket gets it once.
     """
     names = [f.split()[0] for f in SEGMENTS.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 5]
+    kinds = [pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 6]
     if not table.num_rows or not answers.num_rows:
         return _table([], names, kinds)
     grp = table.column("_grp")[0].as_py()
@@ -245,19 +247,42 @@ def _segments(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     rows = []
     if len(doc):
         # ranges that need no answer go back by way of some bucket, spread over all
-        rows.append((grp % buckets, grp, True, doc.astype("<u4").tobytes(), a.astype("<u4").tobytes(), b.astype("<u4").tobytes(), b"", b""))
+        rows.append((grp % buckets, grp, True, doc.astype("<u4").tobytes(), a.astype("<u4").tobytes(), b.astype("<u4").tobytes(), b"", b"", b""))
     ask = np.flatnonzero(~known)
     ask = ask[np.argsort(code[ask], kind="stable")]
     body = _gather(group.data, start[ask], length[ask]).tobytes()
     edge = np.concatenate([[0], np.cumsum(length[ask])])
     doc, where, size, own = number[ask].astype("<u4"), place[ask].astype("<u4"), length[ask].astype(np.uint8), key[ask].astype("<i8")
+    lot = (code[ask] & np.uint64(0xFF)).astype(np.uint8)
     for bucket, i, j in _by_bucket(code[ask]):
-        rows.append((bucket, grp, False, doc[i:j].tobytes(), where[i:j].tobytes(), size[i:j].tobytes(), body[edge[i] : edge[j]], own[i:j].tobytes()))
+        rows.append((bucket, grp, False, doc[i:j].tobytes(), where[i:j].tobytes(), size[i:j].tobytes(), body[edge[i] : edge[j]], own[i:j].tobytes(), lot[i:j].tobytes()))
     return _table(rows, names, kinds)
 
 
-def _ranges(table: pa.Table) -> pa.Table:
-    """Per group: the ranges to remove, as the index of the bucket's distinct segments tells."""
+def _repeated(data: np.ndarray, at: np.ndarray, length: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, from, to) of the bytes of segments that also stand in a document of a smaller key, as the
+    index of the distinct segments tells."""
+    content = _same(data, at, length)
+    chosen = np.empty(int(content.max()) + 1, dtype=np.int64)
+    chosen[content] = np.arange(len(content))
+    owner = np.full(len(chosen), np.iinfo(np.int64).max)
+    np.minimum.at(owner, content, key)
+    body, size = _gather(data, at[chosen], length[chosen]), length[chosen]
+    index = RunLengthIndex.build(body, size, owner, WIDTH)
+    string, place, least = index.stream(size)
+    # smallest document per string of each distinct segment, as rows of a table
+    first = np.full((len(chosen), int(size.max()) - WIDTH + 1), np.iinfo(np.int64).max)
+    first[string, place] = least
+    gone = first[content] < key[:, None]
+    edge = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    segment, begin = np.nonzero(edge == 1)
+    _, end = np.nonzero(edge == -1)
+    return segment, begin, end + WIDTH - 1
+
+
+def _ranges(table: pa.Table, index_bytes: int) -> pa.Table:
+    """Per group: the ranges to remove. Equal strings have one anchor and so one lot, a part of the anchor's
+    hash; as many lots share an index as fill it."""
     rows = sorted(table.to_pylist(), key=lambda r: (r["known"], r["grp"]))
     out = [(r["grp"], r["docs"], r["starts"], r["lengths"]) for r in rows if r["known"]]
     rows = [r for r in rows if not r["known"]]
@@ -267,22 +292,18 @@ def _ranges(table: pa.Table) -> pa.Table:
         data = np.frombuffer(b"".join(r["body"] for r in rows), dtype=np.uint8)
         which = np.repeat(np.arange(len(rows)), [len(r["lengths"]) for r in rows])
         at = np.cumsum(length) - length
-        content = _same(data, at, length)
-        chosen = np.empty(int(content.max()) + 1, dtype=np.int64)
-        chosen[content] = np.arange(len(content))
-        owner = np.full(len(chosen), np.iinfo(np.int64).max)
-        np.minimum.at(owner, content, key)
-        body, size = _gather(data, at[chosen], length[chosen]), length[chosen]
-        index = RunLengthIndex.build(body, size, owner, WIDTH)
-        string, place, least = index.stream(size)
-        # smallest document per string of each distinct segment, as rows of a table
-        first = np.full((len(chosen), int(size.max()) - WIDTH + 1), np.iinfo(np.int64).max)
-        first[string, place] = least
-        gone = first[content] < key[:, None]
-        edge = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        r0, a = np.nonzero(edge == 1)
-        _, b = np.nonzero(edge == -1)
-        a, b = start[r0].astype(np.int64) + a, start[r0].astype(np.int64) + b + WIDTH - 1
+        indexes = min(256, -(-len(data) // index_bytes))
+        lot = get("lots", np.uint8).astype(np.int64) * indexes >> 8
+        order = np.argsort(lot, kind="stable")
+        cut = np.searchsorted(lot[order], np.arange(indexes + 1))
+        found = []
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            if j > i:
+                some = order[i:j]
+                r, a, b = _repeated(data, at[some], length[some], key[some])
+                found.append((some[r], a, b))
+        r0, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        a, b = start[r0].astype(np.int64) + a, start[r0].astype(np.int64) + b
         order = np.argsort(which[r0], kind="stable")
         cut = np.searchsorted(which[r0][order], np.arange(len(rows) + 1))
         for k, r in enumerate(rows):
@@ -351,7 +372,8 @@ def remove_repeats(
     asked = grouped.applyInArrow(lambda t: _ask(t, buckets), ASK)
     answers = asked.groupBy("bucket").applyInArrow(_answer, ANSWER).withColumnRenamed("grp", "_grp")
     segments = grouped.cogroup(answers.groupBy("_grp")).applyInArrow(lambda t, a: _segments(t, a, buckets), SEGMENTS)
-    ranges = segments.groupBy("bucket").applyInArrow(_ranges, RANGES).withColumnRenamed("grp", "_grp")
+    index_bytes = INDEX_BYTES
+    ranges = segments.groupBy("bucket").applyInArrow(lambda t: _ranges(t, index_bytes), RANGES).withColumnRenamed("grp", "_grp")
     fields = "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     left = grouped.cogroup(ranges.groupBy("_grp")).applyInArrow(lambda t, r: _cut(t, r, with_text), fields)
     return left.select(F.col("_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

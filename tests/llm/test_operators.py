@@ -682,6 +682,7 @@ def test_repeats_against_plain_search(spark, monkeypatch):
     assert sum(r[2] for r in want) > 0
     monkeypatch.setattr(repeats, "GROUP_BYTES", 20_000)
     monkeypatch.setattr(repeats, "BUCKET_BYTES", 50_000)
+    monkeypatch.setattr(repeats, "INDEX_BYTES", 5_000)
     assert rows_of(queries.op10_repeated_passages(spark, SMALL)) == want
 
 
