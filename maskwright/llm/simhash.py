@@ -1,9 +1,9 @@
 """Near-duplicate documents by SimHash and pivot distance tables.
 
-Documents with equal fingerprints are one class. Classes that may be within the limit meet under
-block keys; among them, a table of Hamming distances to many reference fingerprints discards pairs
-(the distance of two fingerprints is at least the largest difference of their table rows), and the
-survivors are verified. Of a group of classes only a spanning forest of its links leaves a task.
+Documents with equal fingerprints are one class. Each class gets a table row once: its Hamming distances
+to many reference fingerprints. Classes that may be within the limit meet under block keys and bring their
+rows along; pairs are discarded by these (the distance of two fingerprints is at least the largest
+difference of their table rows), and the survivors are verified. Of a group of classes only a spanning forest of its links leaves a task.
 """
 
 from __future__ import annotations
@@ -67,15 +67,21 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return map_texts(docs, id_col, text_col, [T.StructField("fp", T.LongType())], work)
 
 
-def _forest(values: np.ndarray, limit: int) -> list[tuple[int, int]]:
+def pivot_table(classes: DataFrame) -> DataFrame:
+    """Adds ``distances``: the Hamming distance of ``fp`` to each reference fingerprint, a byte each."""
+    signed = PIVOTS.view(np.int64).tolist()
+    cells = ", ".join(f"lpad(hex(bit_count(fp ^ {f'{p}L' if p >= 0 else f'(-{-p}L)'})), 2, '0')" for p in signed)
+    return classes.withColumn("distances", F.expr(f"unhex(concat({cells}))"))
+
+
+def _forest(values: np.ndarray, table: np.ndarray, limit: int) -> list[tuple[int, int]]:
     """Links that connect all distinct fingerprints of a group as the links within ``limit`` do.
 
-    The group's table of pivot distances is computed once, its rows sorted by the first distance.
+    ``table`` holds their pivot distances; it is sorted by the first one.
     A search starts from a fingerprint, takes all that are not reached yet and within the limit, and
     goes on from these; a reached one is never compared again. Candidates lie in a window of the
     first distance, must differ by at most ``limit`` in every other one, and are then verified.
     """
-    table = np.bitwise_count(values[:, None] ^ PIVOTS[None, :]).astype(np.int16)
     order = np.argsort(table[:, 0], kind="stable")
     values, table = values[order], table[order]
     left = np.arange(len(values))
@@ -100,9 +106,8 @@ def _forest(values: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return links
 
 
-def _small(keys: np.ndarray, values: np.ndarray, limit: int, most: int) -> list[tuple[int, int]]:
+def _small(keys: np.ndarray, values: np.ndarray, table: np.ndarray, limit: int, most: int) -> list[tuple[int, int]]:
     """The links of all groups of up to ``most`` members, of sorted keys, in whole arrays."""
-    table = np.bitwise_count(values[:, None] ^ PIVOTS[None, :]).astype(np.int16)
     links = []
     for step in range(1, most):
         at = np.flatnonzero(keys[step:] == keys[:-step])
@@ -115,39 +120,42 @@ def _small(keys: np.ndarray, values: np.ndarray, limit: int, most: int) -> list[
 
 
 def _links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Links of rows (key, part, fp) that come sorted by key; a group may go over several batches."""
+    """Links of rows (key, fp, distances) that come sorted by key; a group may go over several batches."""
     few = 32
 
-    def of(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    def of(keys: np.ndarray, fps: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
+        table = table.astype(np.int16)
         start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         size = np.diff(np.append(start, len(keys)))
         small = np.repeat((size > 1) & (size <= few), size)
-        links = _small(keys[small], fps[small], limit, few) if small.any() else []
+        links = _small(keys[small], fps[small], table[small], limit, few) if small.any() else []
         for a, n in zip(start[size > few], size[size > few], strict=True):
-            links += _forest(np.unique(fps[a : a + n]), limit)
+            values, first = np.unique(fps[a : a + n], return_index=True)
+            links += _forest(values, table[a + first], limit)
         ends = np.array(links, dtype=np.uint64).reshape(-1, 2).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["a", "b"])
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         keys, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        fps = fps.view(np.uint64)
+        table = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(len(keys), -1)
+        rows = (keys, fps.view(np.uint64), table)
         if keys[-1] == keys[0] and (not held or held[-1][0][-1] == keys[0]):
-            held.append((keys, fps))
+            held.append(rows)
             continue
         last = int(np.searchsorted(keys, keys[-1]))
-        held.append((keys[:last], fps[:last]))
+        held.append(tuple(x[:last] for x in rows))
         yield of(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        held = [(keys[last:], fps[last:])]
+        held = [tuple(x[last:] for x in rows)]
     if held:
         yield of(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def links(classes: DataFrame, *, limit: int = LIMIT) -> DataFrame:
-    """(a, b): links among distinct fingerprints (column fp) that give the same components as all
-    pairs within ``limit`` (at most 4) bits.
+    """(a, b): links among distinct fingerprints (column fp, and their ``distances`` of ``pivot_table``, which
+    are added where they are missing) that give the same components as all pairs within ``limit`` (at most 4) bits.
 
     A fingerprint goes under one key per pair of blocks. Keys that only one fingerprint has are
     dropped before the rows are dealt out; a key of more than ``GROUP`` fingerprints is cut into parts
@@ -155,16 +163,18 @@ def links(classes: DataFrame, *, limit: int = LIMIT) -> DataFrame:
     """
     if limit > 4:
         raise ValueError("the block keys are complete up to 4 bits")
+    if "distances" not in classes.columns:
+        classes = pivot_table(classes)
     blocks = [f"(shiftrightunsigned(fp, {at}) & {(1 << size) - 1}L)" for at, size in BLOCKS]
     keys = [f"shiftleft({blocks[i]}, 15) | shiftleft({blocks[j]}, 4) | {k}L" for k, (i, j) in enumerate(PAIRS)]
-    rows = classes.select("fp", F.expr(f"explode(array({', '.join(keys)})) AS key"))
+    rows = classes.select("fp", "distances", F.expr(f"explode(array({', '.join(keys)})) AS key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(sizes, "key")
     parts = f"cast(ceil(n / {GROUP}) AS int)"
     mine = f"cast(pmod(xxhash64(fp, 'part'), {parts}) AS int)"
     cells = f"CASE WHEN n <= {GROUP} THEN array(0) ELSE transform(sequence(0, {parts} - 1), p -> least(p, {mine}) * {parts} + greatest(p, {mine})) END"
-    rows = rows.select("key", "fp", F.expr(f"explode({cells}) AS cell"))
-    rows = rows.select(F.expr("key + shiftleft(cast(cell AS bigint), 26)").alias("key"), "fp")
+    rows = rows.select("key", "fp", "distances", F.expr(f"explode({cells}) AS cell"))
+    rows = rows.select(F.expr("key + shiftleft(cast(cell AS bigint), 26)").alias("key"), "fp", "distances")
     dealt = rows.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(lambda batches: _links(batches, limit), "a bigint, b bigint")
 
@@ -180,8 +190,8 @@ def near_duplicates(
     Repeated ids give a row each. Other columns are not read.
     """
     marked = stored(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
-    classes = marked.groupBy("fp").agg(F.min(id_col).alias("least"))
-    found = components(links(classes.select("fp"), limit=limit))
+    classes = stored(pivot_table(marked.groupBy("fp").agg(F.min(id_col).alias("least"))), "classes")
+    found = components(links(classes, limit=limit))
     rooted = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
