@@ -7,8 +7,10 @@ string alone. So occurrences of a string meet in the bucket of their anchor. In
 1. groups of documents send the hashes of their anchors to buckets, which answer, bit by bit, which
    occur in two documents;
 2. groups send the strings around such anchors (a segment: all strings with the same anchor, back to
-   back) to buckets. A bucket indexes its distinct segments in a run-compressed Burrows-Wheeler
-   transform and streams them through it, which gives the smallest document of every string;
+   back) to buckets. A bucket indexes distinct segments in a run-compressed Burrows-Wheeler transform:
+   those of an anchor's largest document lend nothing and are left out. It streams distinct segments
+   through it: those of an anchor's smallest document alone lose nothing and are left out. Positions whose
+   longest match has ``WIDTH`` bytes get the smallest document of their string;
 3. groups receive the ranges to remove.
 
 Documents are shuffled once, by group; the three passes over them reuse that exchange.
@@ -32,8 +34,8 @@ PIECE = 1 << 15
 #: Text of a group and of a bucket, in bytes.
 GROUP_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
-#: Text of one index in a bucket, in bytes; its arrays stay near the processor.
-INDEX_BYTES = 1 << 18
+#: Text of the segments that share an index in a bucket, in bytes; only a part is indexed, its arrays stay near the processor.
+INDEX_BYTES = 1 << 19
 
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,7 +121,7 @@ def _by_bucket(code: np.ndarray) -> list[tuple[int, int, int]]:
 
 ASK = "bucket int, grp int, hashes binary, several binary"
 ANSWER = "grp int, bucket int, repeated binary"
-SEGMENTS = "bucket int, grp int, known boolean, docs binary, starts binary, lengths binary, body binary, keys binary, lots binary"
+SEGMENTS = "bucket int, grp int, known boolean, docs binary, starts binary, lengths binary, body binary, keys binary, codes binary"
 RANGES = "grp int, docs binary, starts binary, ends binary"
 
 
@@ -253,26 +255,36 @@ def _segments(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     body = _gather(group.data, start[ask], length[ask]).tobytes()
     edge = np.concatenate([[0], np.cumsum(length[ask])])
     doc, where, size, own = number[ask].astype("<u4"), place[ask].astype("<u4"), length[ask].astype(np.uint8), key[ask].astype("<i8")
-    lot = (code[ask] & np.uint64(0xFF)).astype(np.uint8)
+    low = (code[ask] & np.uint64(0xFFFFFFFF)).astype("<u4")
     for bucket, i, j in _by_bucket(code[ask]):
-        rows.append((bucket, grp, False, doc[i:j].tobytes(), where[i:j].tobytes(), size[i:j].tobytes(), body[edge[i] : edge[j]], own[i:j].tobytes(), lot[i:j].tobytes()))
+        rows.append((bucket, grp, False, doc[i:j].tobytes(), where[i:j].tobytes(), size[i:j].tobytes(), body[edge[i] : edge[j]], own[i:j].tobytes(), low[i:j].tobytes()))
     return _table(rows, names, kinds)
 
 
-def _repeated(data: np.ndarray, at: np.ndarray, length: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, from, to) of the bytes of segments that also stand in a document of a smaller key, as the
-    index of the distinct segments tells."""
+def _repeated(
+    data: np.ndarray, at: np.ndarray, length: np.ndarray, key: np.ndarray, code: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, from, to) of the bytes of segments that also stand in a document of a smaller key, as matching
+    statistics against the index tell. Equal strings have equal codes of their anchors."""
     content = _same(data, at, length)
     chosen = np.empty(int(content.max()) + 1, dtype=np.int64)
     chosen[content] = np.arange(len(content))
-    owner = np.full(len(chosen), np.iinfo(np.int64).max)
+    owner, largest = np.full(len(chosen), np.iinfo(np.int64).max), np.full(len(chosen), np.iinfo(np.int64).min)
     np.minimum.at(owner, content, key)
-    body, size = _gather(data, at[chosen], length[chosen]), length[chosen]
-    index = RunLengthIndex.build(body, size, owner, WIDTH)
-    string, place, least = index.stream(size)
+    np.maximum.at(largest, content, key)
+    anchor = np.unique(code[chosen], return_inverse=True)[1]
+    least_key, largest_key = (np.full(int(anchor.max()) + 1, v) for v in (np.iinfo(np.int64).max, np.iinfo(np.int64).min))
+    np.minimum.at(least_key, anchor, owner)
+    np.maximum.at(largest_key, anchor, largest)
+    lends, loses = np.flatnonzero(owner < largest_key[anchor]), np.flatnonzero(largest > least_key[anchor])
+    if not len(lends):
+        return (np.empty(0, dtype=np.int64),) * 3
+    size = length[chosen]
+    index = RunLengthIndex.build(_gather(data, at[chosen[lends]], size[lends]), size[lends], owner[lends], WIDTH)
+    string, place, least = index.stream(_gather(data, at[chosen[loses]], size[loses]), size[loses])
     # smallest document per string of each distinct segment, as rows of a table
     first = np.full((len(chosen), int(size.max()) - WIDTH + 1), np.iinfo(np.int64).max)
-    first[string, place] = least
+    first[loses[string], place] = least
     gone = first[content] < key[:, None]
     edge = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     segment, begin = np.nonzero(edge == 1)
@@ -293,14 +305,15 @@ def _ranges(table: pa.Table, index_bytes: int) -> pa.Table:
         which = np.repeat(np.arange(len(rows)), [len(r["lengths"]) for r in rows])
         at = np.cumsum(length) - length
         indexes = min(256, -(-len(data) // index_bytes))
-        lot = get("lots", np.uint8).astype(np.int64) * indexes >> 8
+        code = get("codes", "<u4")
+        lot = (code & 0xFF).astype(np.int64) * indexes >> 8
         order = np.argsort(lot, kind="stable")
         cut = np.searchsorted(lot[order], np.arange(indexes + 1))
         found = []
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             if j > i:
                 some = order[i:j]
-                r, a, b = _repeated(data, at[some], length[some], key[some])
+                r, a, b = _repeated(data, at[some], length[some], key[some], code[some])
                 found.append((some[r], a, b))
         r0, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         a, b = start[r0].astype(np.int64) + a, start[r0].astype(np.int64) + b

@@ -368,6 +368,12 @@ def test_links_of_dense_and_parted_groups(spark, monkeypatch):
     assert got() == want()
 
 
+def test_pivot_table(spark):
+    values = [0, -1, 2**63 - 1, -(2**63), 12345678901234567]
+    for r in simhash.pivot_table(spark.createDataFrame([(v,) for v in values], "fp bigint")).collect():
+        assert list(r.distances) == [(r.fp % 2**64 ^ p).bit_count() for p in simhash.PIVOTS.tolist()]
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     edges = spark.createDataFrame([((i * 7) % n, ((i + 1) * 7) % n) for i in range(n - 1)] + [(1000, 1001), (5, 5), (None, 3)], "a bigint, b bigint")
@@ -717,7 +723,28 @@ def test_run_length_index_owners():
         for k in range(len(s) - 49):
             want[s[k : k + 50]] = min(want.get(s[k : k + 50], o), o)
     lengths = np.array([len(s) for s in strings])
-    index = RunLengthIndex.build(np.frombuffer(b"".join(strings), dtype=np.uint8), lengths, owners, 50)
-    string, place, owner = index.stream(lengths)
+    data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+    index = RunLengthIndex.build(data, lengths, owners, 50)
+    string, place, owner = index.stream(data, lengths)
     assert len(string) == sum(lengths - 49) and len(index.run_start) < lengths.sum()
     assert all(want[strings[a][b : b + 50]] == o for a, b, o in zip(string, place, owner, strict=True))
+
+
+def test_matching_statistics_against_plain_search():
+    """Strings that are not indexed, changed copies, bytes that stand nowhere, an empty string."""
+    from maskwright.llm.run_length_index import RunLengthIndex
+
+    rng = np.random.default_rng(9)
+    pool = [bytes(rng.integers(97, 100, 90, dtype=np.uint8)) for _ in range(3)]
+    strings = [pool[0][:70], pool[0][20:], pool[1], pool[1][:60], pool[0][:70]]
+    asked = [b"", pool[0], pool[1][5:50] + b"z" + pool[1][51:], pool[2], b"\x00" * 60, pool[0][30:] + pool[1][:55], b"a", pool[1][10:60]]
+    data, lengths = (np.frombuffer(b"".join(strings), dtype=np.uint8), np.array([len(s) for s in strings]))
+    index = RunLengthIndex.build(data, lengths, np.array([7, 3, 9, 2, 5]), 50)
+    flat, sizes = np.frombuffer(b"".join(asked), dtype=np.uint8), np.array([len(s) for s in asked])
+    got = {(a, b): n for step in index.matches(flat, sizes) for a, b, n in zip(*(x.tolist() for x in step[:3]), strict=True)}
+    want = {
+        (a, b): max(n for n in range(len(s) - b + 1) if any(s[b : b + n] in t for t in strings)) for a, s in enumerate(asked) for b in range(len(s))
+    }
+    assert got == want and 0 in want.values() and max(want.values()) >= 70
+    owners = {(a, b): min(o for t, o in zip(strings, (7, 3, 9, 2, 5), strict=True) if asked[a][b : b + 50] in t) for (a, b), n in want.items() if n >= 50}
+    assert {(a, b): o for a, b, o in zip(*(x.tolist() for x in index.stream(flat, sizes)), strict=True)} == owners
