@@ -301,11 +301,20 @@ ORACLE["b19_engine_choice"] = (
 )
 
 
+# Documents to a text file: a file is read whole by one task, so it must not grow with the table.
+_FILE_DOCUMENTS = 256
+
+
+def _text_files(docs: DataFrame, out: str) -> None:
+    """A folder per language, in it plain text files of at most ``_FILE_DOCUMENTS`` documents; no shuffle."""
+    docs.write.option("maxRecordsPerFile", _FILE_DOCUMENTS).partitionBy("lang").text(out)
+
+
 def a8_scanned_files(spark, folder):
-    """Documents as plain text files, one per language, scanned as files: characters and addresses of each."""
+    """Documents as plain text files, a folder per language, scanned as files: characters and addresses of each."""
     out = scratch_folder(spark, "texts")
     docs = Tables(spark, folder).read("documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("value"))
-    docs.repartition("lang").write.partitionBy("lang").text(out)
+    _text_files(docs, out)
     files = read_texts(spark, f"{out}/lang=*")
     rows = S.hold(files, {"found": D.rule_spans("text", "email")})
     return rows.groupBy(F.expr("regexp_extract(path, '/lang=([^/]*)/', 1)").alias("lang")).agg(
