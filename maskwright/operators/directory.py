@@ -49,23 +49,25 @@ def mentions(messages: DataFrame, staff: DataFrame) -> DataFrame:
     size = staff.limit(BROADCAST_LIMIT + 1).selectExpr("count(*) AS people", f"coalesce(sum({width}), 0) AS bytes").first()
     small = size.people <= BROADCAST_LIMIT and size.bytes <= BROADCAST_BYTES
     if small and size.people <= IN_ROW_LIMIT:
-        found = _in_row(texts, staff)
+        found = _without_text(_in_row(texts, staff))
     else:
         found = by_fragment(texts, staff, small)
     return found.select(
-        "message_id",
-        "staff_ord",
-        F.col("name").alias("employee"),
-        "role",
-        "kind",
-        "start",
-        "end",
-        F.expr(S.cut("_text", "start", "end")).alias("match_text"),
-        # lower-casing may change lengths outside ASCII; such offsets refer to the lowered text
-        F.expr("length(lower(_text)) <> length(_text)").alias("offsets_shifted"),
+        "message_id", "staff_ord", F.col("name").alias("employee"), "role", "kind", "start", "end", "match_text", "offsets_shifted"
     )
 
 
+def _without_text(hits: DataFrame) -> DataFrame:
+    """Hits with what is needed of their text in its place."""
+    return hits.withColumns(
+        {
+            "match_text": F.expr(S.cut("_text", "start", "end")),
+            # lower-casing may change lengths outside ASCII; such offsets refer to the lowered text
+            "offsets_shifted": F.expr("length(lower(_text)) <> length(_text)"),
+        }
+    ).drop("_text")
+
+
 def _in_row(texts: DataFrame, staff: DataFrame) -> DataFrame:
     listed = _needles(staff).agg(F.collect_list(F.struct("staff_ord", "name", "role", "kind", "needle")).alias("people"))
     at = "(locate(lower(n.needle), low) - 1)"
@@ -77,54 +79,52 @@ def _in_row(texts: DataFrame, staff: DataFrame) -> DataFrame:
 def _filter(keyed: DataFrame) -> tuple[DataFrame, int]:
     """A bit array over hashed fragments as one row with an array of words, and how many words there are.
 
-    The size follows from the number of needles, which is counted; one bit stands for each fragment.
+    The size follows from the number of needles, which is counted; two bits stand for each fragment.
     """
     needles = keyed.count()
     words = 1
     while words < FILTER_WORDS and 64 * words < FILTER_BITS * needles:
         words *= 2
-    word, bit = _place("fragment", words)
-    filled = keyed.groupBy(F.expr(word).cast("long").alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("word"))
+    places = ", ".join(f"struct(cast({word} AS long) AS id, shiftleft(1L, {bit}) AS bit)" for word, bit in _places("fragment", words))
+    filled = keyed.select(F.expr(f"inline(array({places}))")).groupBy("id").agg(F.bit_or("bit").alias("word"))
     every = keyed.sparkSession.range(words).join(filled, "id", "left").select(F.struct("id", F.coalesce("word", F.lit(0)).alias("word")).alias("w"))
     return every.agg(F.expr("transform(array_sort(collect_list(w)), w -> w.word)").alias("words")), words
 
 
-def _place(fragment: str, words: int) -> tuple[str, str]:
-    """The word of a fragment, of a number that is a power of two, and the bit in it."""
-    return f"(shiftright(hash({fragment}), 6) & {words - 1})", f"(hash({fragment}) & 63)"
-
+def _places(fragment: str, words: int) -> list[tuple[str, str]]:
+    """The two bits of a fragment: the word, of a number that is a power of two, and the bit in it."""
+    return [(f"(shiftright({h}, 6) & {words - 1})", f"({h} & 63)") for h in (f"hash({fragment})", f"hash({fragment}, 1)")]
 
-def _may_be_known(fragments: str, size: int) -> str:
-    """The distinct ones of ``fragments`` whose bit is set in ``words``, as SQL text."""
-    word, bit = _place("f", size)
-    return f"array_distinct(filter({fragments}, f -> getbit(words[{word}], {bit}) = 1))"
 
+def fragment_candidates(texts: DataFrame, keyed: DataFrame, widths: list[int], kept: tuple[str, ...] = ("_key",)) -> DataFrame:
+    """Fragments of each text that the directory may know, distinct, beside the columns ``kept``: few but true ones
+    get through, so few are joined.
 
-def fragment_candidates(texts: DataFrame, keyed: DataFrame, widths: list[int], *, filtered: bool = True) -> DataFrame:
-    """Fragments of each text (``_key``), distinct; ``filtered`` those that the directory may know: few but true
-    ones get through, so few are shuffled. A broadcast directory is itself that filter."""
-    per_width = ", ".join(
-        f"flatten(transform(sequence(1, greatest(length(low) - {w - 1}, 1), {_BLOCK}), b -> "
-        + S.bind(
-            "c",
-            f"substring(low, b, {_BLOCK + w - 1})",
-            f"CASE WHEN length(c) >= {w} THEN transform(sequence(1, length(c) - {w - 1}), "
-            f"i -> substring(c, i, {w})) ELSE cast(array() AS array<string>) END",
-        )
-        + "))"
-        for w in widths
-    )
-    every = S.bind("low", "lower(_text)", f"concat({per_width})") if widths else "cast(array() AS array<string>)"
-    if not filtered:
-        return texts.select("_key", F.explode(F.expr(f"array_distinct({every})")).alias("fragment"))
+    Places are rows, by blocks and then by place, so that all tests are compiled; a row is made only of what passes.
+    """
+    if not widths:
+        return texts.select(*kept, F.lit("").alias("fragment")).where("false")
     words, size = _filter(keyed)
-    known = S.bind("words", "_words", _may_be_known(every, size))
-    return texts.select("_key", "_text").withColumn("_words", words.scalar()).select("_key", F.explode(F.expr(known)).alias("fragment"))
+    rows = texts.withColumn("_low", F.expr("lower(_text)")).where(f"length(_low) >= {min(widths)}")
+    rows = rows.select("*", F.expr(f"explode(sequence(0, (length(_low) - 1) div {_BLOCK})) AS _b"))
+    rows = rows.withColumn("_block", F.expr(f"substring(_low, cast(_b * {_BLOCK} + 1 AS int), {_BLOCK + max(widths) - 1})"))
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, widths))).alias("_w")).where("length(_block) >= _w")
+    rows = rows.select("*", F.expr(f"explode(sequence(1, least({_BLOCK}, length(_block) - _w + 1))) AS _i"))
+    rows = rows.withColumn("fragment", F.expr("substring(_block, _i, _w)"))
+    for word, bit in _places("fragment", size):
+        rows = rows.where(F.call_function("getbit", F.element_at(words.scalar(), F.expr(f"{word} + 1")), F.expr(bit)) == 1)
+    first = rows.where(F.expr(f"locate(fragment, _low) = _b * {_BLOCK} + _i"))
+    return first.select(*kept, "fragment")
 
 
 def by_fragment(texts: DataFrame, staff: DataFrame, small: bool) -> DataFrame:
-    """Mentions by way of text fragments; ``small`` says that the directory may be broadcast."""
-    needles = _needles(staff).withColumn("low", F.expr("lower(needle)"))
+    """Mentions by way of text fragments; ``small`` says that the directory may be broadcast.
+
+    People who share a name are looked for once; they part in the last step, after which nothing is shuffled. With a
+    broadcast directory a text is not shuffled at all, else once.
+    """
+    people = _needles(staff).withColumns({"low": F.expr("lower(needle)"), "_n": F.expr("length(needle)")})
+    needles = people.select("low", "_n").distinct()
     width = f"least(length(low), {FRAGMENT})"
     pieces = needles.withColumn(
         "fragment",
@@ -137,24 +137,24 @@ def by_fragment(texts: DataFrame, staff: DataFrame, small: bool) -> DataFrame:
     )
     # Each needle is looked up by the one fragment that fewest other needles share.
     shared = pieces.groupBy("fragment").agg(F.count("*").alias("owners"))
-    keyed = (
-        pieces.join(shared, "fragment")
-        .groupBy("staff_ord", "name", "role", "kind", "needle", "low")  # nulls group like values
-        .agg(F.min_by("fragment", F.struct("owners", "fragment")).alias("fragment"))
-    )
-    widths = [r[0] for r in needles.select(F.expr(width)).distinct().collect()]  # 1 … FRAGMENT
-    # Mentions depend on the text alone, so it is its own key: message ids may repeat.
-    texts = texts.withColumn("_key", F.sha2("_text", 256))
-    keyed = keyed if small else written(keyed, "needles")
-    fragments = fragment_candidates(texts, keyed, widths, filtered=not small)
-    keyed_side = F.broadcast(keyed) if small else keyed
-    candidates = fragments.join(keyed_side, "fragment").drop("fragment").distinct()
-    return (
-        texts.join(candidates, "_key")
-        .withColumn("start", F.expr("locate(low, lower(_text)) - 1"))
+    keyed = pieces.join(shared, "fragment").groupBy("low", "_n").agg(F.min_by("fragment", F.struct("owners", "fragment")).alias("fragment"))
+    keyed = written(keyed, "needles")
+    widths = [r[0] for r in keyed.select(F.expr(width)).distinct().collect()]  # 1 … FRAGMENT
+    if small:
+        fragments = fragment_candidates(texts, keyed, widths, tuple(texts.columns))
+        candidates = fragments.join(F.broadcast(keyed), "fragment").drop("fragment")
+    else:
+        # Mentions depend on the text alone, so its hash is its key: message ids may repeat. Texts that share a hash
+        # share candidates, and each candidate is looked for in its text.
+        texts = texts.withColumn("_key", F.xxhash64("_text"))
+        fragments = fragment_candidates(texts, keyed, widths)
+        candidates = texts.join(fragments.join(keyed, "fragment").select("_key", "low", "_n").distinct(), "_key").drop("_key")
+    hits = (
+        candidates.withColumn("start", F.expr("locate(low, lower(_text)) - 1"))
         .where("start >= 0")
-        .withColumn("end", F.expr("start + length(needle)"))
+        .withColumn("end", F.expr("start + _n"))
     )
+    return _without_text(hits).join(F.broadcast(people) if small else people, ["low", "_n"])
 
 
 def fold_mentions(found: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ ORACLE = {}
 
 
 def _messages(spark, folder) -> DataFrame:
-    return D.spread(Tables(spark, folder).messages())
+    return Tables(spark, folder).messages(D.spread)
 
 
 def _classified(spark, folder) -> DataFrame:

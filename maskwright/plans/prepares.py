@@ -30,10 +30,10 @@ _MASK_END = "CASE WHEN message_id % 35 = 0 THEN 99999 ELSE 6 + message_id % 9 EN
 
 
 def _email_requests(spark, folder) -> DataFrame:
-    m = Tables(spark, folder).messages()
+    m = Tables(spark, folder).messages(D.spread)
     mask = f"named_struct('field', 'body', 'start', cast(message_id % 5 AS int), 'end', cast({_MASK_END} AS int))"
     second = "named_struct('field', 'subject', 'start', 0, 'end', 5)"
-    return D.spread(m).select(
+    return m.select(
         F.col("message_id").alias("request_id"),
         F.lit("email").alias("use_case"),
         F.expr(

@@ -7,6 +7,8 @@ differ. All views are projections: they need no join and no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,11 +179,12 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
-    def _view(self, view: dict[str, str], table: str) -> DataFrame:
-        return self.read(table).select(*[F.expr(e).alias(n) for n, e in view.items()])
+    def _view(self, view: dict[str, str], table: str, deal: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        return deal(self.read(table)).select(*[F.expr(e).alias(n) for n, e in view.items()])
 
-    def messages(self) -> DataFrame:
-        return self._view(message_view(SPARK), "orders")
+    def messages(self, deal: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """``deal`` may spread the rows of the table before the longer ones of the view are made of them."""
+        return self._view(message_view(SPARK), "orders", deal)
 
     def attempts(self) -> DataFrame:
         return self._view(attempt_view(SPARK), "events")
