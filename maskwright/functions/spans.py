@@ -25,6 +25,10 @@ MARK = "﷐"
 # Folds gather their output in runs of this length, so long arrays are not copied per element.
 RUN = 128
 
+# Up to so many matches or spans are looked up by their places instead of folded: a step of a fold copies what it
+# has gathered, which costs far more than a few look-ups.
+FEW = 16
+
 # Code points of a piece of a text that is cut very often, and the larger pieces on the way there.
 CHUNK = 1 << 8
 _SIZES = (1 << 22, 1 << 15, CHUNK)
@@ -49,17 +53,24 @@ def hold(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
     A plain projection may be folded into every later use: a filter on a scan result, or on
     something derived from it, would be pushed below the projection with a copy of the whole scan
-    inside. The output of a one-row generator cannot be pushed down or copied.
+    inside. The output of a one-row generator cannot be pushed down or copied. Spark interprets a
+    generator, so the columns are made by a projection below it, which is compiled.
     """
     kept = [c for c in df.columns if c not in columns]
-    fields = ", ".join(f"{expr} AS {name}" for name, expr in columns.items())
-    return df.select(*kept, F.expr(f"inline(array(struct({fields})))"))
+    made = df.select(*kept, *[F.expr(expr).alias(f"_held_{name}") for name, expr in columns.items()])
+    fields = ", ".join(f"_held_{name} AS {name}" for name in columns)
+    return made.select(*kept, F.expr(f"inline(array(struct({fields})))"))
 
 
 def span(start: str, end: str, label: str) -> str:
     return f"named_struct('start', {start}, 'end', {end}, 'label', {label})"
 
 
+def joined(*arrays: str) -> str:
+    """The elements of several arrays, none of them null, in turn."""
+    return f"flatten(array({', '.join(arrays)}))"
+
+
 def fold(
     items: str,
     state: str,
@@ -132,12 +143,19 @@ def find_all(
         lambda s, x: f"CASE WHEN {s}.hit AND {x} IS NOT NULL THEN "
         f"array({span(f'{s}.at', f'{s}.at + length({x})', repr(label))}) ELSE {NO_SPANS} END",
     )
+    # gap, match, …, gap, after the second route with a null at the end
+    one = span("length(pieces[0])", "length(pieces[0]) + length(pieces[1])", repr(label))
+    front = "length(concat_ws('', slice(pieces, 1, {})))"
+    few = f"transform(sequence(1, size(pieces) - 2, 2), i -> {span(front.format('i'), front.format('i + 1'), repr(label))})"
     found = bind(
         "pieces",
         f"CASE WHEN contains({text}, '{MARK}') THEN {two_pass} ELSE {one_pass} END",
-        f"CASE WHEN size(pieces) > 1 THEN {offsets} ELSE {NO_SPANS} END",
+        f"CASE WHEN size(pieces) > 2 * {FEW} + 2 THEN {offsets} WHEN size(pieces) > 4 THEN {few} "
+        f"WHEN size(pieces) > 2 THEN array({one}) ELSE {NO_SPANS} END",
     )
-    return found if guard is None else f"CASE WHEN {guard} THEN {found} ELSE {NO_SPANS} END"
+    # a text without a match stays out of the interpreted part
+    tests = " AND ".join([*([guard] if guard else []), f"rlike({text}, {rx})"])
+    return f"CASE WHEN {tests} THEN {found} ELSE {NO_SPANS} END"
 
 
 def is_valid(spans: str, text: str) -> str:
@@ -176,8 +194,17 @@ def merge(spans: str) -> str:
             f"CASE WHEN {fresh(s, x)} THEN {opened} ELSE {grown} END"
         )
 
-    merged = fold(
-        f"sort_array({spans})",
+    # A span begins a cluster unless one in front of it reaches over its start.
+    heads = "filter(sequence(0, size(sorted) - 1), i -> NOT exists(slice(sorted, 1, i), p -> p.end > sorted[i].start))"
+    one = span("members[0].start", "array_max(members.end)", f"array_min(transform(members, m -> {key('m')})).label")
+    cluster = bind(
+        "members",
+        "slice(sorted, h + 1, coalesce(get(heads, k + 1), size(sorted)) - h)",
+        f"CASE WHEN size(members) = 1 THEN members[0] ELSE {one} END",
+    )
+    few = bind("heads", heads, f"transform(heads, (h, k) -> {cluster})")
+    many = fold(
+        "sorted",
         f"cast(null AS {state_type})",
         SPANS,
         next_state,
@@ -185,6 +212,12 @@ def merge(spans: str) -> str:
         f"ELSE {NO_SPANS} END",
         f"concat(acc.out, {closed('acc.state')})",
     )
+    apart = "forall(sequence(1, size(sorted) - 1), i -> sorted[i].start >= sorted[i - 1].end)"
+    merged = bind(
+        "sorted",
+        f"sort_array({spans})",
+        f"CASE WHEN {apart} THEN sorted WHEN size(sorted) <= {FEW} THEN {few} ELSE {many} END",
+    )
     return f"CASE WHEN size({spans}) > 1 THEN {merged} ELSE {spans} END"
 
 
@@ -223,20 +256,15 @@ def redact(text: str, spans: str, replacement: Callable[[str], str]) -> str:
     by way of its ``chunks``, which makes the work follow its length and not the square of it."""
 
     def pieces(gap: Callable[[str, str], str]) -> str:
-        return fold(
-            spans,
-            "0",
-            "array<string>",
-            lambda s, x: f"{x}.end",
-            lambda s, x: f"array({gap(s, f'{x}.start')}, {replacement(x)})",
-            f"concat(acc.out, array({cut(text, 'acc.state', f'length({text})')}))",
-        )
+        before = f"CASE WHEN i = 0 THEN 0 ELSE {spans}[i - 1].end END"
+        tail = cut(text, f"element_at({spans}, -1).end", f"length({text})")
+        return f"concat_ws('', transform({spans}, (item, i) -> concat_ws('', {gap(before, 'item.start')}, {replacement('item')})), {tail})"
 
     few = pieces(lambda a, b: cut(text, a, b))
     many = bind("parts", chunks(text), pieces(lambda a, b: cut_chunks("parts", a, b)))
     return (
-        f"CASE WHEN size({spans}) > {RUN} THEN concat_ws('', {many}) "
-        f"WHEN size({spans}) > 0 THEN concat_ws('', {few}) ELSE {text} END"
+        f"CASE WHEN size({spans}) > {RUN} THEN {many} "
+        f"WHEN size({spans}) > 0 THEN {few} ELSE {text} END"
     )
 
 

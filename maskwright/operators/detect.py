@@ -44,8 +44,6 @@ JAVA_RULES = {name: (label, _java(name, pattern)) for name, label, pattern in V.
 def _guard(name: str, text: str) -> str | None:
     digits = f"rlike({text}, {S.regex_literal(DIGIT)})"
     return {
-        "secret": f"(contains({text}, '=') OR contains({text}, ':') "
-        f"OR rlike({text}, '(?iu)sk-|ghp_|AKIA|xox|Bearer'))",
         "account": digits,
         "email": f"contains({text}, '@')",
         "phone": digits,
@@ -70,7 +68,7 @@ def rule_spans(text: str, rule: str, *, guards: bool = True) -> str:
 def raw_spans(text: str, *, rules: list[str] | None = None, guards: bool = True) -> str:
     """Matches of every rule, unmerged."""
     names = list(JAVA_RULES) if rules is None else rules
-    return f"concat({', '.join(rule_spans(text, name, guards=guards) for name in names)})"
+    return S.joined(*(rule_spans(text, name, guards=guards) for name in names))
 
 
 # A model takes texts and returns, for each, a list of (label, start, end).
@@ -128,8 +126,8 @@ def detect(
     so bad rows can be set aside without losing them.
     """
     if raw is None and engine == "heuristic":
-        spans = S.bind("raw", raw_spans(text_col), S.merge("raw"))
-        held = S.hold(df, {"spans": spans, "invalid": "false"})
+        found = S.hold(df, {"_raw": raw_spans(text_col)})
+        held = S.hold(found, {"spans": S.merge("_raw"), "invalid": "false"}).drop("_raw")
     else:
         staged = df.withColumn("_raw", F.expr(raw) if raw else engine_spans(text_col, engine))
         known = ", ".join(repr(k) for k in [*V.LABELS, V.MANUAL_LABEL])

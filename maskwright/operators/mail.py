@@ -69,9 +69,8 @@ def classify(messages: DataFrame, internal_domains: list[str]) -> DataFrame:
 def scan(messages: DataFrame) -> DataFrame:
     """Scan subject and body apart, and add the per-message totals."""
     parts = ("subject", "body")
-    df = S.hold(
-        messages, {f"{p}_spans": S.bind("raw", raw_spans(p), S.merge("raw")) for p in parts}
-    )
+    df = S.hold(messages, {f"_raw_{p}": raw_spans(p) for p in parts})
+    df = S.hold(df, {f"{p}_spans": S.merge(f"_raw_{p}") for p in parts}).drop(*[f"_raw_{p}" for p in parts])
     every = "concat(body_spans, subject_spans)"
     return df.withColumns(
         {
