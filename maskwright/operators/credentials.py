@@ -82,11 +82,15 @@ def rule_spans(text: str, rule: str) -> str:
     return S.find_all(text, pattern, "secret", groups=(1, group), guard=_guard(rule, text))
 
 
-def credential_spans(text: str, shaped: str | None = None) -> str:
-    """Disjoint ranges of ``text`` that the policy masks whatever the detector finds. ``shaped`` are the
-    matches of the detector's secret rule, where they are known already."""
-    every = ", ".join([shaped or detect_rule(text, "secret"), *(rule_spans(text, rule) for rule in PATTERNS)])
-    return S.bind("creds", f"concat({every})", S.merge("creds"))
+def raw_spans(text: str, shaped: str | None = None) -> str:
+    """Matches of every credential rule, unmerged. ``shaped`` are those of the detector's secret rule, where they
+    are known already."""
+    return S.joined(shaped or detect_rule(text, "secret"), *(rule_spans(text, rule) for rule in PATTERNS))
+
+
+def credential_spans(text: str) -> str:
+    """Disjoint ranges of ``text`` that the policy masks whatever the detector finds."""
+    return S.bind("creds", raw_spans(text), S.merge("creds"))
 
 
 def with_credentials(df: DataFrame, text_col: str = "text", out: str = "credentials") -> DataFrame:

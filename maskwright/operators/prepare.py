@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from maskwright import fixed_values as V
 from maskwright.functions import spans as S
 from maskwright.functions.regex import SPACE
-from maskwright.operators.credentials import credential_spans
+from maskwright.operators.credentials import raw_spans as raw_credentials
 from maskwright.operators.detect import JAVA_RULES, engine_spans, raw_spans, rule_spans
 from maskwright.operators.routing import routing, with_domains
 
@@ -258,26 +258,30 @@ def prepare(
     # the detector and the credential policy share the matches of the secret rule
     df = S.hold(df, {f"_secret_{p}": rule_spans(f"_{p}", "secret") for p in parts})
     others = [name for name in JAVA_RULES if name != "secret"]
+    # matches are held before they are merged: what stands inside a bound expression is interpreted
+    raws = {f"_shaped_{p}": raw_credentials(f"_{p}", f"_secret_{p}") for p in parts}
+    if engine == "heuristic":
+        raws |= {f"_raw_{p}": S.joined(f"_secret_{p}", raw_spans(f"_{p}", rules=others)) for p in parts}
+    df = S.hold(df, raws)
     held = {}
     for part, name in parts.items():
         found = f"_found_{part}"
         if engine == "heuristic":
-            raw = f"concat(_secret_{part}, {raw_spans(f'_{part}', rules=others)})"
-            held[f"_auto_{part}"] = S.bind("raw", raw, S.merge("raw"))
+            held[f"_auto_{part}"] = S.merge(f"_raw_{part}")
         else:
             known = ", ".join(repr(k) for k in V.LABELS)
             held[f"_auto_{part}"] = (
                 f"CASE WHEN {S.is_valid(found, f'_{part}')} AND forall({found}, v -> v.label IN ({known})) "
                 f"THEN {S.merge(found)} ELSE raise_error('detector returned an invalid span') END"
             )
-        held[f"_cred_{part}"] = credential_spans(f"_{part}", f"_secret_{part}")
+        held[f"_cred_{part}"] = S.merge(f"_shaped_{part}")
         own = f"filter(manual_masks, m -> m.field = {name})"
         masks = f"transform({own}, m -> {S.span('m.start', 'm.end', repr(V.MANUAL_LABEL))})"
         held[f"_hand_{part}"] = f"CASE WHEN _error IS NULL THEN {masks} ELSE {S.NO_SPANS} END"
-    df = S.hold(df, held)
+    df = S.hold(df, held).drop(*raws, *[f"_{kind}_{p}" for kind in ("found", "secret") for p in parts])
 
     def union(part: str) -> str:
-        every = f"concat(_auto_{part}, _cred_{part}, _hand_{part})"
+        every = S.joined(f"_auto_{part}", f"_cred_{part}", f"_hand_{part}")
         return (
             f"CASE WHEN _error IS NULL THEN {S.bind('every', every, S.merge('every'))} "
             f"ELSE {S.NO_SPANS} END"
@@ -297,10 +301,10 @@ def prepare(
 
     tokens = r"\[[A-Z_]+_[1-9][0-9]*\]"
     df = S.hold(df, {"_error": "_error", **{f"_spans_{p}": union(p) for p in parts}})
-    df = S.hold(df, {"_found": f"concat({', '.join(listed(p, n) for p, n in parts.items())})"})
+    df = S.hold(df, {"_found": S.joined(*(listed(p, n) for p, n in parts.items()))})
     known = "array_distinct(transform(_found, f -> struct(f.label AS label, f.match AS match)))"
     df = S.hold(
-        df.drop(*[f"_{kind}_{p}" for kind in ("spans", "auto", "cred", "hand", "found", "secret") for p in parts]),
+        df.drop(*[f"_{kind}_{p}" for kind in ("spans", "auto", "cred", "hand") for p in parts]),
         {
             # few findings are compared with each other, many are sorted
             "_known": f"CASE WHEN size(_found) <= {S.RUN} THEN {known} ELSE cast(array() AS array<struct<label:string,match:string>>) END",
@@ -341,7 +345,7 @@ def prepare(
     df = S.hold(
         df.drop("_owners", "_taken", "_known"),
         {
-            "findings": f"CASE WHEN use_case = 'email' THEN concat(array({headers}), {scanned}) "
+            "findings": f"CASE WHEN use_case = 'email' THEN {S.joined(f'array({headers})', scanned)} "
             f"ELSE {scanned} END"
         },
     )

@@ -14,7 +14,7 @@ def _generators(df):
     return [line for line in plan.split("\n") if re.search(r"\bGenerate ", line)]
 
 
-@pytest.mark.parametrize("kind", ["detect", "mail"])
+@pytest.mark.parametrize("kind", ["detect", "mail", "prepare"])
 def test_no_pattern_is_searched_inside_a_generator(spark, kind):
     """Spark interprets generators, so what they hand on must have been computed below them."""
     spark.conf.set("spark.sql.maxPlanStringLength", "100000000")
