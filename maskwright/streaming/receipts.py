@@ -1,5 +1,8 @@
 """Review receipts as a stream of attempts: one state per receipt, kept for good.
 
+Python is called once for a bucket of tokens and a micro-batch, as a call costs far more than a receipt; the
+state of each receipt is an entry of its bucket's map, so a micro-batch reads and writes those of its own tokens only.
+
 An attempt has ``event_id``, ``occurred_at``, ``action``, ``token``, ``fingerprint`` and ``confirmed``,
 as in ``maskwright.operators.review``, whose results these are when attempts arrive in order. Within
 one micro-batch attempts are put in order; across micro-batches a decision stands once it is made,
@@ -11,12 +14,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from maskwright import fixed_values as V
 
+# Buckets of tokens. State is kept by bucket, so a stream that has begun keeps the number.
+BUCKETS = 4096
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
 _STATE = (
     "version bigint, issue_at bigint, issue_event string, issue_fingerprint string, "
     "use_at bigint, use_event string, use_action string"
@@ -37,6 +44,51 @@ def _advance(state: tuple, attempts: list[tuple], life: int) -> tuple:
     return version + 1, issue_at, issue_event, issue_print, use_at, use_event, use_action
 
 
+def use_maps(spark: SparkSession) -> None:
+    """Maps, lists and timers need the state store on disk; to be set before the first such stream starts."""
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def bucket(token: str = "token") -> Column:
+    return F.expr(f"pmod(hash({token}), {BUCKETS})").alias("bucket")
+
+
+class _Receipts(StatefulProcessor):
+    """The tokens of a bucket, each with its own state."""
+
+    def __init__(self, life: int) -> None:
+        self.life = life
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.states = handle.getMapState("receipts", "token string", _STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        any_before = self.states.exists()
+        before: dict[str, tuple] = {}
+        waiting: dict[str, list[tuple]] = {}
+        for frame in rows:
+            for token, *row in zip(*(frame[c] for c in ("token", "at", "event_id", "event", "action", "fingerprint")), strict=True):
+                if token not in before:
+                    known = self.states.getValue((token,)) if any_before else None
+                    before[token] = (0, None, None, None, None, None, None) if known is None else tuple(known)
+                # Only what may still decide is kept of a busy token.
+                state = before[token]
+                if state[4] is None and (state[1] is None or row[3] != "prepared"):
+                    waiting.setdefault(token, []).append(row)
+        changed = []
+        for token, attempts in waiting.items():
+            attempts.sort(key=lambda r: r[:2])
+            after = _advance(before[token], [(int(at), event, action, mark) for at, _, event, action, mark in attempts], self.life)
+            if after[1:] != before[token][1:]:
+                self.states.updateValue((token,), after)
+                changed.append((token, *after))
+        if changed:
+            yield pd.DataFrame(changed, columns=[c.split()[0] for c in CHANGES.split(", ")]).astype({"issue_at": "Int64", "use_at": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
 def receipt_changes(attempts: DataFrame, life_seconds: int = V.RECEIPT_LIFE_SECONDS) -> DataFrame:
     """The state of each receipt after each micro-batch that changed it (update mode); times in microseconds.
 
@@ -45,24 +97,11 @@ def receipt_changes(attempts: DataFrame, life_seconds: int = V.RECEIPT_LIFE_SECO
     """
     life = int(life_seconds) * 1_000_000
     order_type = dict(attempts.dtypes)["event_id"]
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get if state.exists else (0, None, None, None, None, None, None)
-        # Only what may still decide is kept of a busy token.
-        waiting = []
-        for frame in frames:
-            if before[4] is None:
-                rows = zip(frame["at"], frame["event_id"], frame["event"], frame["action"], frame["fingerprint"])
-                waiting += [r for r in rows if before[1] is None or r[3] != "prepared"]
-        waiting.sort(key=lambda r: r[:2])
-        after = _advance(before, [(int(at), event, action, mark) for at, _, event, action, mark in waiting], life)
-        if after[1:] != tuple(before)[1:]:
-            state.update(after)
-            yield pd.DataFrame([(key[0], *after)], columns=[c.split()[0] for c in CHANGES.split(", ")])
-
+    use_maps(attempts.sparkSession)
     rows = attempts.where("token IS NOT NULL AND (action IN ('prepared', 'discarded') OR (action = 'exported' AND confirmed))")
     return (
         rows.select(
+            bucket(),
             "token",
             F.unix_micros("occurred_at").alias("at"),
             F.col("event_id").cast(order_type).alias("event_id"),
@@ -70,8 +109,8 @@ def receipt_changes(attempts: DataFrame, life_seconds: int = V.RECEIPT_LIFE_SECO
             "action",
             "fingerprint",
         )
-        .groupBy("token")
-        .applyInPandasWithState(update, CHANGES, _STATE, "update", GroupStateTimeout.NoTimeout)
+        .groupBy("bucket")
+        .transformWithStateInPandas(_Receipts(life), CHANGES, "Update", "None")
     )
 
 
