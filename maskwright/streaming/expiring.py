@@ -2,7 +2,7 @@
 
 Two forms, both with a watermark that trails the newest attempt by the lateness:
 
-``closed_receipts`` keeps a state per open receipt and decides its attempts in order of time, however they
+``closed_receipts`` keeps what may still decide of each open receipt, by bucket of tokens, and decides its attempts in order of time, however they
 arrive within the lateness. A timer at the end of its life closes a receipt that nobody used.
 
 ``valid_exports`` joins the stream of prepared receipts with that of exports over the interval of a life. It is
@@ -14,54 +14,58 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from maskwright import fixed_values as V
+from maskwright.streaming.receipts import bucket, use_maps
 
 LATENESS = "10 minutes"
-_ISSUE = "at bigint, event string, fingerprint string"
-_ATTEMPT = "at bigint, rank bigint, event string, action string, fingerprint string"
+_ISSUE = "token string, at bigint, event string, fingerprint string"
+_ATTEMPT = "token string, at bigint, rank bigint, event string, action string, fingerprint string"
 CLOSED = "token string, issue_at bigint, issue_event string, issue_fingerprint string, use_at bigint, use_event string, use_action string"
-_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-def use_timers(spark: SparkSession) -> None:
-    """Timers and lists of state need the store on disk; to be set before the first such stream starts."""
-    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
-
-class _Receipt(StatefulProcessor):
-    """One token. ``issue`` is set once no earlier prepare can arrive; ``waiting`` holds, in order, the attempts that
-    may still decide: before that all of them, after it the first valid use alone."""
+class _Receipts(StatefulProcessor):
+    """The open receipts of a bucket of tokens, as a call of Python costs far more than a receipt. Of a token, the issue
+    is set once no earlier prepare can arrive; waiting are, in order, the attempts that may still decide: before
+    that all of them, after it the first valid use alone."""
 
     def __init__(self, life: int) -> None:
         self.life = life
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.issue = handle.getValueState("issue", _ISSUE)
+        self.issues = handle.getListState("issues", _ISSUE)
         self.waiting = handle.getListState("waiting", _ATTEMPT)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        waiting = list(self.waiting.get())
-        issue = self.issue.get() if self.issue.exists() else None
+        issues, waiting = self._open()
         for frame in rows:
-            columns = (frame[c] for c in ("at", "rank", "event", "action", "fingerprint"))
-            waiting += [(int(a), int(r), e, x, p) for a, r, e, x, p in zip(*columns, strict=True)]
-            waiting = self._useful(issue, waiting)
-        yield from self._settle(key, issue, waiting, timerValues.getCurrentWatermarkInMs())
+            columns = (frame[c] for c in ("token", "at", "rank", "event", "action", "fingerprint"))
+            for token, a, r, e, x, p in zip(*columns, strict=True):
+                mine = waiting.setdefault(token, [])
+                mine.append((int(a), int(r), e, x, p))
+                if token in issues and len(mine) > 64:  # a busy token
+                    waiting[token] = self._useful(issues[token], mine)
+        yield from self._settle(issues, waiting, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        issue = self.issue.get() if self.issue.exists() else None
-        yield from self._settle(key, issue, list(self.waiting.get()), timerValues.getCurrentWatermarkInMs())
+        yield from self._settle(*self._open(), timerValues.getCurrentWatermarkInMs())
+
+    def _open(self) -> tuple[dict[str, tuple], dict[str, list[tuple]]]:
+        issues = {token: tuple(issue) for token, *issue in self.issues.get()}
+        waiting: dict[str, list[tuple]] = {}
+        for token, *attempt in self.waiting.get():
+            waiting.setdefault(token, []).append(tuple(attempt))
+        return issues, waiting
 
     def close(self) -> None:
         pass
 
     def _useful(self, issue: tuple | None, waiting: list[tuple]) -> list[tuple]:
-        waiting = sorted((tuple(w) for w in waiting), key=lambda w: w[:2])
+        waiting = sorted(waiting, key=lambda w: w[:2])
         if issue is None:
             return waiting
         at, _, mark = issue
@@ -71,35 +75,43 @@ class _Receipt(StatefulProcessor):
         )
         return [w for w, _ in zip(valid, range(1), strict=False)]
 
-    def _settle(self, key, issue: tuple | None, waiting: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
+    def _settle(self, issues: dict[str, tuple], waiting: dict[str, list[tuple]], watermark: int) -> Iterator[pd.DataFrame]:
         """Decide what the watermark has passed, store the rest and ask to be called again."""
         now = watermark * 1000
-        waiting = self._useful(issue, waiting)
-        while issue is None and waiting and waiting[0][0] <= now:
-            at, _, event, action, mark = waiting.pop(0)
-            if action == "prepared":
-                issue = (at, event, mark)
-                self.issue.update(issue)
-                waiting = self._useful(issue, waiting)
-        use = None
-        if issue is not None:
-            if waiting and waiting[0][0] <= now:
-                use = (waiting[0][0], waiting[0][2], waiting[0][3])
-            elif issue[0] + self.life <= now:
-                use = (None, None, "expired")
-        if use is not None or (issue is None and not waiting):
-            self.issue.clear()
-            self.waiting.clear()
+        closed, open_issues, open_waiting, due = [], [], [], []
+        for token in {**issues, **waiting}:
+            issue = issues.get(token)
+            rest = self._useful(issue, waiting.get(token, []))
+            passed = 0
+            while issue is None and passed < len(rest) and rest[passed][0] <= now:
+                at, _, event, action, mark = rest[passed]
+                passed += 1
+                if action == "prepared":
+                    issue = (at, event, mark)
+            rest = self._useful(issue, rest[passed:]) if passed else rest
+            use = None
+            if issue is not None:
+                if rest and rest[0][0] <= now:
+                    use = (rest[0][0], rest[0][2], rest[0][3])
+                elif issue[0] + self.life <= now:
+                    use = (None, None, "expired")
             if use is not None:
-                names = [c.split()[0] for c in CLOSED.split(", ")]
-                yield pd.DataFrame([(key[0], *issue, *use)], columns=names).astype({"use_at": "Int64"})
-            return
-        if waiting:
-            self.waiting.put(waiting)
-        else:
-            self.waiting.clear()
-        due = min([w[0] for w in waiting[:1]] + ([issue[0] + self.life] if issue is not None else []))
-        self.handle.registerTimer(max(watermark + 1, -(-due // 1000) - 1))
+                closed.append((token, *issue, *use))
+                continue
+            if issue is not None:
+                open_issues.append((token, *issue))
+                due.append(issue[0] + self.life)
+            open_waiting += [(token, *w) for w in rest]
+            due += [w[0] for w in rest[:1]]
+        for state, rows in ((self.issues, open_issues), (self.waiting, open_waiting)):
+            if rows:
+                state.put(rows)
+            else:
+                state.clear()
+        if due:
+            self.handle.registerTimer(max(watermark + 1, -(-min(due) // 1000) - 1))
+        if closed:
+            yield pd.DataFrame(closed, columns=[c.split()[0] for c in CLOSED.split(", ")]).astype({"use_at": "Int64"})
 
 
 def closed_receipts(
@@ -112,14 +124,14 @@ def closed_receipts(
     once the watermark has passed it, and its state goes then. A token that is prepared again after that gives
     another row: ``first_receipts`` keeps the first. Attempts that decide nothing are left out before the shuffle.
     """
-    use_timers(attempts.sparkSession)
+    use_maps(attempts.sparkSession)
     rows = attempts.where("token IS NOT NULL AND (action IN ('prepared', 'discarded') OR (action = 'exported' AND confirmed))")
     rows = rows.withWatermark("occurred_at", lateness).select(
-        "token", "occurred_at", F.unix_micros("occurred_at").alias("at"), F.col("event_id").cast("long").alias("rank"),
+        bucket(), "token", "occurred_at", F.unix_micros("occurred_at").alias("at"), F.col("event_id").cast("long").alias("rank"),
         F.col("event_id").cast("string").alias("event"), "action", "fingerprint",
     )
-    return rows.groupBy("token").transformWithStateInPandas(
-        _Receipt(int(life_seconds) * 1_000_000), CLOSED, "Append", "EventTime"
+    return rows.groupBy("bucket").transformWithStateInPandas(
+        _Receipts(int(life_seconds) * 1_000_000), CLOSED, "Append", "EventTime"
     )
 
 

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 import pandas as pd
 
-from maskwright.streaming import receipts
+from maskwright.streaming import expiring, receipts
 
 T0 = datetime(2024, 5, 1)
 ATTEMPT = "event_id bigint, occurred_at timestamp, action string, token string, fingerprint string, confirmed boolean"
@@ -14,7 +14,7 @@ def test_tokens_of_a_bucket_are_decided_in_one_call(spark, tmp_path):
     rows = [(k, T0 + timedelta(seconds=k), "prepared", f"t{k}", "1", None) for k in range(9)]
     spark.createDataFrame(rows, ATTEMPT).write.parquet(str(tmp_path / "a"))
     stream = spark.readStream.schema(ATTEMPT).parquet(str(tmp_path / "a"))
-    for keyed in (receipts.receipt_changes(stream),):
+    for keyed in (receipts.receipt_changes(stream), expiring.closed_receipts(stream)):
         plan = keyed._jdf.queryExecution().analyzed().toString()
         node = next(line for line in plan.split("\n") if "StateInP" in line or "TransformWithState" in line)
         assert "(bucket#" in node
