@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,14 +22,96 @@ CAPACITY = 2048
 END = 1
 #: Expected pieces of a group.
 GROUP = 20_000
-# Entries of a task's word cache; at this size it is emptied.
+# Entries of a task's word cache; once half of them are new or were asked for again, the others are forgotten.
 CACHE = 400_000
-
-# A text without these is cut at white space into parts that are tokenized each by itself.
-_PART = re.compile(r"[^ \n\t\r]+")
-# Words of letters that every library lower-cases alike, digits one by one, and runs of other ASCII signs.
-_SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
-_PLAIN = re.compile(r"[\n\r\t !-&(-~À-ÖØ-öø-ÿ]*")
+# Longer words are not kept, so that the cache stays small with texts that have no spaces.
+LONGEST = 64
+# Bytes of text cut into words at once; a longer text goes alone.
+CHUNK = 1 << 22
+# Words that go through the tokenizer in one call.
+CALL = 2000
+
+# Kinds of bytes: a word ends where the kind changes; white space is in no word, a byte of kind ALONE is one.
+_SPACE, _LETTER, _SIGN, _ALONE = range(4)
+_WHITE = b" \n\t\r"
+# Texts in these Latin-1 characters, whose letters every library lower-cases alike: words of letters,
+# digits one by one, and runs of other ASCII signs; not the apostrophe, which the tokenizer takes with letters.
+_LETTERS = re.sub(rb"[^A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]", b"", bytes(range(256)))
+_SIGNS = re.sub(rb"[^!-&(-/:-@\[-`{-~]", b"", bytes(range(256)))
+_DIGITS = b"0123456789"
+_PLAIN = _WHITE + _LETTERS + _SIGNS + _DIGITS
+_LOWER = bytes(range(256)).decode("latin-1").lower().encode("latin-1")
+
+
+def _kinds(of: dict[int, bytes], other: int) -> bytes:
+    kinds = bytearray([other] * 256)
+    for kind, some in of.items():
+        for c in some:
+            kinds[c] = kind
+    return bytes(kinds)
+
+
+_SIMPLE_WORDS = _kinds({_SPACE: _WHITE, _LETTER: _LETTERS, _ALONE: _DIGITS}, other=_SIGN)
+_PARTS = _kinds({_SPACE: _WHITE}, other=_LETTER)
+
+
+def _plain(text: str) -> bytes | None:
+    """A text in simple letters as lower-case Latin-1; None for others."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return None if data.translate(None, _PLAIN) or b"<|" in data else data.translate(_LOWER)
+
+
+def _cut(texts: list[bytes], kinds: bytes) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts in order, and how many there are up to the end of each text."""
+    data = b"\n".join([b"", *texts, b""])
+    kind = np.frombuffer(data.translate(kinds), dtype=np.uint8)
+    inside = kind != _SPACE
+    change = kind[1:] != kind[:-1]
+    change |= kind[1:] == _ALONE
+    start, end = np.flatnonzero(change & inside[1:]), np.flatnonzero(change & inside[:-1])
+    upto = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
+    offsets = np.zeros(len(start) + 1, dtype=np.int64)
+    np.cumsum(end - start, out=offsets[1:])
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data.translate(None, _WHITE))]
+    return pa.Array.from_buffers(pa.large_binary(), len(start), buffers).dictionary_encode(), upto
+
+
+class Words:
+    """Token ids of texts word by word; only words that are not in the cache go to ``learn``."""
+
+    def __init__(self, kinds: bytes, learn: Callable[[list[bytes]], list[bytes]]):
+        self.kinds, self.learn = kinds, learn
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def look_up(self, words: list[bytes]) -> list[bytes]:
+        found = list(map(self.recent.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        for k in missing:
+            found[k] = self.older.get(words[k])
+        new = [k for k in missing if found[k] is None]
+        for k, ids in zip(new, self.learn([words[k] for k in new]), strict=True):
+            found[k] = ids
+        self.recent.update((words[k], found[k]) for k in missing if len(words[k]) <= LONGEST)
+        if len(self.recent) > CACHE // 2:
+            self.older, self.recent = self.recent, {}
+        return found
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        words, upto = _cut(texts, self.kinds)
+        if not len(words):  # texts without a word, or no texts
+            return [b""] * len(texts)
+        ids = pa.array(self.look_up(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int64)[upto].tolist()
+        view = memoryview(data or b"")
+        return [bytes(view[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def numbered(self, rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+        return zip([k for k, _ in rows], self.ids([text for _, text in rows]), strict=True)
 
 
 class Tokens:
@@ -38,7 +120,7 @@ class Tokens:
     White space never joins or changes words there, so ids are kept per word: a text in simple letters
     is cut into words by the same rule as the tokenizer's, and only new words go through it, many at
     once, set apart by spaces; a word ends at a token with an end mark. Other texts are cut at white
-    space only.
+    space only. Many texts are cut and looked up at once, each of their words one time.
     """
 
     def __init__(self, path: str):
@@ -51,42 +133,45 @@ class Tokens:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.simple: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _learn_simple(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) != len(some) or (len(ids) and last[-1] != len(ids)):
-                self._learn_parts(some, self.simple)
+        self.simple = Words(_SIMPLE_WORDS, self._learn_simple)
+        self.parts = Words(_PARTS, lambda words: self._learn([w.decode() for w in words]))
+
+    def _learn_simple(self, words: list[bytes]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), CALL):
+            some = words[at : at + CALL]
+            text = b" ".join(some).decode("latin-1")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            last = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(last) != len(some) or last[-1] != 4 * len(ids):
+                out += self._learn([w.decode("latin-1") for w in some])
                 continue
-            first = np.concatenate([[0], last[:-1]])
-            for w, a, b in zip(some, first.tolist(), last.tolist(), strict=True):
-                self.simple[w] = ids[a:b].tobytes()
-
-    def _learn_parts(self, words: list[str], into: dict[str, bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            into[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """The ids of a whole text as little-endian unsigned 32-bit numbers."""
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            words, known = _SIMPLE.findall(text.lower()), self.simple
-            missing = [w for w in set(words) if w not in known]
-            if missing:
-                self._learn_simple(sorted(missing))
-        else:
-            words, known = _PART.findall(text), self.parts
-            missing = [w for w in set(words) if w not in known]
-            if missing:
-                self._learn_parts(sorted(missing), known)
-        out = b"".join([known[w] for w in words])
-        if len(known) > CACHE:
-            known.clear()
+            data, last = ids.tobytes(), last.tolist()
+            out += [data[a:b] for a, b in zip([0, *last[:-1]], last, strict=True)]
+        return out
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), CALL):
+            encoded = self.tokenizer.encode_batch_fast(words[at : at + CALL], add_special_tokens=False)
+            out += [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
         return out
 
+    def ids(self, texts: Iterable[str | None]) -> Iterator[tuple[int, bytes]]:
+        """The place of each text and its ids, as little-endian unsigned 32-bit numbers; in any order."""
+        waiting: dict[Words, list[tuple[int, bytes]]] = {self.simple: [], self.parts: []}
+        size = {self.simple: 0, self.parts: 0}
+        for k, text in enumerate(texts):
+            data = _plain(text or "")
+            words, data = (self.parts, text.encode()) if data is None else (self.simple, data)
+            if waiting[words] and size[words] + len(data) > CHUNK:
+                yield from words.numbered(waiting[words])
+                waiting[words], size[words] = [], 0
+            waiting[words].append((k, data))
+            size[words] += len(data)
+        for words, rows in waiting.items():
+            yield from words.numbered(rows)
+
 
 _READY: dict[str, Tokens] = {}
 
@@ -127,8 +212,8 @@ def pieces(
         tokens = tokens_of(path)
         for batch in batches:
             row, start, length, crc, total, ids = [], [], [], [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                data = (tokens.ids(text) if text else b"") + tail
+            for k, data in tokens.ids(text.as_py() for text in batch.column(1)):
+                data += tail
                 for at in range(0, len(data), 4 * capacity):
                     part = data[at : at + 4 * capacity]
                     row.append(k)

@@ -433,6 +433,58 @@ def test_packing_edges(spark, tokenizer):
     assert packing.pack(packing.pieces(empty(spark), tokenizer, with_ids=False)).count() == 0
 
 
+class CountingTokenizer:
+    """A tokenizer that notes how many calls and texts it gets, and the words in them."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls, self.words = tokenizer, 0, Counter()
+
+    def encode(self, text, **how):
+        self.calls += 1
+        self.words.update(text.split())
+        return self.tokenizer.encode(text, **how)
+
+    def encode_batch_fast(self, texts, **how):
+        self.calls += 1
+        for text in texts:
+            self.words.update(text.split())
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+def test_packing_tokenizes_many_texts_at_once(tokenizer, monkeypatch):
+    """New words of many texts go through the tokenizer in one call, and words in use are not forgotten."""
+    monkeypatch.setattr(packing, "CACHE", 2_000)
+    monkeypatch.setattr(packing, "CHUNK", 20_000)
+    tokens = packing.Tokens(tokenizer)
+    reference, tokens.tokenizer = tokens.tokenizer, CountingTokenizer(tokens.tokenizer)
+    spell = str.maketrans("0123456789", "abcdefghij")
+    for often, sign in (("the and of", "!"), ("den\u00a0und \u4e16", "\u2013")):
+        texts = [f"{often} {str(10_000 + k).translate(spell)} {often}{sign}" for k in range(6_000)]
+        tokens.tokenizer.calls, tokens.tokenizer.words = 0, Counter()
+        got = dict(tokens.ids(texts))
+        for k in range(0, len(texts), 97):
+            want = reference.encode(texts[k], add_special_tokens=False).ids
+            assert got[k] == np.array(want, dtype="<u4").tobytes()
+        assert len(got) == len(texts)
+        assert tokens.tokenizer.calls < len(texts) // 20
+        assert max(tokens.tokenizer.words[w] for w in often.split()) <= 3
+
+
+def test_packing_cuts_words_like_the_tokenizer(tokenizer):
+    """Random texts of all kinds of characters, cut in chunks, have the ids the tokenizer gives whole texts."""
+    rng = np.random.default_rng(5)
+    latin = [chr(c) for c in range(32, 256) if not 127 <= c < 160]
+    odd = [*"\t\n\r\x0b\x0c\x1c\x85\u00a0\u2003\u0301\u0130\u03a3\u03c2\u4e16\u754c\U0001f600\ufb01", "<|", "|>", "<|endoftext|>", "'s", "'LL"]
+    texts = ["", None, " ", "\n", "12 3", "a", "--", "\u00c0\u00d6\u00d7\u00d8\u00de\u00df\u00b5\u00aa\u00f7\u00ff"]
+    for some in (latin, latin[:95], [*"abcXYZ \u00e9\u00c9 19.,-\n"], latin[:95] + odd):
+        texts += ["".join(rng.choice(some, n)) for n in rng.integers(0, 60, 400)]
+    tokens = packing.Tokens(tokenizer)
+    got = dict(tokens.ids(texts))
+    for k, text in enumerate(texts):
+        ids = tokens.tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert got[k] == np.array(ids, dtype="<u4").tobytes(), text
+
+
 def test_packing_of_repeated_rows(spark, tokenizer):
     """A row repeated very often fills no group: no more copies in one than half a group holds."""
     rows = [(7, "one text for all of them")] * 3000 + [(k, f"text number {k} of its own") for k in range(100, 300)] + [(None, "no id")] * 50
