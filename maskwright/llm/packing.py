@@ -228,6 +228,7 @@ def pieces(
                 if with_ids:
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
