@@ -87,7 +87,7 @@ def _filter(keyed: DataFrame) -> tuple[DataFrame, int]:
         words *= 2
     places = ", ".join(f"struct(cast({word} AS long) AS id, shiftleft(1L, {bit}) AS bit)" for word, bit in _places("fragment", words))
     filled = keyed.select(F.expr(f"inline(array({places}))")).groupBy("id").agg(F.bit_or("bit").alias("word"))
-    every = keyed.sparkSession.range(words).join(filled, "id", "left").select(F.struct("id", F.coalesce("word", F.lit(0)).alias("word")).alias("w"))
+    every = keyed.sparkSession.range(words).join(filled.hint("merge"), "id", "left").select(F.struct("id", F.coalesce("word", F.lit(0)).alias("word")).alias("w"))
     return every.agg(F.expr("transform(array_sort(collect_list(w)), w -> w.word)").alias("words")), words
 
 
@@ -135,9 +135,10 @@ def by_fragment(texts: DataFrame, staff: DataFrame, small: bool) -> DataFrame:
             )
         ),
     )
-    # Each needle is looked up by the one fragment that fewest other needles share.
+    # Each needle is looked up by the one fragment that fewest other needles share. Spark would take a directory for as
+    # small as its compressed file and collect its fragments on the driver to broadcast them; hints keep it from that.
     shared = pieces.groupBy("fragment").agg(F.count("*").alias("owners"))
-    keyed = pieces.join(shared, "fragment").groupBy("low", "_n").agg(F.min_by("fragment", F.struct("owners", "fragment")).alias("fragment"))
+    keyed = pieces.join(shared.hint("merge"), "fragment").groupBy("low", "_n").agg(F.min_by("fragment", F.struct("owners", "fragment")).alias("fragment"))
     keyed = written(keyed, "needles")
     widths = [r[0] for r in keyed.select(F.expr(width)).distinct().collect()]  # 1 … FRAGMENT
     if small:
@@ -148,13 +149,14 @@ def by_fragment(texts: DataFrame, staff: DataFrame, small: bool) -> DataFrame:
         # share candidates, and each candidate is looked for in its text.
         texts = texts.withColumn("_key", F.xxhash64("_text"))
         fragments = fragment_candidates(texts, keyed, widths)
-        candidates = texts.join(fragments.join(keyed, "fragment").select("_key", "low", "_n").distinct(), "_key").drop("_key")
+        known = fragments.join(keyed.hint("merge"), "fragment").select("_key", "low", "_n").distinct()
+        candidates = texts.join(known.hint("merge"), "_key").drop("_key")
     hits = (
         candidates.withColumn("start", F.expr("locate(low, lower(_text)) - 1"))
         .where("start >= 0")
         .withColumn("end", F.expr("start + _n"))
     )
-    return _without_text(hits).join(F.broadcast(people) if small else people, ["low", "_n"])
+    return _without_text(hits).join(F.broadcast(people) if small else people.hint("merge"), ["low", "_n"])
 
 
 def fold_mentions(found: DataFrame) -> DataFrame:

@@ -35,6 +35,20 @@ def test_people_who_share_a_name_are_searched_for_once(spark, monkeypatch):
         assert keyed and keyed[0].count() == 41  # one name and forty addresses
 
 
+def test_a_large_directory_is_not_broadcast(spark, monkeypatch):
+    """What the route of a large directory joins is never collected on the driver, however small its file looks."""
+    staff = spark.range(40).selectExpr("id AS staff_ord", "'Greta Holm' AS name", "'p' || id || '@in.example' AS email", "'r' AS role")
+    texts = spark.range(30).selectExpr("id AS message_id", "IF(id % 3 = 0, 'ask GRETA holm ', 'nobody ') || id AS _text")
+    keyed = []
+    stored = directory.written
+    monkeypatch.setattr(directory, "written", lambda df, name: keyed.append(df) or stored(df, name))
+    spark.conf.set("spark.sql.maxPlanStringLength", "100000000")
+    found = directory.by_fragment(texts, staff, False)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (*keyed, found)]
+    assert len(plans) == 2 and not any("Broadcast" in plan for plan in plans)
+    assert found.count() == 400
+
+
 def test_candidates_are_not_moved_to_find_the_first_issue(spark):
     """The whole candidate is shuffled by the join alone; equal rows and ties count as one, a null time comes first."""
     rows = [("a", 5, "x"), ("a", 3, "y"), ("a", 3, "y"), ("b", 4, "z"), ("b", None, "w"), ("c", 1, "v")]
