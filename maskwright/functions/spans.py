@@ -29,6 +29,9 @@ RUN = 128
 # has gathered, which costs far more than a few look-ups.
 FEW = 16
 
+# Up to so many matches of a rule, or spans of a text, are handled by expressions without a lambda, which Spark compiles.
+SPELLED = 4
+
 # Code points of a piece of a text that is cut very often, and the larger pieces on the way there.
 CHUNK = 1 << 8
 _SIZES = (1 << 22, 1 << 15, CHUNK)
@@ -120,10 +123,25 @@ def find_all(
     With ``groups`` the pattern is one group followed by another: the first is consumed but stays
     outside the span, the second is the span. ``guard`` is a cheap condition that every text with a
     match meets.
+    """
+    # a text without a match stays out of the interpreted part
+    tests, cuts = _cuts(text, pattern, groups, guard)
+    return f"CASE WHEN {tests} THEN {bind('pieces', cuts, placed('pieces', label))} ELSE {NO_SPANS} END"
+
+
+def pieces(text: str, pattern: str, *, groups: tuple[int, int] | None = None, guard: str | None = None) -> str:
+    """What :func:`placed` makes spans of; null, or the whole text, without a match. Held as a column of its own, it is
+    compiled as the spans are. Few texts that meet a guard have no match, so these are not searched twice."""
+    tests, cuts = _cuts(text, pattern, groups, guard)
+    return f"CASE WHEN {guard or tests} THEN {cuts} END"
+
+
+def _cuts(text: str, pattern: str, groups: tuple[int, int] | None, guard: str | None) -> tuple[str, str]:
+    """When there is a match, and the text cut around all of them.
 
     One pass of the regex engine wraps each match in marks; cutting at the marks gives gap, match,
     gap, …, match, gap, and a running length gives the offsets. A text that already holds the mark
-    takes a two-pass route instead.
+    takes a two-pass route instead, which leaves a null at the end.
     """
     rx = regex_literal(pattern)
     before, inside = groups or (None, 0)
@@ -135,27 +153,34 @@ def find_all(
         f"flatten(transform(arrays_zip(split({text}, {rx}, -1), {lead}, {hit}), "
         "z -> array(concat_ws('', z.`0`, z.`1`), z.`2`)))"
     )
+    tests = " AND ".join([*([guard] if guard else []), f"rlike({text}, {rx})"])
+    return tests, f"CASE WHEN contains({text}, '{MARK}') THEN {two_pass} ELSE {one_pass} END"
+
+
+def placed(pieces: str, label: str) -> str:
+    """Spans from ``pieces``, which may be null. Up to ``SPELLED`` matches are written out, so that they are compiled."""
     offsets = fold(
-        "pieces",
+        pieces,
         "named_struct('at', 0, 'hit', false)",
         SPANS,
         lambda s, x: f"named_struct('at', {s}.at + length({x}), 'hit', NOT {s}.hit)",
         lambda s, x: f"CASE WHEN {s}.hit AND {x} IS NOT NULL THEN "
         f"array({span(f'{s}.at', f'{s}.at + length({x})', repr(label))}) ELSE {NO_SPANS} END",
     )
-    # gap, match, …, gap, after the second route with a null at the end
-    one = span("length(pieces[0])", "length(pieces[0]) + length(pieces[1])", repr(label))
-    front = "length(concat_ws('', slice(pieces, 1, {})))"
-    few = f"transform(sequence(1, size(pieces) - 2, 2), i -> {span(front.format('i'), front.format('i + 1'), repr(label))})"
-    found = bind(
-        "pieces",
-        f"CASE WHEN contains({text}, '{MARK}') THEN {two_pass} ELSE {one_pass} END",
-        f"CASE WHEN size(pieces) > 2 * {FEW} + 2 THEN {offsets} WHEN size(pieces) > 4 THEN {few} "
-        f"WHEN size(pieces) > 2 THEN array({one}) ELSE {NO_SPANS} END",
+
+    def ends(n: int) -> str:
+        return " + ".join(f"length(get({pieces}, {k}))" for k in range(n))
+
+    spelled = " ".join(
+        f"WHEN size({pieces}) <= {2 * n + 2} THEN array({', '.join(span(ends(2 * k + 1), ends(2 * k + 2), repr(label)) for k in range(n))})"
+        for n in range(1, SPELLED + 1)
+    )
+    front = f"length(concat_ws('', slice({pieces}, 1, {{}})))"
+    few = f"transform(sequence(1, size({pieces}) - 2, 2), i -> {span(front.format('i'), front.format('i + 1'), repr(label))})"
+    return (
+        f"CASE WHEN {pieces} IS NULL OR size({pieces}) < 3 THEN {NO_SPANS} {spelled} "
+        f"WHEN size({pieces}) <= 2 * {FEW} + 2 THEN {few} ELSE {offsets} END"
     )
-    # a text without a match stays out of the interpreted part
-    tests = " AND ".join([*([guard] if guard else []), f"rlike({text}, {rx})"])
-    return f"CASE WHEN {tests} THEN {found} ELSE {NO_SPANS} END"
 
 
 def is_valid(spans: str, text: str) -> str:
@@ -163,21 +188,57 @@ def is_valid(spans: str, text: str) -> str:
     return f"forall({spans}, v -> v.start >= 0 AND v.start < v.end AND v.end <= length({text}))"
 
 
+def _key(s: str) -> str:
+    """What decides the label of a joined span: the least one gives it."""
+    return (
+        f"named_struct('plain', {s}.label <> 'secret', 'size', {s}.start - {s}.end, "
+        f"'start', {s}.start, 'label', {s}.label)"
+    )
+
+
 def merge(spans: str) -> str:
     """Join overlapping spans into disjoint ones that cover the same characters.
 
     Spans that only touch stay apart. A joined span takes the label of its strongest member: a
     secret first, then the longest, then the earliest, then the label that sorts first.
     """
+    return f"CASE WHEN size({spans}) > 1 THEN {bind('sorted', f'sort_array({spans})', _merged())} ELSE {spans} END"
+
+
+def merge_sorted(spans: str) -> str:
+    """What :func:`merge` gives for a column of sorted spans; a few of them need no lambda."""
+
+    def at(k: int) -> str:
+        return f"get({spans}, {k})"
+
+    def most(ends: list[str]) -> str:
+        return ends[0] if len(ends) == 1 else f"greatest({', '.join(ends)})"
+
+    def joined_span(members: list[int]) -> str:
+        if len(members) == 1:
+            return at(members[0])
+        keys = ", ".join(_key(at(k)) for k in members)
+        return span(f"{at(members[0])}.start", most([f"{at(k)}.end" for k in members]), f"least({keys}).label")
+
+    def spelled(n: int, k: int, done: list[list[int]], members: list[int]) -> str:
+        if k == n:
+            return f"array({', '.join(map(joined_span, [*done, members]))})"
+        over = f"{at(k)}.start < {most([f'{at(m)}.end' for m in members])}"
+        return f"CASE WHEN {over} THEN {spelled(n, k + 1, done, [*members, k])} ELSE {spelled(n, k + 1, [*done, members], [k])} END"
+
+    apart = " AND ".join(f"(size({spans}) <= {k} OR {at(k)}.start >= {at(k - 1)}.end)" for k in range(1, 2 * SPELLED))
+    cases = " ".join(f"WHEN size({spans}) = {n} THEN {spelled(n, 1, [], [0])}" for n in range(2, SPELLED + 1))
+    return (
+        f"CASE WHEN size({spans}) <= 1 THEN {spans} WHEN size({spans}) <= {2 * SPELLED} AND {apart} THEN {spans} {cases} "
+        f"ELSE {bind('sorted', spans, _merged())} END"
+    )
+
+
+def _merged() -> str:
+    """The merge of two or more spans, bound to ``sorted``."""
     key_type = "struct<plain:boolean,size:int,start:int,label:string>"
     state_type = f"struct<start:int,end:int,best:{key_type}>"
 
-    def key(s: str) -> str:
-        return (
-            f"named_struct('plain', {s}.label <> 'secret', 'size', {s}.start - {s}.end, "
-            f"'start', {s}.start, 'label', {s}.label)"
-        )
-
     def fresh(s: str, x: str) -> str:
         return f"({s}.end IS NULL OR {x}.start >= {s}.end)"
 
@@ -185,10 +246,10 @@ def merge(spans: str) -> str:
         return f"array({span(f'{s}.start', f'{s}.end', f'{s}.best.label')})"
 
     def next_state(s: str, x: str) -> str:
-        opened = f"named_struct('start', {x}.start, 'end', {x}.end, 'best', {key(x)})"
+        opened = f"named_struct('start', {x}.start, 'end', {x}.end, 'best', {_key(x)})"
         grown = (
             f"named_struct('start', {s}.start, 'end', greatest({s}.end, {x}.end), "
-            f"'best', least({s}.best, {key(x)}))"
+            f"'best', least({s}.best, {_key(x)}))"
         )
         return (
             f"CASE WHEN {fresh(s, x)} THEN {opened} ELSE {grown} END"
@@ -196,7 +257,7 @@ def merge(spans: str) -> str:
 
     # A span begins a cluster unless one in front of it reaches over its start.
     heads = "filter(sequence(0, size(sorted) - 1), i -> NOT exists(slice(sorted, 1, i), p -> p.end > sorted[i].start))"
-    one = span("members[0].start", "array_max(members.end)", f"array_min(transform(members, m -> {key('m')})).label")
+    one = span("members[0].start", "array_max(members.end)", f"array_min(transform(members, m -> {_key('m')})).label")
     cluster = bind(
         "members",
         "slice(sorted, h + 1, coalesce(get(heads, k + 1), size(sorted)) - h)",
@@ -213,12 +274,7 @@ def merge(spans: str) -> str:
         f"concat(acc.out, {closed('acc.state')})",
     )
     apart = "forall(sequence(1, size(sorted) - 1), i -> sorted[i].start >= sorted[i - 1].end)"
-    merged = bind(
-        "sorted",
-        f"sort_array({spans})",
-        f"CASE WHEN {apart} THEN sorted WHEN size(sorted) <= {FEW} THEN {few} ELSE {many} END",
-    )
-    return f"CASE WHEN size({spans}) > 1 THEN {merged} ELSE {spans} END"
+    return f"CASE WHEN {apart} THEN sorted WHEN size(sorted) <= {FEW} THEN {few} ELSE {many} END"
 
 
 def covered(spans: str) -> str:
@@ -268,6 +324,14 @@ def redact(text: str, spans: str, replacement: Callable[[str], str]) -> str:
     )
 
 
+def redact_few(text: str, spans: str, first: str, n: int, replacement: Callable[[str], str]) -> str:
+    """``text`` with ``n`` spans of an ordered, disjoint array replaced, from the place ``first`` on, without a lambda."""
+    items = [f"get({spans}, {first} + {k})" for k in range(n)]
+    ends = ["0", *(f"{x}.end" for x in items)]
+    parts = ", ".join(f"{cut(text, end, f'{x}.start')}, {replacement(x)}" for end, x in zip(ends, items, strict=False))
+    return f"concat_ws('', {parts}, {cut(text, ends[-1], f'length({text})')})"
+
+
 def count_by_label(spans: str) -> str:
     """``map<label, count>`` of a span array."""
     return bind(

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from maskwright import fixed_values as V
 from maskwright.functions import spans as S
 from maskwright.functions.regex import WORD
+from maskwright.operators.detect import beyond_ascii
 from maskwright.operators.detect import rule_spans as detect_rule
 
 _EOL = r"(?:\r\n|\r|\n)"
@@ -67,25 +68,39 @@ PATTERNS = {
 
 
 def _guard(rule: str, text: str) -> str:
-    colon, equals = f"contains({text}, ':')", f"contains({text}, '=')"
+    low, colon, equals = f"lower({text})", f"contains({text}, ':')", f"contains({text}, '=')"
+
+    def named(*names: str) -> str:
+        # letters outside ASCII may match as well
+        return f"({beyond_ascii(text)} OR {' OR '.join(f'contains({low}, {name!r})' for name in names)})"
+
+    keys = named("key", "token", "passw", "secret")
     return {
-        "assignment": f"({colon} OR {equals})",
-        "block": f"({colon} AND (contains({text}, '|') OR contains({text}, '>')))",
-        "header": colon,
+        "assignment": f"({colon} OR {equals}) AND {keys}",
+        "block": f"{colon} AND (contains({text}, '|') OR contains({text}, '>')) AND {keys}",
+        "header": f"{colon} AND {named('authorization', 'cookie')}",
         "private_key": f"contains({text}, 'PRIVATE KEY-----')",
     }[rule]
 
 
+def _rule(text: str, rule: str) -> dict:
+    pattern, group = PATTERNS[rule]
+    return {"pattern": pattern, "groups": (1, group), "guard": _guard(rule, text)}
+
+
 def rule_spans(text: str, rule: str) -> str:
     """All matches of one credential rule as a SQL expression."""
-    pattern, group = PATTERNS[rule]
-    return S.find_all(text, pattern, "secret", groups=(1, group), guard=_guard(rule, text))
+    return S.find_all(text, label="secret", **_rule(text, rule))
+
+
+def rule_pieces(text: str, rule: str) -> str:
+    """The text cut around the matches of one credential rule, null without any. To be held as a column."""
+    return S.pieces(text, **_rule(text, rule))
 
 
-def raw_spans(text: str, shaped: str | None = None) -> str:
-    """Matches of every credential rule, unmerged. ``shaped`` are those of the detector's secret rule, where they
-    are known already."""
-    return S.joined(shaped or detect_rule(text, "secret"), *(rule_spans(text, rule) for rule in PATTERNS))
+def raw_spans(text: str) -> str:
+    """Matches of every credential rule, unmerged."""
+    return S.joined(detect_rule(text, "secret"), *(rule_spans(text, rule) for rule in PATTERNS))
 
 
 def credential_spans(text: str) -> str:

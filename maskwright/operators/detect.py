@@ -12,11 +12,11 @@ from maskwright import fixed_values as V
 from maskwright.functions import spans as S
 from maskwright.functions.regex import BOUNDARY, DIGIT, WORD, to_java
 
-# First characters a match can begin with. Testing one character before looking behind keeps the
+# First characters a match can begin with. Testing them before looking behind keeps the
 # regex engine off its slow path at most positions. They never reject a match.
 _FIRST = {
     "secret": "[sgaxbtpSGAXBTP\u017f]",
-    "account": f"[A-Z{DIGIT}]",
+    "account": f"[A-Z{DIGIT}][A-Z{DIGIT} -]{{8}}",
     "phone": rf"[+({DIGIT}]",
     "date": f"[JFMASOND{DIGIT}]",
     "address": DIGIT,
@@ -41,28 +41,55 @@ def _java(name: str, pattern: str) -> str:
 JAVA_RULES = {name: (label, _java(name, pattern)) for name, label, pattern in V.RULES}
 
 
+# Shapes that stand in every ASCII text with a match of the rule; a scan for them stops at most places after a character.
+_BLANK = r"[\s\x1C-\x1F]"
+_SHAPES = {
+    "account": "[A-Z0-9][A-Z0-9 -]{8}",
+    "phone": r"[0-9](?:\)[\s\x1C-\x1F.-]?|[\s\x1C-\x1F.-])[0-9]{3,4}[\s\x1C-\x1F.-]?[0-9]{3}",
+    "date": "[0-9][-/][0-9]",
+    "address": f"[0-9]{_BLANK}+[A-Z]",
+}
+_MONTH = "(?=[JFMASOND])(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+
+
+def beyond_ascii(text: str) -> str:
+    return f"octet_length({text}) > length({text})"
+
+
 def _guard(name: str, text: str) -> str | None:
-    digits = f"rlike({text}, {S.regex_literal(DIGIT)})"
+    """A condition that every text with a match of the rule meets. Shapes and lower case are tests for ASCII: digits,
+    blanks and letters outside it (``ſ``, the Kelvin sign) match as well."""
+    if name == "secret":
+        low = f"lower({text})"
+        keys = " OR ".join(f"contains({low}, '{k}')" for k in ("key", "token", "passw", "secret"))
+        shapes = " OR ".join(f"contains({low}, '{k}')" for k in ("sk-", "ghp_", "akia", "xox", "bearer"))
+        return f"({beyond_ascii(text)} OR ((contains({text}, ':') OR contains({text}, '=')) AND ({keys})) OR {shapes})"
+    if name in _SHAPES:
+        shapes = [f"rlike({text}, {S.regex_literal(x)})" for x in (_SHAPES[name], *([_MONTH] if name == "date" else []))]
+        digits = f"rlike({text}, {S.regex_literal(DIGIT)})"
+        return f"CASE WHEN {beyond_ascii(text)} THEN {digits} ELSE {' OR '.join(shapes)} END"
     return {
-        "account": digits,
         "email": f"contains({text}, '@')",
-        "phone": digits,
         "url": f"contains({text}, '://')",
-        "date": digits,
-        "address": digits,
     }.get(name)
 
 
+def _rule(text: str, rule: str, guards: bool) -> dict:
+    return {
+        "pattern": JAVA_RULES[rule][1],
+        "groups": (1, 2) if rule == "person_hint" else None,
+        "guard": _guard(rule, text) if guards else None,
+    }
+
+
 def rule_spans(text: str, rule: str, *, guards: bool = True) -> str:
     """All matches of one rule, unmerged, as a SQL expression over the SQL expression ``text``."""
-    label, pattern = JAVA_RULES[rule]
-    return S.find_all(
-        text,
-        pattern,
-        label,
-        groups=(1, 2) if rule == "person_hint" else None,
-        guard=_guard(rule, text) if guards else None,
-    )
+    return S.find_all(text, label=JAVA_RULES[rule][0], **_rule(text, rule, guards))
+
+
+def rule_pieces(text: str, rule: str) -> str:
+    """The text cut around the matches of one rule, null without any. To be held as a column."""
+    return S.pieces(text, **_rule(text, rule, True))
 
 
 def raw_spans(text: str, *, rules: list[str] | None = None, guards: bool = True) -> str:

@@ -31,10 +31,12 @@ def with_domains(df: DataFrame, header: Column, out: str) -> DataFrame:
     Groups, nested comments, routes and bracketed network addresses are not: such a header gives null, so
     ``prepare`` sets its request aside with a reason.
     """
-    usable = header.isNotNull() & ~F.rlike(header, F.lit(r"[\r\n\x00]")) & F.rlike(header, F.lit(_LIST))
-    bare = F.regexp_replace(header, F.lit(f"{_QUOTED}|{_COMMENT}"), F.lit(""))
-    domains = F.transform(F.regexp_extract_all(bare, F.lit(_DOMAIN), F.lit(1)), lambda d: F.lower(d))
-    return df.withColumn(out, F.when(usable, domains))
+    # Only quoted names and comments may hold a control character, and only they are taken out. Lower case leaves
+    # addresses as long and as they are split, as what stands around a domain is neither a letter nor joins two.
+    quoted = F.contains(header, F.lit('"')) | F.contains(header, F.lit("("))
+    usable = F.rlike(header, F.lit(_LIST)) & ~(quoted & F.rlike(header, F.lit(r"[\r\n\x00]")))
+    bare = F.when(quoted, F.regexp_replace(header, F.lit(f"{_QUOTED}|{_COMMENT}"), F.lit(""))).otherwise(header)
+    return df.withColumn(out, F.when(usable, F.regexp_extract_all(F.lower(bare), F.lit(_DOMAIN), F.lit(1))))
 
 
 def routing(sender_domains: str, recipient_domains: str, internal_domains: list[str]) -> str:
@@ -42,14 +44,12 @@ def routing(sender_domains: str, recipient_domains: str, internal_domains: list[
     known = "array(" + ", ".join(S.text_literal(d.lower()) for d in internal_domains) + ")"
     if not internal_domains:
         known = "cast(array() AS array<string>)"
-    inside = f"transform({recipient_domains}, d -> array_contains({known}, d))"
-    summary = S.bind(
-        "inside",
-        inside,
-        "named_struct('recipient_count', size(inside), "
-        "'crosses_boundary', exists(inside, i -> i <> "
-        f"array_contains({known}, {sender_domains}[0])), "
-        "'all_recipients_internal', forall(inside, i -> i))",
+    every = f"size(array_except({recipient_domains}, {known})) = 0"
+    some = f"arrays_overlap({recipient_domains}, {known})"
+    summary = (
+        f"named_struct('recipient_count', size({recipient_domains}), "
+        f"'crosses_boundary', CASE WHEN array_contains({known}, get({sender_domains}, 0)) THEN NOT {every} ELSE {some} END, "
+        f"'all_recipients_internal', {every})"
     )
     return (
         f"CASE WHEN size({sender_domains}) = 1 AND size({recipient_domains}) >= 1 "

@@ -295,7 +295,9 @@ def h9_released_candidates(spark, folder):
         PP._prepared(spark, folder), _HMAC_KEY,
         token=F.concat(F.lit("t"), F.col("request_id").cast("string")), issued_at=F.timestamp_seconds("request_id"),
     )
-    issued = written(issued, "issued")
+    # of a candidate, what its fingerprint and its release need is stored
+    kept = ["request_id", "use_case", "engine", "policy_version", "routing", "candidate_fields", "token", "issued_at", "fingerprint"]
+    issued = written(issued.select(*kept), "issued")
     exports = issued.select(
         "token", "request_id", "issued_at", "fingerprint", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")
     ).select(

@@ -54,3 +54,20 @@ def test_any_number_of_matches_has_its_places(spark, mark):
     df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
     got = [[(s.start, s.end) for s in r.f] for r in df.selectExpr(f"{S.find_all('text', '[0-9]+', 'secret')} AS f").collect()]
     assert got == [[m.span() for m in re.finditer("[0-9]+", t)] for t in texts] + [[]]
+
+
+def test_sorted_spans_merge_as_any_others(spark):
+    rng = random.Random(9)
+    labels = ["secret", "private_email", "private_person"]
+    rows = [(sorted((a, a + rng.randrange(1, 7), rng.choice(labels)) for a in (rng.randrange(25) for _ in range(rng.randrange(11)))),) for _ in range(400)]
+    df = spark.createDataFrame(rows, f"spans {S.SPANS}")
+    assert df.selectExpr(f"{S.merge_sorted('spans')} AS a", f"{S.merge('spans')} AS b").where("NOT a <=> b").count() == 0
+
+
+def test_findings_are_not_stored_with_candidates(spark, monkeypatch):
+    from maskwright.plans import evals
+
+    stored = []
+    monkeypatch.setattr(evals, "written", lambda df, name: stored.append(df.columns) or df)
+    evals.h9_released_candidates(spark, "/root/testdata/sf0.001")
+    assert stored and not {"findings", "by_label", "span_count"} & set(stored[0])
